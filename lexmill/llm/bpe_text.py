@@ -15,6 +15,17 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\
 #: Two or more white space characters before another character.
 SPACE_RUN = regex.compile(rf"[{_S}]{{2,}}(?=[^{_S}])")
 
+#: White space beside a space: there a space is no safe place to cut.
+_UNSAFE = regex.compile(rf"\x20[{_S}]|[{_S}]\x20")
+
+
+def space_parts(text: str) -> list[str] | None:
+    """The text cut at its spaces, if every space is a safe boundary; a space starts each later part.
+
+    A space between characters that are no white space always starts a match of the split.
+    """
+    return None if _UNSAFE.search(text) else text.split(" ")
+
 
 @lru_cache(maxsize=1)
 def byte_letters() -> dict[str, int]:

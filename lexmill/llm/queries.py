@@ -11,14 +11,30 @@ from pyspark.sql import functions as F
 from lexmill.llm.bpe_codec import encode_bpe
 from lexmill.llm.common import read_table, text_or_empty
 from lexmill.llm.exact_dedup import exact_duplicates
+from lexmill.llm.packing import pack_documents
 from lexmill.llm.pii import BASE_KINDS, find_pii
 from lexmill.llm.sharding import shard_by_bytes
 from lexmill.llm.token_prefix import count_prefixes
+from lexmill.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def held_out(id_col: str = "doc_id") -> F.Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    return fit_toxicity(docs, labels, ~held_out())
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     text = text_or_empty("text")
@@ -49,12 +65,16 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op3_token_counts, op5_pii, op8_bpe_codec, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op5_pii, op8_bpe_codec, op9_packing, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.bpe_text import SPACE_RUN, SPLIT, TwoAgeCache, load_json
+from lexmill.llm.bpe_text import SPACE_RUN, SPLIT, TwoAgeCache, load_json, space_parts
 from lexmill.llm.common import text_or_empty
 
 
@@ -41,6 +41,7 @@ class PrefixCounter:
         self.age = {token: -1 for token in self.vocab.values()} | {self.vocab[a + b]: rank for (a, b), rank in merges.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.table = TwoAgeCache(self._piece_table)
+        self.part = TwoAgeCache(lambda part: sum(map(self.total.__getitem__, SPLIT.findall(" " + part))))
         self.total = TwoAgeCache(lambda piece: int(np.frombuffer(self.table[piece], np.uint32)[-1]))
 
     def _stays(self, left: int, right: int) -> bool:
@@ -143,18 +144,23 @@ class PrefixCounter:
         if any(m in text for m in self.added):
             counts = self.counts(text)
             return int(counts[-1]), *(int(np.flatnonzero(counts <= b)[-1]) for b in budgets)
-        pieces = SPLIT.findall(text)
-        counts = list(map(self.total.__getitem__, pieces))
+        parts, joint = space_parts(text), " "
+        if parts is None:
+            parts, joint = SPLIT.findall(text), ""
+            counts = list(map(self.total.__getitem__, parts))
+        else:
+            counts = list(map(self.part.__getitem__, parts))
+            counts[0] = sum(map(self.total.__getitem__, SPLIT.findall(parts[0])))
         whole = sum(counts)
         fits = []
         for budget in budgets:
             if whole <= budget:
                 fits.append(len(text))
                 continue
-            # Every prefix past a piece has more tokens than that piece's end, but for white space
-            # before a word; so only the text up to three pieces past the budget can hold the cut.
+            # Every prefix past a part has more tokens than that part's end, but for white space
+            # before a word; so only the text up to three parts past the budget can hold the cut.
             past = bisect_right(list(accumulate(counts[: budget + 1])), budget)
-            head = self._plain("".join(pieces[: past + 4]))
+            head = self._plain(joint.join(parts[: past + 4]))
             fits.append(int(np.flatnonzero(head <= budget)[-1]))
         return whole, *fits
 
