@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.bpe_codec import encode_bpe
 from lexmill.llm.common import read_table, text_or_empty
 from lexmill.llm.exact_dedup import exact_duplicates
+from lexmill.llm.ngram_join import near_duplicate_components
 from lexmill.llm.packing import pack_documents
 from lexmill.llm.pii import BASE_KINDS, find_pii
 from lexmill.llm.sharding import shard_by_bytes
@@ -49,6 +50,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("fits_512") < F.col("n_chars")).alias("over_limit"), "n_chars", "fits_512")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(read_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("pii_spans")
@@ -74,7 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op5_pii, op8_bpe_codec, op9_packing, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op8_bpe_codec, op9_packing, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

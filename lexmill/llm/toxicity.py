@@ -216,7 +216,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_terms: int = 2_000, min_share: float = 0.03) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_terms: int = 2_000, min_share: float = 0.06) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows for which ``train`` (over ``labels``) holds.
 
     The sample is by a hash of the id, so it is the same for every partitioning. Equal texts
