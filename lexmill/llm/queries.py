@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.audio import align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import encode_bpe
 from lexmill.llm.common import read_table, text_or_empty
 from lexmill.llm.exact_dedup import exact_duplicates
 from lexmill.llm.ngram_join import near_duplicate_components
 from lexmill.llm.packing import pack_documents
 from lexmill.llm.pii import BASE_KINDS, find_pii
+from lexmill.llm.repeats import remove_repeats
 from lexmill.llm.sharding import shard_by_bytes
 from lexmill.llm.token_prefix import count_prefixes
 from lexmill.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -65,6 +67,23 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio; the bytes of each text are taken as its 8-bit samples."""
+    recordings = read_table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").cast("binary").alias("audio"))
+    return align_recordings(fingerprint_audio(recordings, "doc_id", "audio"), "doc_id").withColumn("bit_error_rate", F.round("bit_error_rate", 6))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_bpe(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -79,10 +98,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op8_bpe_codec, op9_packing, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op6_chroma, op7_repeats, op8_bpe_codec, op9_packing, op10_exact_dedup, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_repeats": r"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        s AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM t WHERE len(words) >= 13),
+        w AS (SELECT doc_id, p, hash(array_to_string(words[p : p + 12], ' ')) AS h, md5(array_to_string(words[p : p + 12], ' ')) AS m FROM s),
+        d AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h, m) AS least FROM w) WHERE least < doc_id),
+        g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k FROM d),
+        r AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id),
+        f AS (SELECT t.doc_id, t.words, coalesce(r.gone, []::BIGINT[]) AS gone FROM t LEFT JOIN r ON t.doc_id = r.doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(words, lambda w, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+        FROM f
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm, row_number() OVER w AS rk, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
