@@ -11,7 +11,8 @@ import regex
 #: Unicode white space as the tokenizer libraries take it (Python's own class has more characters).
 _S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The split of the rank files, with white space spelt out; groups nothing.
-SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+SPLIT = regex.compile(PATTERN)
 #: Two or more white space characters before another character.
 SPACE_RUN = regex.compile(rf"[{_S}]{{2,}}(?=[^{_S}])")
 
