@@ -2,5 +2,453 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as tx
+from lexmill.operators import merge, search, versions
+from lexmill.sources.standin import table, with_tables
+from lexmill.streaming.streams import stream_period_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_tables(sql)
+        return f
+
+    return keep
+
+
+_DAY = "1996-06-30"
+_LAST_BATCH = "SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY 1"
+
+# Sources and sinks
+
+
+@query("SELECT code_id, count(*) AS n, max(version_date) AS newest FROM versions GROUP BY 1")
+def a3_write_read_table(s, d):
+    from lexmill.sources.tables import round_trip
+
+    stored = round_trip(table(s, d, "versions"), ["code_id"])
+    return stored.groupBy("code_id").agg(F.count(F.lit(1)).alias("n"), F.max("version_date").alias("newest"))
+
+
+@query("SELECT page_id, url, length(html) AS n_chars, sha256(html) AS html_sha256 FROM pages")
+def a4_load_raw_pages(s, d):
+    return table(s, d, "pages").select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("html_sha256"))
+
+
+@query("SELECT vec_id AS point_id, label, CAST(len(embedding) AS BIGINT) AS size FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0")
+def a5_build_points(s, d):
+    return table(s, d, "embeddings").filter("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").alias("point_id"), "label", F.size("embedding").cast("long").alias("size"))
+
+
+@query("SELECT country, id, md5(full_text) AS hash FROM docs JOIN content ON id = document_id WHERE full_text IS NOT NULL")
+def a6_build_manifest(s, d):
+    joined = table(s, d, "docs").join(table(s, d, "content"), F.col("id") == F.col("document_id"))
+    return joined.filter("full_text is not null").select("country", "id", F.md5("full_text").alias("hash"))
+
+
+# Keyed merges
+
+
+@query("SELECT agency, letter_date, max(id * 1000 + turn) AS last FROM letters GROUP BY 1, 2")
+def b1_upsert_last_wins(s, d):
+    rows = table(s, d, "letters").select("agency", "letter_date", (F.col("id") * 1000 + F.col("turn")).alias("last"))
+    target = rows.filter(F.col("last") % 2 == 0)
+    return merge.upsert_last_wins(target, rows, ["agency", "letter_date"], "last")
+
+
+@query("""WITH t AS (SELECT code_id, article_number, max(eo) AS eo FROM versions WHERE eo % 3 = 0 GROUP BY 1, 2),
+ b AS (SELECT code_id, article_number, min(eo) AS eo FROM versions WHERE eo % 3 <> 0 GROUP BY 1, 2)
+ SELECT * FROM t UNION ALL SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.code_id = b.code_id AND t.article_number = b.article_number)""")
+def b2_insert_first_wins(s, d):
+    v = table(s, d, "versions").select(*versions.KEY, "eo")
+    target = v.filter("eo % 3 = 0").groupBy(*versions.KEY).agg(F.max("eo").alias("eo"))
+    return merge.insert_first_wins(target, v.filter("eo % 3 <> 0"), versions.KEY, "eo")
+
+
+@query("""WITH t AS (SELECT id, block, title FROM docs WHERE id % 3 <> 0), b AS (SELECT id, 'new' AS block, upper(title) AS title FROM docs WHERE id % 2 = 0)
+ SELECT coalesce(t.id, b.id) AS id, CASE WHEN t.id IS NULL THEN b.block ELSE t.block END AS block, CASE WHEN b.id IS NULL THEN t.title ELSE b.title END AS title FROM t FULL JOIN b ON t.id = b.id""")
+def b3_upsert_columns(s, d):
+    docs = table(s, d, "docs").select("id", "block", "title")
+    batch = docs.filter("id % 2 = 0").select("id", F.lit("new").alias("block"), F.upper("title").alias("title"))
+    return merge.upsert_columns(docs.filter("id % 3 <> 0"), batch, ["id"], ["title"])
+
+
+@query("SELECT agency, coalesce(number, '') AS number, letter_date, max(id * 1000 + turn) AS id FROM letters GROUP BY 1, 2, 3")
+def b4_purge_duplicates(s, d):
+    rows = table(s, d, "letters").withColumn("id", F.col("id") * 1000 + F.col("turn"))
+    kept = merge.purge_duplicates(rows, ["agency", "number", "letter_date"], "id")
+    return kept.select("agency", F.coalesce("number", F.lit("")).alias("number"), "letter_date", "id")
+
+
+@query("""SELECT code_id, article_number, version_date, eo FROM versions WHERE code_id NOT LIKE '1%'
+ UNION ALL SELECT code_id, article_number, max(version_date), max_by(eo, version_date) FROM versions WHERE code_id LIKE '1%' GROUP BY 1, 2""")
+def b5_replace_group(s, d):
+    v = table(s, d, "versions").select(*versions.KEY, "version_date", "eo")
+    return merge.replace_group(v, v.filter(F.col("code_id").startswith("1")), "code_id", versions.KEY, "version_date")
+
+
+@query("""WITH t AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 1), b AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 3 OR turn = 2)
+ SELECT * FROM t UNION ALL SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.number = b.number AND t.letter_date = b.letter_date)""")
+def b6_merge_by_natural_key(s, d):
+    rows = table(s, d, "letters").select((F.col("id") * 1000 + F.col("turn")).alias("id"), "number", "letter_date", "turn")
+    target, batch = (rows.filter(c).drop("turn") for c in ("turn = 1", "turn = 3 or turn = 2"))
+    return target.unionByName(batch.join(target.select("number", "letter_date"), ["number", "letter_date"], "left_anti"))
+
+
+@query("SELECT id, publish_date FROM docs WHERE id % 7 = 0 AND id % 11 <> 0")
+def b7_resume_filter(s, d):
+    docs, content = table(s, d, "docs"), table(s, d, "content")
+    done = content.filter("length(full_text) > 0").select(F.col("document_id").alias("id"))
+    return merge.resume_filter(docs, done, docs.filter("id % 11 = 0"), "id").select("id", "publish_date")
+
+
+# Projections, filters, search
+
+
+@query("SELECT id, title, full_text FROM docs LEFT JOIN content ON id = document_id WHERE id % 50 = 0")
+def c1_get_documents(s, d):
+    return table(s, d, "docs").filter("id % 50 = 0").join(table(s, d, "content"), F.col("id") == F.col("document_id"), "left").select("id", "title", "full_text")
+
+
+@query("SELECT id, publish_date FROM docs WHERE publish_date BETWEEN DATE '2020-03-01' AND DATE '2021-03-01' ORDER BY publish_date DESC, id LIMIT 100")
+def c2_documents_in_range(s, d):
+    found = table(s, d, "docs").filter(F.col("publish_date").between("2020-03-01", "2021-03-01"))
+    return found.select("id", "publish_date").orderBy(F.desc("publish_date"), "id").limit(100)
+
+
+@query("SELECT id, court_type, case_number, decision_date FROM decisions WHERE court_type = 'supreme' AND lower(full_text) LIKE '%ст. 1%тк%' AND decision_date >= DATE '1994-01-01' ORDER BY decision_date DESC, id LIMIT 10")
+def c5_search_court_decisions(s, d):
+    found = table(s, d, "decisions").filter((F.col("court_type") == "supreme") & F.col("full_text").ilike("%ст. 1%тк%") & (F.col("decision_date") >= "1994-01-01"))
+    return found.select("id", "court_type", "case_number", "decision_date").orderBy(F.desc("decision_date"), "id").limit(10)
+
+
+@query("SELECT id, case_number, decision_date FROM decisions WHERE court_type = 'supreme' AND decision_type = 'plenary_resolution' AND case_number LIKE '%12%' ORDER BY decision_date DESC, id LIMIT 5")
+def c8_plenary_resolutions(s, d):
+    found = table(s, d, "decisions").filter((F.col("court_type") == "supreme") & (F.col("decision_type") == "plenary_resolution") & F.col("case_number").contains("12"))
+    return found.select("id", "case_number", "decision_date").orderBy(F.desc("decision_date"), "id").limit(5)
+
+
+@query("""SELECT eo, document_date, CASE WHEN lower(concat(title, ' ', full_text)) LIKE '%трудовой кодекс%' THEN 'TK_RF' WHEN lower(title) LIKE '%уголовный кодекс%' THEN 'UK_RF' ELSE 'NK_RF' END AS code FROM amendments
+ WHERE (title LIKE '%Трудовой кодекс%' OR title LIKE '%Уголовный кодекс%' OR title LIKE '%Налоговый кодекс%') AND document_date >= DATE '1995-01-01'""")
+def c9_select_amendments(s, d):
+    a = table(s, d, "amendments").filter(F.col("title").rlike("Трудовой кодекс|Уголовный кодекс|Налоговый кодекс") & (F.col("document_date") >= "1995-01-01"))
+    return a.select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"))
+
+
+@query("SELECT id, publish_date FROM docs LEFT JOIN content ON id = document_id WHERE full_text IS NULL OR length(full_text) < 500 ORDER BY publish_date DESC, id LIMIT 100")
+def c10_content_backlog(s, d):
+    joined = table(s, d, "docs").join(table(s, d, "content"), F.col("id") == F.col("document_id"), "left")
+    return joined.filter("full_text is null or length(full_text) < 500").select("id", "publish_date").orderBy(F.desc("publish_date"), "id").limit(100)
+
+
+@query("SELECT id, c.name AS country_name, publish_date FROM docs JOIN countries c ON country = c.code WHERE publish_date >= DATE '2022-06-01' - 30")
+def c11_recent_documents(s, d):
+    c = table(s, d, "countries").withColumnRenamed("code", "country")
+    return table(s, d, "docs").filter(F.col("publish_date") >= F.date_sub(F.lit("2022-06-01").cast("date"), 30)).join(c, "country").select("id", F.col("name").alias("country_name"), "publish_date")
+
+
+@query("SELECT code, name FROM countries WHERE lower(code) = lower('DE')")
+def c13_resolve_country(s, d):
+    return table(s, d, "countries").filter(F.lower("code") == F.lower(F.lit("DE")))
+
+
+@query("""SELECT article_number, version_date FROM versions WHERE code_id = '1-URGENT' AND is_current
+ ORDER BY CASE WHEN regexp_matches(article_number, '^[0-9]+$') THEN CAST(article_number AS INTEGER) ELSE 999999 END, article_number, version_date LIMIT 50 OFFSET 10""")
+def c15_list_articles(s, d):
+    found = table(s, d, "versions").filter("code_id = '1-URGENT' and is_current").select("article_number", "version_date")
+    return found.orderBy(*versions.natural_order(F.col("article_number")), "version_date").offset(10).limit(50)
+
+
+@query("SELECT eo, status, amendment_date FROM amendment_log WHERE code_id = '2-HIGH' ORDER BY amendment_date DESC, eo DESC LIMIT 50")
+def c17_amendment_log(s, d):
+    return table(s, d, "amendment_log").filter("code_id = '2-HIGH'").select("eo", "status", "amendment_date").orderBy(F.desc("amendment_date"), F.desc("eo")).limit(50)
+
+
+# Joins with a time condition
+
+
+@query("""SELECT event_id, code_id, article_number, on_date, version_date, eo FROM (
+ SELECT r.*, v.version_date, v.eo, row_number() OVER (PARTITION BY r.event_id ORDER BY v.version_date DESC) AS rk FROM requests r JOIN versions v
+ ON r.code_id = v.code_id AND r.article_number = v.article_number AND v.version_date <= r.on_date) x WHERE rk = 1""")
+def d1_article_as_of(s, d):
+    return versions.article_as_of(table(s, d, "versions"), table(s, d, "requests"))
+
+
+@query(f"SELECT code_id, article_number, version_date, eo, is_repealed, article_text FROM (SELECT *, row_number() OVER (PARTITION BY code_id, article_number ORDER BY version_date DESC) AS rk FROM versions WHERE version_date <= DATE '{_DAY}') x WHERE rk = 1")
+def d3_code_snapshot(s, d):
+    return versions.code_snapshot(table(s, d, "versions"), _DAY).select("code_id", "article_number", "version_date", "eo", "is_repealed", "article_text")
+
+
+# Aggregations
+
+
+@query("SELECT count(*) AS total, count(full_text) AS with_text, round(100.0 * count(full_text) / count(*), 1) AS coverage FROM content")
+def e1_corpus_overview(s, d):
+    return table(s, d, "content").agg(F.count(F.lit(1)).alias("total"), F.count("full_text").alias("with_text"), F.round(F.lit(100.0).cast("double") * F.count("full_text") / F.count(F.lit(1)), 1).alias("coverage"))
+
+
+@query("SELECT block, count(*) AS n FROM docs GROUP BY 1 HAVING count(*) > 0")
+def e2_documents_per_block(s, d):
+    return table(s, d, "docs").groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+
+
+@query("SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def e3_documents_per_country(s, d):
+    counts = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(s, d, "nation").join(counts, "n_nationkey", "left").groupBy(F.col("n_name").alias("name")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+@query("SELECT code_id, count(*) AS n, count(*) FILTER (WHERE is_current) AS n_current, count(*) FILTER (WHERE is_repealed) AS n_repealed, count(DISTINCT version_date) AS n_dates, max(version_date) AS newest FROM versions GROUP BY 1")
+def e4_code_statistics(s, d):
+    return table(s, d, "versions").groupBy("code_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_current").alias("n_current"), F.count_if("is_repealed").alias("n_repealed"), F.count_distinct("version_date").alias("n_dates"), F.max("version_date").alias("newest"))
+
+
+@query("SELECT code_id, count(*) FILTER (WHERE status = 'applied') AS applied, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(coalesce(n_affected, 0)) AS BIGINT) AS affected FROM amendment_log GROUP BY 1")
+def e6_amendment_status_summary(s, d):
+    by = [F.count_if(F.col("status") == x).alias(x) for x in ("applied", "pending", "failed")]
+    return table(s, d, "amendment_log").groupBy("code_id").agg(*by, F.sum(F.coalesce("n_affected", F.lit(0))).alias("affected"))
+
+
+@query("SELECT court_type, decision_type, count(*) AS n, count(*) FILTER (WHERE is_active) AS n_active FROM decisions GROUP BY 1, 2")
+def e7_court_stats(s, d):
+    return table(s, d, "decisions").groupBy("court_type", "decision_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_active").alias("n_active"))
+
+
+@query("SELECT agency, count(*) AS n, count(number) AS n_numbered, count(DISTINCT letter_date) AS n_dates FROM letters GROUP BY 1")
+def e8_interpretation_stats(s, d):
+    return table(s, d, "letters").groupBy("agency").agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("n_numbered"), F.count_distinct("letter_date").alias("n_dates"))
+
+
+@query("SELECT code_id, CASE WHEN count(DISTINCT article_number) < 75 THEN 'severe' WHEN count(DISTINCT article_number) < 150 THEN 'mild' ELSE 'ok' END AS verdict FROM versions GROUP BY 1")
+def e11_validate_article_counts(s, d):
+    n, expected = F.count_distinct("article_number"), 150
+    return table(s, d, "versions").groupBy("code_id").agg(F.when(n < expected // 2, "severe").when(n < expected, "mild").otherwise("ok").alias("verdict"))
+
+
+@query("SELECT block, CAST(date_trunc('month', publish_date) AS DATE) AS period, count(*) AS n FROM docs GROUP BY 1, 2")
+def e13_block_counts(s, d):
+    return table(s, d, "docs").groupBy("block", F.trunc("publish_date", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CITED = """SELECT id, c[1] AS article, CASE c[2] WHEN 'ТК' THEN 'TK_RF' WHEN 'ГК' THEN 'GK_RF' WHEN 'УК' THEN 'UK_RF' ELSE 'NK_RF' END AS code FROM (
+ SELECT id, unnest(list_transform(regexp_extract_all(full_text, '(?:ст\\.? ?|статья )[0-9]+(?:\\.[0-9]+)? (?:ТК|ГК|УК|НК) РФ'), lambda m: [regexp_extract(m, '([0-9]+(?:\\.[0-9]+)?)', 1), regexp_extract(m, '(ТК|ГК|УК|НК)', 1)])) AS c FROM decisions) x"""
+
+
+@query(f"SELECT code, article, count(*) AS n FROM ({_CITED}) y GROUP BY 1, 2")
+def e14_citation_counts(s, d):
+    found = table(s, d, "decisions").select(F.explode(tx.citations(F.col("full_text"))).alias("c"))
+    return found.groupBy(F.col("c.code").alias("code"), F.col("c.article").alias("article")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT id, string_agg(concat(code, ':', article), ',' ORDER BY code, article) AS refs FROM ({_CITED}) y GROUP BY 1")
+def e10_decisions_with_articles(s, d):
+    refs = F.array_sort(F.transform(tx.citations(F.col("full_text")), lambda c: F.struct(c["code"].alias("code"), c["article"].alias("article"))))
+    return table(s, d, "decisions").select("id", F.array_join(F.transform(refs, lambda r: F.concat_ws(":", r["code"], r["article"])), ",").alias("refs"))
+
+
+# Window functions
+
+
+@query("SELECT code_id, article_number, version_date, eo FROM versions WHERE is_current")
+def f1_current_versions(s, d):
+    return merge.newest_per_key(table(s, d, "versions").filter("is_current"), versions.KEY, F.desc("version_date")).select(*versions.KEY, "version_date", "eo")
+
+
+@query("""SELECT code_id, article_number, version_date, CAST(row_number() OVER (PARTITION BY code_id, article_number ORDER BY version_date) AS INTEGER) AS version_no, count(*) OVER (PARTITION BY code_id, article_number) AS n_versions,
+ max(CASE WHEN is_current THEN version_date END) OVER (PARTITION BY code_id, article_number) AS current_date FROM versions""".replace("AS current_date", 'AS "current_date"'))
+def f2_amendment_chain(s, d):
+    return versions.amendment_chain(table(s, d, "versions"))
+
+
+@query("SELECT code_id, article_number, version_date, substr(article_text, 1, 100) AS preview FROM versions WHERE version_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
+def f3_article_history(s, d):
+    return table(s, d, "versions").filter(F.col("version_date").between("1995-01-01", "1996-12-31")).select(*versions.KEY, "version_date", F.substring("article_text", 1, 100).alias("preview"))
+
+
+@query("""WITH c AS (SELECT code_id, article_number, max(version_date) AS newest FROM versions WHERE eo % 4 = 0 GROUP BY 1, 2)
+ SELECT v.code_id, v.article_number, v.version_date, CASE WHEN c.newest IS NOT NULL AND v.version_date < c.newest THEN false ELSE true END AS is_current FROM versions v LEFT JOIN c ON v.code_id = c.code_id AND v.article_number = c.article_number""")
+def f4_mark_superseded(s, d):
+    v = table(s, d, "versions").withColumn("is_current", F.lit(True))
+    return versions.mark_superseded(v, v.filter("eo % 4 = 0")).select(*versions.KEY, "version_date", "is_current")
+
+
+@query("SELECT code_id, article_number, CAST(row_number() OVER (PARTITION BY code_id ORDER BY CASE WHEN regexp_matches(article_number, '^[0-9]+$') THEN CAST(article_number AS INTEGER) ELSE 999999 END, article_number) AS INTEGER) AS place FROM (SELECT DISTINCT code_id, article_number FROM versions) v")
+def f5_natural_article_order(s, d):
+    articles = table(s, d, "versions").select(*versions.KEY).distinct()
+    return articles.withColumn("place", F.row_number().over(Window.partitionBy("code_id").orderBy(*versions.natural_order(F.col("article_number")))))
+
+
+@query("SELECT code_id, article_number, version_date AS valid_from, lead(version_date) OVER (PARTITION BY code_id, article_number ORDER BY version_date) AS valid_to FROM versions")
+def f6_validity_intervals(s, d):
+    return versions.validity_intervals(table(s, d, "versions"))
+
+
+@query("SELECT code_id, article_number, version_date, CASE WHEN is_repealed THEN 'repealed' WHEN is_current THEN 'current' ELSE 'historical' END AS badge, CASE WHEN length(article_text) > 15 THEN concat(substr(article_text, 1, 15), '...') ELSE article_text END AS preview FROM versions")
+def f10_status_badges(s, d):
+    badge = F.when(F.col("is_repealed"), "repealed").when(F.col("is_current"), "current").otherwise("historical")
+    preview = F.when(F.length("article_text") > 15, F.concat(F.substring("article_text", 1, 15), F.lit("..."))).otherwise(F.col("article_text"))
+    return table(s, d, "versions").select(*versions.KEY, "version_date", badge.alias("badge"), preview.alias("preview"))
+
+
+# Reconciliation
+
+
+@query("""WITH a AS (SELECT DISTINCT code_id, article_number FROM versions WHERE eo % 3 <> 0), b AS (SELECT DISTINCT code_id, article_number FROM versions WHERE eo % 4 <> 0)
+ SELECT coalesce(a.code_id, b.code_id) AS code_id, count(*) FILTER (WHERE b.code_id IS NULL) AS only_ours, count(*) FILTER (WHERE a.code_id IS NULL) AS only_reference, count(*) FILTER (WHERE a.code_id IS NOT NULL AND b.code_id IS NOT NULL) AS common
+ FROM a FULL JOIN b ON a.code_id = b.code_id AND a.article_number = b.article_number GROUP BY 1""")
+def g1_compare_article_sets(s, d):
+    v = table(s, d, "versions")
+    side = lambda c, name: v.filter(c).select(*versions.KEY).distinct().withColumn(name, F.lit(True))
+    both = side("eo % 3 <> 0", "a").join(side("eo % 4 <> 0", "b"), versions.KEY, "full_outer")
+    return both.groupBy("code_id").agg(F.count_if(F.col("b").isNull()).alias("only_ours"), F.count_if(F.col("a").isNull()).alias("only_reference"), F.count_if(F.col("a") & F.col("b")).alias("common"))
+
+
+@query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, md5(CASE WHEN doc_id % 9 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+ SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+def g3_manifest_diff(s, d):
+    docs = table(s, d, "documents")
+    old = docs.filter("doc_id % 5 <> 0").select("doc_id", F.md5("text").alias("old"))
+    new = docs.filter("doc_id % 7 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 9 == 0, F.upper("text")).otherwise(F.col("text"))).alias("new"))
+    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same")
+    return old.join(new, "doc_id", "full_outer").select("doc_id", state.alias("state"))
+
+
+@query("SELECT doc_id, sha256(text) = sha256(trim(text)) AS verified FROM documents")
+def g4_verify_hashes(s, d):
+    docs = table(s, d, "documents")
+    expected = docs.select("doc_id", F.sha2(F.trim("text"), 256).alias("expected"))
+    return docs.join(expected, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("expected")).alias("verified"))
+
+
+@query("SELECT id, case_number, 'court' AS source FROM decisions UNION ALL SELECT id, NULL AS case_number, 'letter' AS source FROM letters")
+def g5_union_decisions(s, d):
+    courts = table(s, d, "decisions").select("id", "case_number", F.lit("court").alias("source"))
+    return courts.unionByName(table(s, d, "letters").select("id", F.lit("letter").alias("source")), allowMissingColumns=True)
+
+
+# Text functions
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS normal_md5, md5(text) AS text_md5 FROM documents")
+def h1_normalize_text(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(tx.normalize_text(F.col("text"))).alias("normal_md5"), tx.text_hash(F.col("text"), "md5").alias("text_md5"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br */?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS clean_md5 FROM pages")
+def h2_clean_html_text(s, d):
+    return table(s, d, "pages").select("page_id", F.md5(tx.clean_html_text(F.col("html"))).alias("clean_md5"))
+
+
+@query("SELECT eo, CASE eo % 4 WHEN 0 THEN DATE '1990-01-01' + CAST(eo % 900 AS INT) END AS parsed FROM amendments")
+def h6_parse_api_date(s, d):
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("eo") % 900).cast("int")).cast("string")
+    raw = F.when(F.col("eo") % 8 == 0, F.concat(day, F.lit("T00:00:00.123"))).when(F.col("eo") % 4 == 0, day).when(F.col("eo") % 4 == 1, "31.02.2020").when(F.col("eo") % 4 == 2, "2020-02-31")
+    return table(s, d, "amendments").select("eo", tx.parse_api_date(raw).alias("parsed"))
+
+
+@query("SELECT eo, DATE '2001-01-01' + CAST(eo % 28 AS INT) AS found FROM amendments")
+def h7_extract_date(s, d):
+    raw = F.concat(F.lit("Постановление от "), (F.col("eo") % 28 + 1).cast("string"), F.lit(" января 2001 года"))
+    return table(s, d, "amendments").select("eo", tx.title_date(raw).alias("found"))
+
+
+@query("SELECT DISTINCT article_number, CAST(regexp_extract(article_number, '^([0-9]+)', 1) AS INTEGER) AS base, TRY_CAST(regexp_extract(article_number, '\\.([0-9]+)', 1) AS INTEGER) AS insertion, TRY_CAST(regexp_extract(article_number, '-([0-9]+)', 1) AS INTEGER) AS subdivision FROM versions")
+def h10_parse_article_number(s, d):
+    return table(s, d, "versions").select("article_number").distinct().select("article_number", tx.article_parts(F.col("article_number")).alias("p")).select("article_number", "p.*")
+
+
+@query("SELECT DISTINCT concat('00', article_number) AS raw, article_number AS normal FROM versions")
+def h11_normalize_article_number(s, d):
+    raw = table(s, d, "versions").select(F.concat(F.lit("00"), F.col("article_number")).alias("raw")).distinct()
+    return raw.select("raw", tx.normalize_article(F.col("raw")).alias("normal"))
+
+
+@query("SELECT eo, CASE eo % 4 WHEN 0 THEN 'TK_RF' WHEN 1 THEN 'UK_RF' WHEN 2 THEN 'NK_RF' ELSE 'UNKNOWN' END AS code FROM amendments")
+def h14_identify_code(s, d):
+    return table(s, d, "amendments").select("eo", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"))
+
+
+@query("SELECT eo, CASE WHEN CAST(eo % 5 = 0 AS INT) + CAST(eo % 3 = 0 AS INT) + CAST(eo % 7 = 0 AS INT) > 1 THEN 'mixed' WHEN eo % 5 = 0 THEN 'addition' WHEN eo % 7 = 0 THEN 'repeal' ELSE 'modification' END AS action FROM amendments")
+def h16_amendment_action(s, d):
+    return table(s, d, "amendments").select("eo", tx.amendment_action(F.col("full_text")).alias("action"))
+
+
+@query("SELECT eo, array_to_string(regexp_extract_all(full_text, 'стать(?:и|ью|ей|е|я) ([0-9]+)', 1), ',') AS found FROM amendments")
+def h15_amendment_articles(s, d):
+    every = F.array_join(F.regexp_extract_all("full_text", F.lit("стать(?:и|ью|ей|е|я) ([0-9]+)"), F.lit(1)), ",")
+    return table(s, d, "amendments").select("eo", every.alias("found"))
+
+
+@query(_CITED)
+def h20_extract_citations(s, d):
+    return table(s, d, "decisions").select("id", F.explode(tx.citations(F.col("full_text"))).alias("c")).select("id", "c.article", "c.code")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(regexp_replace(substr(text, 1, 200), ' [^ ]*$', ''), '...') ELSE text END AS summary FROM documents")
+def h23_extract_summary(s, d):
+    return table(s, d, "documents").select("doc_id", tx.summary(F.col("text")).alias("summary"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4), chr(10)) AS lines FROM documents")
+def h31_clean_lines(s, d):
+    return table(s, d, "documents").select("doc_id", tx.clean_lines(F.col("text"), 4).alias("lines"))
+
+
+# Vectors and search
+
+
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id < 20),
+ x AS (SELECT query, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query)
+ SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rk FROM x) y WHERE rk <= 10""")
+def j4_vector_search(s, d):
+    points = table(s, d, "embeddings")
+    asked = points.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    scored = search.vector_scores(points, asked).filter("vec_id <> query").withColumn("score", F.round("score", 6))
+    return search.top_k(scored, "query", "score", "vec_id", 10).drop("rank")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1")
+def j5_delete_count_points(s, d):
+    points = table(s, d, "embeddings")
+    left = points.join(points.filter("vec_id % 3 = 0").select("vec_id"), "vec_id", "left_anti")
+    return left.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def c3_search_documents(s, d):
+    content = table(s, d, "content")
+    return search.top_k(search.keyword_scores(content, [(1, ["the", "and"]), (2, ["les", "zzzz"])]).withColumn("score", F.round("score", 6)), "query", "score", "document_id", 10).drop("rank")
+
+
+# Consolidation
+
+
+@query("""SELECT eo, document_date, CASE eo % 4 WHEN 0 THEN 'TK_RF' WHEN 1 THEN 'UK_RF' WHEN 2 THEN 'NK_RF' ELSE 'UNKNOWN' END AS code,
+ CASE WHEN CAST(eo % 5 = 0 AS INT) + CAST(eo % 3 = 0 AS INT) + CAST(eo % 7 = 0 AS INT) > 1 THEN 'mixed' WHEN eo % 5 = 0 THEN 'addition' WHEN eo % 7 = 0 THEN 'repeal' ELSE 'modification' END AS action FROM amendments""")
+def i1_parse_amendments(s, d):
+    a = table(s, d, "amendments")
+    return a.select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"), tx.amendment_action(F.col("full_text")).alias("action"))
+
+
+@query("SELECT code_id, count(*) AS n_amendments, count(DISTINCT article_number) AS n_articles FROM changes GROUP BY 1")
+def i7_consolidation_report(s, d):
+    return table(s, d, "changes").groupBy("code_id").agg(F.count(F.lit(1)).alias("n_amendments"), F.count_distinct("article_number").alias("n_articles"))
+
+
+# Streaming
+
+
+@query("SELECT CAST(ts AS DATE) AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def k3_stream_block_counts(s, d):
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return stream_period_counts(s, f"{d}/events.parquet", schema, "ts", "event_type")
