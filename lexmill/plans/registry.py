@@ -451,4 +451,4 @@ def i7_consolidation_report(s, d):
 @query("SELECT CAST(ts AS DATE) AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def k3_stream_block_counts(s, d):
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    return stream_period_counts(s, f"{d}/events.parquet", schema, "ts", "event_type")
+    return stream_period_counts(s, d, "events.parquet", schema, "ts", "event_type")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_period_counts(spark: SparkSession, path: str, schema, time_col: str, group: str, period: str = "1 day", delay: str = "2 days") -> DataFrame:
+def stream_period_counts(spark: SparkSession, folder: str, files: str, schema, time_col: str, group: str, period: str = "1 day", delay: str = "2 days") -> DataFrame:
     """Tumbling counts per group; later than the watermark is dropped. Runs to the end of what is there."""
     name = f"counts_{uuid.uuid4().hex}"
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path).withColumn(time_col, F.col(time_col).cast("timestamp"))
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder).withColumn(time_col, F.col(time_col).cast("timestamp"))
     counted = arriving.withWatermark(time_col, delay).groupBy(F.window(time_col, period).alias("w"), group).agg(F.count(F.lit(1)).alias("n"))
     query = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
