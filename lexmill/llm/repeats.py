@@ -108,10 +108,20 @@ def _blocks(values: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[p
         rows = []
         for b, e in zip(begins[first : first + 64], ends[first : first + 64]):
             own = order[b:e]
-            rows.append((int(which[own[0]]), None, values[own].tobytes(), *(c[own].tobytes() for c in columns), *[None] * (3 - len(columns))))
+            packed = []
+            for c in columns[:2]:  # ids come many times; each is sent once, with a number for every entry
+                each, number = np.unique(c[own], return_inverse=True)
+                packed.append(len(each).to_bytes(4, "little") + each.tobytes() + number.astype(np.uint32).tobytes())
+            packed += [c[own].astype(np.uint32).tobytes() for c in columns[2:]]
+            rows.append((int(which[own[0]]), None, values[own].tobytes(), *packed, *[None] * (3 - len(columns))))
         yield _sent(rows)
 
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, np.int64, n, 4)[np.frombuffer(raw, np.uint32, -1, 4 + 8 * n)]
+
+
 def _shared_anchors(source: DataFrame, window: int, blocks: int) -> DataFrame:
     """(key, values): for each document its anchors that another one has."""
 
@@ -147,7 +157,7 @@ def _shared_anchors(source: DataFrame, window: int, blocks: int) -> DataFrame:
         for batch in batches:
             for v, k in zip(batch.column(2), batch.column(3)):
                 values.append(np.frombuffer(v.as_py(), np.uint64))
-                keys.append(np.frombuffer(k.as_py(), np.int64))
+                keys.append(_unpacked(k.as_py()))
         if values:
             value, key = np.concatenate(values), np.concatenate(keys)
             order = np.argsort(value, kind="stable")
@@ -188,7 +198,7 @@ def _meet(sent: DataFrame, meet, blocks: int) -> DataFrame:
 
 
 def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
-    """(key, values): for each document the places (in 64 bits) of windows that start in a document with a smaller id.
+    """(key, values): for each document the places (32 bits each) of windows that start in a document with a smaller id.
 
     ``source``: key, id, text, values (the shared anchors).
     """
@@ -207,14 +217,14 @@ def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
             yield from _settled(key[later], place[later])
             yield from _blocks(value[~later], blocks, key[~later], doc[~later], place[~later])
 
-        for key, doc, text, values in _rows(batches):
+        for key, doc, text, values, _ in _rows(batches):
             words = word_hashes(text, False)
             anchors = window_anchors(words, window)
             wanted = np.unique(np.concatenate([np.frombuffer(v, np.uint64) for v in values]))
             at = np.searchsorted(wanted, anchors)
             mine = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == anchors)
             found.append(run_hashes(words, window)[mine])
-            places.append(mine.astype(np.uint64))
+            places.append(mine.astype(np.uint32))
             owners.append(key)
             docs.append(doc)
             size += len(mine)
@@ -228,7 +238,8 @@ def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
         parts: list[list[np.ndarray]] = []
         for batch in batches:
             for row in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-                parts.append([np.frombuffer(c.as_py(), t) for c, t in zip(row, (np.uint64, np.int64, np.int64, np.uint64))])
+                value, key, doc, place = (c.as_py() for c in row)
+                parts.append([np.frombuffer(value, np.uint64), _unpacked(key), _unpacked(doc), np.frombuffer(place, np.uint32)])
         if parts:
             value, key, doc, place = (np.concatenate(c) for c in zip(*parts))
             order = np.lexsort((doc, value))
@@ -253,9 +264,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
     source = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text.alias("text"), F.col(id_col).alias("_id"))
-    short = source.select("key", "doc", "text")
-    anchors = _shared_anchors(short, window, blocks)
-    places = _repeated_windows(short.join(anchors, "key").select("key", "doc", "text", "values"), window, blocks)
+    anchors = _shared_anchors(source.select("key", "doc", "text"), window, blocks)
+    # Both joins read all columns of ``source``, so that its exchange is made once and reused.
+    places = _repeated_windows(source.join(anchors, "key").select("key", "doc", "text", "values", "_id"), window, blocks)
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     gone = 0
                     counts.append(len(words))
                     if values:
-                        starts = np.concatenate([np.frombuffer(v, np.uint64) for v in values]).astype(np.int64)
+                        starts = np.concatenate([np.frombuffer(v, np.uint32) for v in values]).astype(np.int64)
                         edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)
                         covered = np.cumsum(edges)[: len(words)] > 0
                         gone = int(covered.sum())
@@ -278,5 +289,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
 
-    joined = source.select("key", "_id", "text").join(places, "key", "left").select("_id", "text", "values")
+    joined = source.join(places, "key", "left").select("_id", "text", "values", "key", "doc")
     return joined.mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
