@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before encoding, only at safe boundaries: the ends of matches of the split
-pattern. The pattern looks back at nothing, so what starts at such a boundary is split as in the
-whole text. Decoding joins the tokens' raw bytes, with no detour through text.
+Long texts are cut before encoding, only at safe boundaries: where a match of the split pattern
+starts after something else than white space. The pattern looks back at nothing, so what starts
+there is split as in the whole text. Decoding joins the tokens' raw bytes, with no detour through text.
 """
 
 from __future__ import annotations
@@ -30,22 +30,25 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def safe_cuts(text: str, chunk_chars: int) -> Iterator[str]:
-    """``text`` in chunks of about ``chunk_chars``; a single longer match of the pattern stays whole."""
-    if len(text) <= chunk_chars:
-        yield text
-        return
+def safe_cuts(text: str, chunk_chars: int) -> Iterator[tuple[str, bool]]:
+    """``text`` in chunks of about ``chunk_chars``, and whether a chunk is one long match.
+
+    A cut is safe where a match starts after something else than white space: the split of white
+    space depends on what follows it, so white space stays with what comes next.
+    """
     first = 0
     for match in SPLIT.finditer(text):
-        if match.end() - first >= chunk_chars:
-            if match.start() > first:
-                yield text[first : match.start()]
-                first = match.start()
-            if match.end() - first >= chunk_chars:
-                yield text[first : match.end()]
-                first = match.end()
+        start, end = match.span()
+        if end - first < chunk_chars or start and text[start - 1].isspace():
+            continue
+        if start > first:
+            yield text[first:start], False
+            first = start
+        if end - start >= chunk_chars and not text[end - 1].isspace():
+            yield text[start:end], True
+            first = end
     if first < len(text):
-        yield text[first:]
+        yield text[first:], False
 
 
 def encode_text(codec: tiktoken.Encoding, text: str, chunk_chars: int) -> np.ndarray:
@@ -53,8 +56,8 @@ def encode_text(codec: tiktoken.Encoding, text: str, chunk_chars: int) -> np.nda
     if len(text) <= chunk_chars:
         return np.asarray(codec.encode_ordinary(text), "<u4")
     ids: list[int] = []
-    for chunk in safe_cuts(text, chunk_chars):
-        ids += codec._encode_single_piece(chunk) if len(chunk) >= chunk_chars else codec.encode_ordinary(chunk)
+    for chunk, single in safe_cuts(text, chunk_chars):
+        ids += codec._encode_single_piece(chunk) if single else codec.encode_ordinary(chunk)
     return np.asarray(ids, "<u4")
 
 

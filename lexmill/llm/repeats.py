@@ -86,16 +86,23 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_SENT.names)
 
 
-def _settled(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, values) of what is known, a few thousand at a time."""
+def _dictionary(ids: np.ndarray) -> bytes:
+    """Ids come many times: each one once, then a number for every entry."""
+    each, number = np.unique(ids, return_inverse=True)
+    return len(each).to_bytes(4, "little") + each.tobytes() + number.astype(np.uint32).tobytes()
+
+
+def _settled(keys: np.ndarray, values: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
+    """What is known, packed into one row for each block that the keys fall in."""
     if not len(keys):
         return
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    begins, _ = _groups(keys)
-    ends = np.append(begins[1:], len(keys))
-    for first in range(0, len(begins), 5000):
-        yield _sent([(-1, int(keys[b]), values[b:e].tobytes(), None, None, None) for b, e in zip(begins[first : first + 5000], ends[first : first + 5000])])
+    which = keys % blocks
+    order = np.argsort(which, kind="stable")
+    begins, _ = _groups(which[order])
+    ends = np.append(begins[1:], len(order))
+    for first in range(0, len(begins), 64):
+        parts = [order[b:e] for b, e in zip(begins[first : first + 64], ends[first : first + 64])]
+        yield _sent([(int(which[own[0]]), 1, values[own].tobytes(), _dictionary(keys[own]), None, None) for own in parts])
 
 
 def _blocks(values: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,10 +115,7 @@ def _blocks(values: np.ndarray, blocks: int, *columns: np.ndarray) -> Iterator[p
         rows = []
         for b, e in zip(begins[first : first + 64], ends[first : first + 64]):
             own = order[b:e]
-            packed = []
-            for c in columns[:2]:  # ids come many times; each is sent once, with a number for every entry
-                each, number = np.unique(c[own], return_inverse=True)
-                packed.append(len(each).to_bytes(4, "little") + each.tobytes() + number.astype(np.uint32).tobytes())
+            packed = [_dictionary(c[own]) for c in columns[:2]]
             packed += [c[own].astype(np.uint32).tobytes() for c in columns[2:]]
             rows.append((int(which[own[0]]), None, values[own].tobytes(), *packed, *[None] * (3 - len(columns))))
         yield _sent(rows)
@@ -135,7 +139,7 @@ def _shared_anchors(source: DataFrame, window: int, blocks: int) -> DataFrame:
             values, keys = values[order], keys[order]
             begins, group = _groups(values)
             shared = np.diff(np.append(begins, len(values)))[group] > 1
-            yield from _settled(keys[shared], values[shared])
+            yield from _settled(keys[shared], values[shared], blocks)
             first = np.zeros(len(values), bool)
             first[begins] = True
             yield from _blocks(values[first], blocks, keys[first])
@@ -164,37 +168,43 @@ def _shared_anchors(source: DataFrame, window: int, blocks: int) -> DataFrame:
             value, key = value[order], key[order]
             begins, group = _groups(value)
             shared = np.diff(np.append(begins, len(value)))[group] > 1
-            yield from _settled(key[shared], value[shared])
+            yield from _settled(key[shared], value[shared], blocks)
 
-    sent = source.mapInArrow(send, _SENT)
-    return _meet(sent, meet, blocks)
+    return _meet(source.mapInArrow(send, _SENT), meet, blocks, np.uint64)
 
 
-def _meet(sent: DataFrame, meet, blocks: int) -> DataFrame:
-    """Settled rows as they are, packed ones after they met by block; then one row per key."""
-    # One exchange carries both: settled rows go by their key, packed ones by their block.
-    dealt = sent.repartition(blocks, F.coalesce(F.col("key"), F.col("block").cast("long")))
+def _meet(sent: DataFrame, meet, blocks: int, kind: type) -> DataFrame:
+    """(key, values): packed entries meet by block, settled ones pass; then all of a key come together."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = batch.column(1).is_null()
-                plain = batch.filter(batch.column(1).is_valid())
-                if plain.num_rows:
-                    waiting.append(plain)
-                yield batch.filter(mask)
-
-        waiting: list[pa.RecordBatch] = []
-        source = packed()
         parts = []
-        for part in source:
-            while waiting:
-                yield waiting.pop()
-            if part.num_rows:
-                parts.append(part)
+        for batch in batches:
+            settled = batch.filter(batch.column(1).is_valid())
+            if settled.num_rows:
+                yield settled
+            parts.append(batch.filter(batch.column(1).is_null()))
         yield from meet(iter(parts))
 
-    return dealt.mapInArrow(both, _SENT).groupBy("key").agg(F.collect_list("values").alias("values"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = [], []
+        for batch in batches:
+            for v, k in zip(batch.column(2), batch.column(3)):
+                values.append(np.frombuffer(v.as_py(), kind))
+                keys.append(_unpacked(k.as_py()))
+        if not keys:
+            return
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        begins, _ = _groups(key)
+        ends = np.append(begins[1:], len(key))
+        for first in range(0, len(begins), 5000):
+            own = slice(first, first + 5000)
+            lists = [[value[b:e].tobytes()] for b, e in zip(begins[own], ends[own])]
+            yield pa.RecordBatch.from_arrays([pa.array(key[begins[own]]), pa.array(lists, pa.list_(pa.binary()))], names=["key", "values"])
+
+    met = sent.repartition(blocks, "block").mapInArrow(both, _SENT)
+    return met.repartition(blocks, "block").mapInArrow(gather, "key long, values array<binary>")
 
 
 def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
@@ -214,7 +224,7 @@ def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
             value, place, key, doc = value[order], place[order], key[order], doc[order]
             begins, group = _groups(value)
             later = doc > doc[begins][group]
-            yield from _settled(key[later], place[later])
+            yield from _settled(key[later], place[later], blocks)
             yield from _blocks(value[~later], blocks, key[~later], doc[~later], place[~later])
 
         for key, doc, text, values, _ in _rows(batches):
@@ -246,9 +256,9 @@ def _repeated_windows(source: DataFrame, window: int, blocks: int) -> DataFrame:
             value, key, doc, place = value[order], key[order], doc[order], place[order]
             begins, group = _groups(value)
             later = doc > doc[begins][group]
-            yield from _settled(key[later], place[later])
+            yield from _settled(key[later], place[later], blocks)
 
-    return _meet(source.mapInArrow(send, _SENT), meet, blocks)
+    return _meet(source.mapInArrow(send, _SENT), meet, blocks, np.uint32)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, blocks: int | None = None) -> DataFrame:
