@@ -90,7 +90,9 @@ def test_pii_against_brute_force(spark):
     texts = [None, "", "é x@y.zz_d@e.ff 1.2.3.4.5.6.7.8 999.1.1.1", "4111 1111-1111 1111 and +1 (487) 555-7209, GB82 WEST 1234 5698 7654 32", "7" * 30_000]
     spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii_spans] for r in find_pii(_docs(spark, texts)).collect()}
     assert spans[0] == spans[1] == spans[4] == []
-    assert spans[2] == [("email", 2, 8), ("email", 8, 14), ("ip", 15, 22), ("ip", 23, 30)]
+    email = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", texts[2])]
+    ip = [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", texts[2]) if all(int(x) <= 255 for x in m[0].split("."))]
+    assert len(email) == len(ip) == 2 and spans[2] == email + ip
     assert spans[3] == [("card", 0, 19), ("phone", 24, 41), ("iban", 43, 70)]
     out = {r.doc_id: r.text for r in redact(_docs(spark, texts)).collect()}
     assert out[0] is None and out[3] == "[card] and [phone], [iban]"
@@ -148,7 +150,8 @@ def test_packing_plan_places_everything(seed):
         for length, n in content:
             placed[length] += n * times
     assert placed == counts
-    assert sum(t for t, _ in plan) <= 1.05 * -(-sum(k * v for k, v in counts.items()) // 100) + 1
+    least = max(-(-sum(k * v for k, v in counts.items()) // 100), sum(v for k, v in counts.items() if k > 50))
+    assert sum(t for t, _ in plan) <= 1.05 * least + 1
 
 
 def test_packing_is_gapless(spark):
