@@ -15,17 +15,17 @@ def code_snapshot(versions: DataFrame, date: str) -> DataFrame:
     return newest_per_key(versions.filter(F.col("version_date") <= F.lit(date).cast("date")), KEY, F.desc("version_date"))
 
 
-def article_as_of(versions: DataFrame, requests: DataFrame) -> DataFrame:
+def article_as_of(versions: DataFrame, requests: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """For each request (code, article, on_date) the version that held; no version, no row.
 
     Versions and requests are laid in one order per article and each request takes the last
     version before it, so a hot article costs its rows once and not a product.
     """
     held = F.struct("version_date", "eo", "is_repealed", "article_text").alias("held")
-    v = versions.select(*KEY, F.col("version_date").alias("at"), F.lit(0).alias("kind"), held, F.lit(None).cast("long").alias("event_id"))
-    r = requests.select(*KEY, F.col("on_date").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(v.schema["held"].dataType).alias("held"), "event_id")
-    window = Window.partitionBy(*KEY).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return v.unionByName(r).withColumn("held", F.last("held", ignorenulls=True).over(window)).filter("kind = 1 and held is not null").select("event_id", *KEY, F.col("at").alias("on_date"), "held.version_date", "held.eo")
+    v = versions.select(*keys, F.col("version_date").alias("at"), F.lit(0).alias("kind"), held, F.lit(None).cast("long").alias("event_id"))
+    r = requests.select(*keys, F.col("on_date").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(v.schema["held"].dataType).alias("held"), "event_id")
+    window = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return v.unionByName(r).withColumn("held", F.last("held", ignorenulls=True).over(window)).filter("kind = 1 and held is not null").select("event_id", *keys, F.col("at").alias("on_date"), "held.version_date", "held.eo")
 
 
 def validity_intervals(versions: DataFrame) -> DataFrame:

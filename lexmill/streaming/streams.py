@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lexmill.operators.merge import upsert_last_wins
+from lexmill.sources.tables import shared_folder
 
 
 def stream_period_counts(spark: SparkSession, folder: str, files: str, schema, time_col: str, group: str, period: str = "1 day", delay: str = "2 days") -> DataFrame:
@@ -16,3 +23,39 @@ def stream_period_counts(spark: SparkSession, folder: str, files: str, schema, t
     query = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.col("w.start").cast("date").alias("period"), group, "n")
+
+
+def _arriving(spark: SparkSession, folder: str, files: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+
+
+def stream_upsert(spark: SparkSession, folder: str, files: str, schema, keys: list[str], order: str) -> DataFrame:
+    """Arriving rows merged into a stored table, last one wins. A batch that is run again gives the same table."""
+    home = f"{shared_folder(spark.range(0))}/upsert-{uuid.uuid4().hex}"
+    done = []
+
+    def merge_batch(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{home}/table-{number - 1}") if number else batch.limit(0)
+        upsert_last_wins(before, batch, keys, order).write.mode("overwrite").parquet(f"{home}/table-{number}")
+        done.append(number)
+
+    arriving = _arriving(spark, folder, files, schema)
+    arriving.writeStream.foreachBatch(merge_batch).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{home}/table-{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def stream_changes(spark: SparkSession, folder: str, files: str, schema, key: str, value: str, order: str) -> DataFrame:
+    """(key, order, value) of the rows whose value differs from the last one seen for their key."""
+    home = f"{shared_folder(spark.range(0))}/changes-{uuid.uuid4().hex}"
+    out = T.StructType([T.StructField(c, schema[c].dataType) for c in (key, order, value)])
+    state = T.StructType([T.StructField("last", schema[value].dataType)])
+
+    def changed(_, parts: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        before = rows[value].shift(1, fill_value=seen.get[0] if seen.exists else None)
+        seen.update((rows[value].iloc[-1],))
+        yield rows.loc[rows[value].ne(before), [key, order, value]]
+
+    found = _arriving(spark, folder, files, schema).select(key, order, value).groupBy(key).applyInPandasWithState(changed, out, state, "append", GroupStateTimeout.NoTimeout)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{home}/log").option("path", f"{home}/table").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out).parquet(f"{home}/table")
