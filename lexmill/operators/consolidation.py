@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,12 +40,14 @@ def consolidate(base: DataFrame, changes: DataFrame) -> DataFrame:
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         text, out = rows["text"].iloc[0] or "", []
-        for day, on_day in rows.sort_values(["version_date", "eo"]).groupby("version_date", sort=True):
-            done = 0
-            for old, new in zip(on_day["old"], on_day["new"]):
+        ordered = rows.sort_values(["version_date", "eo"])[["version_date", "old", "new"]].itertuples(index=False, name=None)
+        for day, on_day in itertools.groupby(ordered, key=lambda r: r[0]):
+            results = []
+            for _, old, new in on_day:
                 after = f"{text}\n{new}" if old is None else replace_text(text, old, new or "")
-                done, text = (done, text) if after is None else (done + 1, after)
-            out.append((rows["code_id"].iloc[0], rows["article_number"].iloc[0], day, text, done, len(on_day) - done))
+                results.append(after is not None)
+                text = text if after is None else after
+            out.append((rows["code_id"].iloc[0], rows["article_number"].iloc[0], day, text, sum(results), len(results) - sum(results)))
         return pd.DataFrame(out, columns=["code_id", "article_number", "version_date", "text", "n_applied", "n_failed"])
 
     schema = "code_id string, article_number string, version_date date, text string, n_applied long, n_failed long"
