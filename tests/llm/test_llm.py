@@ -126,6 +126,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in rows} == {i: (c, n) for i, (c, n) in enumerate(zip(component, size))}
 
 
+def test_near_duplicates_in_long_lists_against_brute_force(spark):
+    """Groups of more than eight edited copies about the threshold, and passages that unlike texts share."""
+    draw = random.Random(11)
+    words = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    passage, texts = words(14), []
+    for size, length in ((24, 90), (14, 40), (9, 160), (6, 60)):
+        base = words(length)
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(draw.randrange(0, 1 + length // 22)):
+                copy[draw.randrange(len(copy))] = f"new{draw.randrange(10**6)}"
+            texts.append(" ".join(copy[draw.randrange(3) : len(copy) - draw.randrange(3)]))
+    texts += [" ".join(words(draw.randrange(2, 25)) + passage + words(draw.randrange(2, 25))) for _ in range(30)]
+    draw.shuffle(texts)
+    component, size = _components(texts)
+    assert len(set(component)) < len(texts) - 20
+    rows = near_duplicate_components(_docs(spark, texts)).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in rows} == {i: (c, n) for i, (c, n) in enumerate(zip(component, size))}
+
+
 def test_repeats_against_brute_force(spark):
     texts = _texts(6, 25)
     words = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
