@@ -1,8 +1,9 @@
 """Toxicity: a lexicon matched with misspellings, and windows that tell quoting from abuse.
 
-The lexicon comes from labelled texts: terms much likelier in toxic ones. It is kept as a trie;
-for each term the words within its edit distance form a Levenshtein automaton, and the automata
-run together over the trie as one machine whose states are sets of (trie node, edits so far).
+The lexicon comes from labelled texts: terms much likelier in toxic ones, words or stems. A stem
+stands for all words that begin with it, so that a family of rare forms counts together. It is kept
+as a trie; for each term the words within its edit distance form a Levenshtein automaton, and the
+automata run together over the trie as one machine whose states are sets of (trie node, edits so far).
 The machine's steps are worked out when first needed and kept, so a word costs a look-up per
 letter and most words end after two or three.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,35 +32,39 @@ from lexmill.llm.common import materialize, text_or_empty
 _WORD = re.compile(r"[^\W_]+")
 #: Words of reporting or denial before or after a term, fixed values.
 REPORTING = frozenset("said says quote quoted quotes called calling word words term slur insult insults reported writes wrote never not".split())
+#: Ends a term that is a stem, and the letters of a stem.
+STEM, _STEM_LETTERS = "*", range(3, 13)
 _OPEN, _CLOSE = "\"'«“‘„", "\"'»”’“"
 
 
 def edits_allowed(term: str) -> int:
-    """Short terms must be spelt exactly; long ones may have one or two edits."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Short terms and stems must be spelt exactly; long terms may have one or two edits."""
+    return 0 if term.endswith(STEM) else 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class TermMachine:
-    """Levenshtein automata of all terms, intersected with their trie."""
+    """Levenshtein automata of all terms, intersected with their trie; a stem ends where its node is met."""
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
+        self.stem: list[int] = [-1]
         self.limit: list[int] = [-1]  # most edits that any term below a node allows
         self.terms = terms
         for i, term in enumerate(terms):
             node, allowed = 0, edits_allowed(term)
             self.limit[0] = max(self.limit[0], allowed)
-            for letter in term:
+            for letter in term.removesuffix(STEM):
                 nxt = self.children[node].get(letter)
                 if nxt is None:
                     nxt = self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.term.append(-1)
+                    self.stem.append(-1)
                     self.limit.append(-1)
                 node = nxt
                 self.limit[node] = max(self.limit[node], allowed)
-            self.term[node] = i
+            (self.stem if term.endswith(STEM) else self.term)[node] = i
         self._reset()
 
     def _reset(self) -> None:
@@ -66,6 +72,7 @@ class TermMachine:
         self.number: dict[frozenset, int] = {self.states[0]: 0}
         self.steps: dict[tuple[int, str], int] = {}
         self.ends: dict[int, tuple[int, int] | None] = {0: None}
+        self.stems: dict[int, tuple[int, int]] = {}  # of the states in which a stem is complete
         self.start = self._state({0: 0})
 
     def _state(self, edits: dict[int, int]) -> int:
@@ -84,6 +91,9 @@ class TermMachine:
             self.states.append(key)
             ends = [(e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= edits_allowed(self.terms[self.term[n]])]
             self.ends[self.number[key]] = min(ends) if ends else None
+            begun = [self.stem[n] for n, e in key if self.stem[n] >= 0 and e == 0]
+            if begun:
+                self.stems[self.number[key]] = (0, min(begun))
         return self.number[key]
 
     def _step(self, state: int, letter: str) -> int:
@@ -98,19 +108,21 @@ class TermMachine:
         return self._state(edits)
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, term) of the nearest term within its distance, or None."""
+        """(edits, term) of the nearest term within its distance, or None; the first of several."""
         if len(self.steps) > 500_000:
             self._reset()
-        state = self.start
+        state, begun = self.start, None
         for letter in word:
             nxt = self.steps.get((state, letter))
             if nxt is None:
                 nxt = self._step(state, letter)
                 self.steps[state, letter] = nxt
             if not nxt:
-                return None
+                return begun
             state = nxt
-        return self.ends[state]
+            if state in self.stems:
+                begun = min(begun or self.stems[state], self.stems[state])
+        return min((x for x in (begun, self.ends[state]) if x), default=None)
 
 
 FEATURES = ("direct exact", "direct misspelt", "quoted", "different terms", "per hundred words", "densest window")
@@ -178,28 +190,67 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients + self.intercept, -30, 30)))
 
 
-def _lexicon(texts: DataFrame, min_share: float, max_terms: int) -> list[tuple[str, float]]:
-    """Terms of toxic texts with their log odds, by weight of evidence; at most ``max_terms``."""
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (term, a, b): in how many toxic and clean texts each word and stem is."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        terms = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0]))]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["term", "a", "b"])
+
+    for batch in batches:
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = {w for w in _WORD.findall(text.as_py().lower()) if 4 <= len(w) <= 40}
+            counts[toxic].update(words)
+            counts[toxic].update({w[:k] + STEM for w in words for k in _STEM_LETTERS if k <= len(w)})
+            if len(counts[0]) + len(counts[1]) > 400_000:  # bounds memory
+                yield flush()
+    yield flush()
+
+
+def _lexicon(texts: DataFrame, least_texts: int, max_terms: int) -> list[tuple[str, float]]:
+    """Terms of toxic texts with their log odds, by the lower end of the odds; at most ``max_terms``.
+
+    A term must occur in ``least_texts`` different toxic texts, and its odds must be large and far
+    from chance. A stem must also be in twice as many toxic texts as any word that begins with it;
+    of stems that begin one another, the best one stays.
+    """
     totals = texts.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(totals["t"] or 0), int(totals["n"] - (totals["t"] or 0))
     if not toxic or not clean:
         return []
-    words = F.array_distinct(F.split(F.lower("text"), r"(?U)[\W_]+"))
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     found = (
-        texts.select("toxic", F.explode(words).alias("word"))
-        .filter(F.length("word").between(4, 40))
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .filter(F.col("a") >= max(3, min_share * toxic))
-        .withColumn("odds", odds)
-        .filter((F.col("odds") >= 2) & (F.col("odds") / spread >= 3))
-        .orderBy((F.col("odds") / spread).desc(), "word")
-        .limit(max_terms)
-        .collect()
+        texts.select("toxic", "text")
+        .mapInArrow(_count_terms, "term string, a long, b long")
+        .groupBy("term")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .filter(F.col("a") >= least_texts)
+        .withColumns({"odds": odds, "spread": spread})
+        .filter((F.col("odds") >= 2) & (F.col("odds") / F.col("spread") >= 3))
+        .select("term", "a", "odds", (F.col("odds") - 2 * F.col("spread")).alias("low"))
+        .collect()  # terms of max_rows texts that pass the tests
     )
-    return [(row["word"], min(1.0, row["odds"] / 4)) for row in found]
+    found.sort(key=lambda row: (-row["low"], row["term"].endswith(STEM), -len(row["term"]), row["term"]))
+    commonest: dict[str, int] = {}
+    for row in found:
+        for k in () if row["term"].endswith(STEM) else _STEM_LETTERS:
+            commonest[row["term"][:k]] = max(row["a"], commonest.get(row["term"][:k], 0))
+    kept, chosen, above = [], set(), set()
+    for row in found:
+        stem = row["term"].removesuffix(STEM)
+        if stem != row["term"]:
+            begun = {stem[:k] for k in range(1, len(stem) + 1)}
+            if row["a"] < 2 * commonest.get(stem, 0) or stem in above or begun & chosen:
+                continue
+            chosen.add(stem)
+            above |= begun
+        kept.append((row["term"], min(1.0, row["odds"] / 4)))
+    return kept[:max_terms]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -216,7 +267,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_terms: int = 2_000, min_share: float = 0.06) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_terms: int = 2_000, least_texts: int = 5) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows for which ``train`` (over ``labels``) holds.
 
     The sample is by a hash of the id, so it is the same for every partitioning. Equal texts
@@ -229,7 +280,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     picked = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(spread)) < share).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id")).limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "_id")  # max_rows ids
     texts = materialize(texts.groupBy(F.md5("text").alias("digest")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
-    lexicon = _lexicon(texts, min_share, max_terms)
+    lexicon = _lexicon(texts, least_texts, max_terms)
     model = ToxicityModel([t for t, _ in lexicon], [w for _, w in lexicon], np.zeros(len(FEATURES)), 0.0)
     # At most max_rows rows of a few numbers.
     rows = _with_features(texts.select(F.col("toxic").alias("_id"), "text"), model).toPandas()

@@ -231,3 +231,29 @@ def test_toxicity_learns_and_survives_empty_tables(spark):
     assert all((scores[i] >= 0.5) == (i >= 60) for i in range(90)) and scores[90] < 0.5
     empty = fit_toxicity(docs, labels.limit(0), F.lit(True))
     assert all(r.predicted == 0 for r in score_toxicity(docs, empty).collect())
+
+
+def test_toxicity_learns_rare_terms_and_stems(spark):
+    """Most toxic texts have one of twenty insults each, or one of a family of forms seen once each."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(12)
+    filler = lambda n: " ".join(f"{draw.choice('bcdfgh')}{draw.randrange(300)}xyz" for _ in range(n))
+    insults = ["".join(draw.choice("jkqvz") for _ in range(7)) for _ in range(20)]
+    family = ["grumpel" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    toxic = [(f"{filler(12)} stupid", "common") for _ in range(60)]
+    toxic += [(f"{filler(12)} {x}", "rare") for x in insults for _ in range(11)] + [(f"{filler(12)} {x}", "family") for x in family]
+    toxic = [(i, *x, 1) for i, x in enumerate(toxic)]
+    clean = [(len(toxic) + i, filler(13), "clean", 0) for i in range(3000)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string, kind string, toxic int")
+    held = F.col("doc_id") % 5 == 0
+    model = fit_toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), ~held)
+    assert "grumpel*" in model.terms and set(insults) <= set(model.terms)
+    found = score_toxicity(rows.filter(held).select("doc_id", "text"), model).join(rows, "doc_id").groupBy("kind").agg(F.avg("predicted").alias("share")).collect()
+    share = {r.kind: r.share for r in found}
+    assert min(share["common"], share["rare"], share["family"]) > 0.9 and share["clean"] < 0.02
+
+
+def test_term_machine_matches_stems():
+    machine = TermMachine(["grumpel*", "worthless"])
+    assert [machine.match(w) for w in ("grumpel", "grumpelfoo", "grumpe", "grumpfel", "worthles", "worth")] == [(0, 0), (0, 0), None, None, (1, 1), None]
