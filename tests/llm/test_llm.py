@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from lexmill.llm.audio import align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import decode_bpe, encode_bpe, encode_text, encoding
 from lexmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from lexmill.llm.ngram_join import near_duplicate_components
@@ -257,3 +258,17 @@ def test_toxicity_learns_rare_terms_and_stems(spark):
 def test_term_machine_matches_stems():
     machine = TermMachine(["grumpel*", "worthless"])
     assert [machine.match(w) for w in ("grumpel", "grumpelfoo", "grumpe", "grumpfel", "worthles", "worth")] == [(0, 0), (0, 0), None, None, (1, 1), None]
+
+
+def test_recordings_match_their_copies_however_short_or_steady(spark):
+    noise = lambda seed, n: np.random.default_rng(seed).integers(0, 256, n).astype(np.uint8).tobytes()
+    one = noise(1, 1216)  # one print
+    tone = bytes(128 + int(100 * np.sin(i * np.pi / 4)) for i in range(4096))  # its period divides the hop: one integer
+    audio = [b"short", one, tone, noise(2, 6000), b"short", one, tone, b"", None, b"", noise(3, 640) + one + noise(4, 100), noise(2, 6000)[640:4000], b"other", tone[:3000]]
+    audio += [one + b"\x80" * 63]  # too short for another print, no exact copy
+    docs = spark.createDataFrame([(i, None if a is None else bytearray(a)) for i, a in enumerate(audio)], "doc_id long, audio binary")
+    rows = {r.doc_id: r for r in align_recordings(fingerprint_audio(docs, "doc_id", "audio"), "doc_id").collect()}
+    assert len(rows) == len(audio)
+    found = {i: (r.match_id, r.offset, r.bit_error_rate) for i, r in rows.items() if r.match_id is not None}
+    assert found == {4: (0, 0, 0.0), 5: (1, 0, 0.0), 6: (2, 0, 0.0), 11: (3, -10, 0.0), 13: (2, 0, 0.0), 14: (1, 0, 0.0)}
+    assert (rows[4].votes, rows[5].votes, rows[6].votes) == (0, 1, rows[6].n_prints)
