@@ -7,12 +7,15 @@ prefix), so classes meet in the lists of their prefix shingles, subject to lengt
 filters and to the number of lists they have in common; a suffix filter and the exact count follow
 once per pair.
 
-A list of eight members at most gives the pairs that pass the filters. A longer list is not expanded
-into pairs. The class that shares most of its prefix is its centre, and every member is first compared with that: a class of thousands of near copies costs thousands of comparisons. What
-remains is settled exactly by distance (1 - Jaccard is a metric): two members can only be similar
-if their distances to the centre differ by at most 0.2, so members close to the centre need
-comparing only with those whose distance is at most 0.4. The rest of the list goes through the same
-again, and only what then still lies in different components is compared pair by pair.
+A list of eight members at most gives the pairs that pass the filters. A longer list is not
+expanded into pairs. The class that shares most of its prefix is its centre, and every other member
+is compared with that: a class of thousands of near copies costs thousands of comparisons and is one
+component then. For members that are still in different components the list is split further:
+each member is written as its *difference* from the centre, the shingles that only one of the two
+has. The difference of two differences is the difference of the two sets, so two members are similar
+if and only if their differences have enough in common, and the same prefix filter applies to them:
+they must share one of the rarest shingles of their differences. What all members share with the
+centre is in no difference and so in no list any more. The new lists go through the same again.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexmill.llm.common import materialize, shared_table, text_or_empty
+from lexmill.llm.common import shared_table, text_or_empty
 from lexmill.llm.components import connected_components
 from lexmill.llm.word_hash import mix, shingle_set
 
 #: Buckets of the shingle counts, and of one row of them on their way.
 _BUCKETS, _ROW = 1 << 20, 1 << 14
-_LIST = ("shingle", "node", "n", "pos", "prio")
+#: A member of a list: its class, the sizes of its set and of its difference, the shingle's place in that, its component.
+_MEMBER = ("node", "n", "d", "pos", "component")
 #: Rounds by centres at most, and the size of lists that need none: their members meet where the list is made.
 _ROUNDS, _SMALL_LIST = 2, 8
+#: Lists in buckets of more documents than this (and 16 times the mean) are not read by one window.
+_HEAVY = 20_000
 #: Pairs of two longs that are broadcast to the texts rather than joined by a shuffle.
 _BROADCAST_PAIRS = 100_000
 
@@ -50,6 +56,12 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(_signed(mix(a.sum(dtype=np.uint64, keepdims=True)))[0]), int(_signed(mix(b.sum(dtype=np.uint64, keepdims=True)))[0])
 
 
+def _class_of(shingles: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
+    """The class of a set: its first sum, or the name given to it where different sets have that in common."""
+    node, check = _fingerprint(shingles)
+    return renamed.get((node, check), node) if renamed else node
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
@@ -97,8 +109,15 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _rarity(spark: SparkSession, scanned: DataFrame) -> np.ndarray:
-    """Class of frequency of every bucket, a byte each; all documents are counted."""
+def _renamed(documents: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of the sets whose first sum is that of another set: chance gives n^2 / 2^65 of them for n sets."""
+    shared = documents.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("last")).filter("least <> last")
+    found = documents.select("node", "check").join(shared, "node").filter("check <> least").distinct().collect()
+    return {(row["node"], row["check"]): row["check"] for row in found}
+
+
+def _rarity(spark: SparkSession, scanned: DataFrame) -> tuple[np.ndarray, int]:
+    """Class of frequency of every bucket, a byte each, and the class from which a bucket is heavy; all documents are counted."""
     schema = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +131,22 @@ def _rarity(spark: SparkSession, scanned: DataFrame) -> np.ndarray:
 
     rows = _BUCKETS // _ROW
     merged = scanned.filter("row is not null").select("row", "counts").repartition(rows, "row").mapInArrow(add, schema)
-    out = np.zeros(_BUCKETS, np.uint8)
+    out, total = np.zeros(_BUCKETS, np.uint8), 0
+    classes = lambda counts: np.minimum(255, np.log2(counts + 1) * 4).astype(np.uint8)
     for found in merged.collect():  # at most 64 rows of 16,384 counts
         counts = np.frombuffer(zlib.decompress(bytes(found["counts"])), np.int64)
-        out[found["row"] * _ROW : (found["row"] + 1) * _ROW] = np.minimum(255, np.log2(counts + 1) * 4).astype(np.uint8)
-    return out
+        total += int(counts.sum())
+        out[found["row"] * _ROW : (found["row"] + 1) * _ROW] = classes(counts)
+    return out, int(classes(np.array([max(_HEAVY, 16 * total // _BUCKETS)]))[0]) + 1
+
+
+def _rare_first(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return np.lexsort((shingles, classes[_bucket(shingles)]))
 
 
-def _postings(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
-    """(shingle, node, n, pos) for the prefix of every class, once per task at most."""
-    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
+def _postings(docs: DataFrame, width: int, percent: int, rarity, heavy: int, renamed) -> DataFrame:
+    """(key, node, n, pos, heavy) for the prefix of every class, once per task at most; the key is the shingle."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("heavy", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.value
@@ -137,13 +162,13 @@ def _postings(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
         for _, text in _texts(batches):
             shingles = shingle_set(text, width)
             n = len(shingles)
-            node = _fingerprint(shingles)[0] if n else 0
+            node = _class_of(shingles, renamed.value) if n else 0
             if not n or node in seen:
                 continue
             seen.add(node)
             prefix = n - -(-percent * n // 100) + 1
-            order = np.lexsort((shingles, classes[_bucket(shingles)]))[:prefix]
-            parts.append((_signed(shingles[order]), np.full(prefix, node), np.full(prefix, n, np.int32), np.arange(prefix, dtype=np.int32)))
+            first = shingles[_rare_first(shingles, classes)[:prefix]]
+            parts.append((_signed(first), np.full(prefix, node), np.full(prefix, n, np.int32), np.arange(prefix, dtype=np.int32), classes[_bucket(first)] >= heavy))
             size += prefix
             if size >= 200_000:
                 yield flush()
@@ -170,39 +195,85 @@ def _suffix_allows(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) -> b
     return _suffix_allows(a[:i], b[:j], need - right, depth - 1) and _suffix_allows(a[i:], b[j:], need - left, depth - 1)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, exact_from: int) -> DataFrame:
-    """(a, b, shared, total) of the pairs, counted exactly on the texts; of pairs that the suffix filter puts below ``exact_from`` percent, no counts (null)."""
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of the pairs and their other columns; the pairs of one ``a`` come together."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     left, asked = side("a"), pairs
     if pairs.count() <= _BROADCAST_PAIRS:  # else both joins shuffle
         left, asked = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), F.broadcast(pairs)
-    joined = side("b").join(asked, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return side("b").join(asked, "b").join(left, "a").select("a", "b", "text_a", "text_b", *pairs.columns[2:])
+
+
+def _set_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Each batch of (a, b, text_a, text_b) with the sets of its pairs."""
+    known, known_set = None, None
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal known, known_set
+        left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+        for i, a in enumerate(batch.column(0).to_pylist()):
+            if a != known:
+                known, known_set = a, shingle_set(left[i].as_py(), width)
+            yield known_set, shingle_set(right[i].as_py(), width)
+
+    for batch in batches:
+        step = max(1, int(8_000_000 * batch.num_rows / max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            yield part, sets(part)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    merged = np.concatenate([a, b])
+    merged.sort()
+    return int(np.count_nonzero(merged[1:] == merged[:-1]))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, shared, total) of the pairs, counted exactly on the texts; of pairs that the suffix filter rules out, no counts (null)."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "shared", "total")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_set = None, None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+        for batch, sets in _set_pairs(batches, width):
             shared, total = [], []
-            for i in range(batch.num_rows):
-                if a[i] != known:  # pairs of one centre come together
-                    known, known_set = a[i], shingle_set(left[i].as_py(), width)
-                other = shingle_set(right[i].as_py(), width)
-                both = len(known_set) + len(other)
-                need = -(-exact_from * both // (100 + exact_from))
-                if _suffix_allows(known_set, other, need):
-                    merged = np.concatenate([known_set, other])
-                    merged.sort()
-                    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                    shared.append(common)
-                    total.append(both - common)
-                else:
-                    shared.append(None)
-                    total.append(None)
+            for one, other in sets:
+                both = len(one) + len(other)
+                common = _common(one, other) if _suffix_allows(one, other, -(-percent * both // (100 + percent))) else None
+                shared.append(common)
+                total.append(None if common is None else both - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).dropDuplicates(["a", "b"])
+    return _beside(pairs, texts).mapInArrow(run, schema).dropDuplicates(["a", "b"])
+
+
+def _recode(pairs: DataFrame, texts: DataFrame, width: int, percent: int, rarity) -> DataFrame:
+    """(a, b, shared, total, n, d, prefix) of centres a and members b: exact counts, and b written as its difference from a.
+
+    n is the size of b's set, d that of the difference. Its order is by how many differences from
+    the same centre a shingle is likely to be in: of b's own shingles the number of documents that
+    have it, of those it lacks the number of members (``pairs.size``) less that. The prefix has as
+    many as a similar member's difference can miss and one more.
+    """
+    schema = T.StructType(
+        [T.StructField(n, T.LongType()) for n in ("a", "b", "shared", "total")] + [T.StructField(n, T.IntegerType()) for n in ("n", "d")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _set_pairs(batches, width):
+            rows = []
+            for (one, other), size in zip(sets, batch.column(4).to_pylist()):
+                common, n = _common(one, other), len(other)
+                most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+                apart = [np.setdiff1d(other, one, assume_unique=True), np.setdiff1d(one, other, assume_unique=True)]
+                own, lacked = (2.0 ** (rarity.value[_bucket(x)] / 4.0) for x in apart)
+                order = np.lexsort((np.concatenate(apart), np.concatenate([own, np.maximum(size - lacked, size / 8)])))
+                first = np.concatenate(apart)[order[: most + 1]]
+                rows.append((common, len(one) + n - common, n, len(apart[0]) + len(apart[1]), _signed(first)))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
+
+    return _beside(pairs, texts).mapInArrow(run, schema).dropDuplicates(["a", "b"])
 
 
 def _least_shared(n_a: str, n_b: str, percent: int) -> F.Column:
@@ -216,8 +287,19 @@ def _least_shared(n_a: str, n_b: str, percent: int) -> F.Column:
     return overlap - F.ceil(percent * F.greatest(n_a, n_b) / 100) + 1
 
 
-def _lengths_allow(a: str, b: str, percent: int) -> F.Column:
-    return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
+def _fits(x: dict[str, F.Column], y: dict[str, F.Column], percent: int, every: bool = False) -> F.Column:
+    """The length, prefix and positional filters for two members of one list.
+
+    Similar sets differ in at most h shingles, so their differences from one centre (at first the
+    empty set) have at least ``need`` in common, and the first of those is in both prefixes that
+    are due for the two; with ``every``, all lists that they have in common pass.
+    """
+    h = F.floor((100 - percent) * (x["n"] + y["n"]) / (100 + percent))
+    need = F.ceil((x["d"] + y["d"] - h) / 2)
+    most = F.least(x["pos"], y["pos"]) + F.least(x["d"] - x["pos"], y["d"] - y["pos"])
+    lengths = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    first = F.lit(True) if every else (x["pos"] <= x["d"] - need) & (y["pos"] <= y["d"] - need)
+    return lengths & first & (most >= need)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -225,139 +307,148 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     documents: one row per input row with its id, n (set size) and node (its class; null without
     words). links: pairs of classes a < b that were found similar, with shared and total counts.
-    They connect every two similar classes, though not each such pair is listed. components:
-    (node, component) of every class with a link.
+    They connect every two similar classes, though not each such pair is listed: members of one
+    component are not compared with one another. components: (node, component) of every class
+    with a link.
     """
+    return _join(docs, id_col, text_col, width, percent)[:3]
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """What :func:`similar_classes` gives, and the new names of classes."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
-    scanned = materialize(_scan(source, width))
-    rarity = spark.sparkContext.broadcast(_rarity(spark, scanned))  # 2^20 bytes
-    documents = scanned.filter("row is null").select("_id", "n", "node")
+    scanned = shared_table(_scan(source, width))
+    classes, heavy = _rarity(spark, scanned)
+    rarity = spark.sparkContext.broadcast(classes)  # 2^20 bytes
+    documents = scanned.filter("row is null").select("_id", "n", "node", "check")
+    names = _renamed(documents.filter("node is not null"))
+    renamed = spark.sparkContext.broadcast(names)  # clashes of 64-bit sums: hardly ever any
+    documents = _with_names(documents, names)
     empty_links = spark.createDataFrame([], "a long, b long, shared long, total long")
-    met = materialize(_met(_postings(source, width, percent, rarity), percent))
-    pairs = met.filter("partners is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("partners").alias("other"))
-    close_by = materialize(pairs.select("a", F.col("other.node").alias("b"), "na", F.col("other.n").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists")))
-    likely = close_by.filter(F.col("lists") >= _least_shared("na", "nb", percent)).select("a", "b", "lists")
-    lists = met.filter("partners is null").select("shingle", "node", "n", "pos")
-    # A class whose prefix is mostly shared is near the middle of its copies; edits make rare shingles of one's own.
-    central = lists.groupBy("node").agg((-F.count(F.lit(1)) / F.max("n")).alias("prio"))
-    lists = materialize(lists.join(central, "node").select(*_LIST))
+    close_by, lists = _met_first(_postings(source, width, percent, rarity, heavy, renamed), percent)
+    held = lists.groupBy("node").agg(F.count(F.lit(1)).alias("held"))  # in how many long lists a class is
+    counts = [held.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
+    in_long = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+    close_by = shared_table(close_by.join(counts[0], "a", "left").join(counts[1], "b", "left").filter(F.col("lists") + in_long >= _least_shared("na", "nb", percent)).select("a", "b", "lists"))
     if lists.isEmpty() and close_by.isEmpty():
-        return documents, empty_links, spark.createDataFrame([], "node long, component long")
-    named = lists.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct()  # other pairs need long lists too
+        return documents, empty_links, spark.createDataFrame([], "node long, component long"), names
+    named = lists.select("node").unionByName(close_by.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     owners = documents.join(named, "node").groupBy("node").agg(F.min("_id").alias("_id"))
-    texts = shared_table(_texts_of(source, owners, width))
-    # Distances up to 0.4 matter, so the filters of the first rounds work with Jaccard 0.6.
-    loose = 2 * percent - 100
+    texts = shared_table(_texts_of(source, owners, width, renamed))
     # First every class with one partner only, that of most of its lists; this joins most copies.
-    first = _allowed(_star(lists), loose).select("a", "b", "lists").unionByName(likely)
-    first = first.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    checked = materialize(_verify(materialize(first), texts, width, percent, loose))
+    star = _star(lists)
+    first = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).unionByName(close_by)
+    first = first.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+    checked = shared_table(_verify(shared_table(first), texts, width, percent))
     components = _components(checked, percent)
-    lists, later = _mixed(_with_component(lists, components)), []
+    lists, more = _mixed(_with_component(lists.drop("component"), components)), []
     for _ in range(_ROUNDS):
-        if (lists.groupBy("shingle").count().agg(F.max("count")).first()[0] or 0) <= _SMALL_LIST:
+        if lists.isEmpty():
             break
-        star = materialize(_star(lists))
-        asked = _allowed(star, loose).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = checked.unionByName(materialize(_verify(materialize(asked), texts, width, percent, loose)))
+        pairs = shared_table(_star(lists).select("a", "b").distinct())
+        sized = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")), "a").select("a", "b", "size")
+        coded = shared_table(_recode(sized, texts, width, percent, rarity))
+        fresh = coded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "total")
+        checked = shared_table(checked.unionByName(fresh).dropDuplicates(["a", "b"]))
         components = _components(checked, percent)
-        judged = (
-            star.join(checked, ["a", "b"], "left")
-            .select(
-                "shingle",
-                F.col("b").alias("node"),
-                "n",
-                "pos",
-                "prio",
-                F.coalesce(F.col("shared") * 100 >= percent * F.col("total"), F.lit(False)).alias("close"),
-                F.coalesce(F.col("shared") * 100 >= loose * F.col("total"), F.lit(False)).alias("near"),
-            )
-        )
-        judged = materialize(_with_component(judged, components))
-        apart = _side(judged.filter("close"), "x").join(_side(judged.filter("near and not close"), "y"), "shingle").filter((F.col("component_x") != F.col("component_y")) & _possible(percent))
-        later.append(apart)
-        lists = _mixed(judged.filter("not close").select(*_LIST, "component"))
-    # What is left: members of one list in different components, none of them close to a centre.
-    rest = _side(lists, "x").join(_side(lists, "y"), "shingle").filter((F.col("component_x") < F.col("component_y")) & _possible(percent))
-    for apart in later:
-        rest = rest.unionByName(apart)
-    named = [components.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab"]
-    close_by = close_by.join(named[0], "a", "left").join(named[1], "b", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
-    # All lists that such a pair has in common are here now, so their number decides whether it can be similar.
-    rest = (
-        rest.select(*[F.when(F.col("node_x") < F.col("node_y"), F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(name) for c, p, q, name in (("node", "x", "y", "a"), ("node", "y", "x", "b"), ("n", "x", "y", "na"), ("n", "y", "x", "nb"))], F.lit(1).cast("long").alias("lists"))
-        .unionByName(close_by.select("a", "b", "na", "nb", "lists"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("lists").alias("lists"))
-        .filter(F.col("lists") >= _least_shared("na", "nb", percent))
-        .select("a", "b")
-        .join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    fresh = materialize(_verify(materialize(rest), texts, width, percent, percent))
+        members = _with_component(coded.select("a", F.col("b").alias("node"), "n", "d", "prefix"), components)
+        small, lists = _met(_split(members, percent), percent)
+        more.append(small.select("a", "b"))
+        lists = _mixed(lists)
+    rest = _member_pairs(lists, percent)  # what the rounds leave of long lists
+    for pairs in (close_by.select("a", "b"), *more):
+        rest = rest.unionByName(pairs)
+    ends = [components.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab"]
+    apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
+    rest = rest.distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = shared_table(_verify(shared_table(rest), texts, width, percent))
     similar = checked.unionByName(fresh).filter(F.col("shared") * 100 >= percent * F.col("total"))
     if not fresh.filter(F.col("shared") * 100 >= percent * F.col("total")).isEmpty():
         components = _components(similar, percent)
-    return documents, similar, components
+    return documents, similar, components, names
 
 
-def _met(postings: DataFrame, percent: int) -> DataFrame:
-    """The lists of two classes or more.
+def _split(members: DataFrame, percent: int) -> DataFrame:
+    """(key and member) of the lists by (centre, shingle of the difference).
 
-    In a list of at most ``_SMALL_LIST`` members, ``partners`` of a member are the classes after it
-    that pass the length and positional filters, and members without any are left out. In longer
-    lists ``partners`` is null.
+    ``members``: a, node, n, d, prefix, component. Only shingles early enough for the least
+    difference of any member of another component are due; a centre with one component has none.
     """
-    by_node, whole = Window.partitionBy("shingle").orderBy("node"), Window.partitionBy("shingle")
+    least = members.groupBy("a", "component").agg(F.min("d").alias("d"))
+    first = least.groupBy("a").agg(F.min(F.struct("d", "component")).alias("first"))
+    second = least.join(first, "a").filter("component <> first.component").groupBy("a", "first").agg(F.min("d").alias("second"))
+    other = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.d"))
+    h = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / (100 + percent))
+    due = members.join(second, "a").withColumn("due", F.col("d") - F.ceil((F.col("d") + other - h) / 2))
+    placed = due.select("a", "node", "n", "d", "component", "due", F.posexplode("prefix").alias("pos", "shingle")).filter("pos <= due")
+    return placed.select(F.xxhash64("a", "shingle").alias("key"), *_MEMBER)
+
+
+def _with_names(documents: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
+    """The documents' classes, where different sets had one name with their new names."""
+    node = F.col("node")
+    for (first, check), name in names.items():
+        node = F.when((F.col("node") == first) & (F.col("check") == check), F.lit(name)).otherwise(node)
+    return documents.select("_id", "n", node.alias("node"))
+
+
+def _met_first(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the postings: pairs (a, b, na, nb, lists) that met in short lists, and the members of long lists."""
+    postings = postings.select("key", "node", "n", F.col("n").alias("d"), "pos", F.col("node").alias("component"), "heavy")
+    small, long_lists = _met(postings.filter("not heavy").drop("heavy"), percent, every=True)
+    # A list that may be very long is spread by member, and counted with partial sums; its members are never in one task.
+    members = shared_table(postings.filter("heavy").drop("heavy").distinct())
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    lists = shared_table(long_lists.unionByName(members.join(several, "key")))
+    return small.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists")), lists
+
+
+def _met(postings: DataFrame, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of lists of at most ``_SMALL_LIST`` members the pairs a < b in different components that pass the filters; the members of longer ones."""
+    by_node, whole = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
     # Each task has named a class once; a class that several tasks have named stands next to itself.
     several = (
         postings.withColumns({"before": F.lag("node").over(by_node), "after": F.lead("node").over(by_node)})
         .filter("(before is not null or after is not null) and (before is null or before <> node)")
-        .select("shingle", "node", "n", "pos")
+        .select("key", *_MEMBER)
     )
-    following = [F.lead(F.struct("node", "n", "pos"), k).over(by_node) for k in range(1, _SMALL_LIST)]
+    following = [F.lead(F.struct(*_MEMBER), k).over(by_node) for k in range(1, _SMALL_LIST)]
     sized = several.withColumns({"size": F.count(F.lit(1)).over(whole), "following": F.array(*following)}).filter("size > 1")
+    own = {c: F.col(c) for c in _MEMBER}
 
     def fits(other: F.Column) -> F.Column:
-        n, pos, other_n, other_pos = F.col("n"), F.col("pos"), other["n"], other["pos"]
-        most = F.least(pos, other_pos) + F.least(n - pos, other_n - other_pos)
-        return other.isNotNull() & (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * most >= percent * (n + other_n))
+        return other.isNotNull() & (other["component"] != own["component"]) & _fits(own, {c: other[c] for c in _MEMBER}, percent, every)
 
     partners = F.when(F.col("size") <= _SMALL_LIST, F.transform(F.filter("following", fits), lambda other: F.struct(other["node"].alias("node"), other["n"].alias("n"))))
-    return sized.withColumn("partners", partners).filter("partners is null or size(partners) > 0").select("shingle", "node", "n", "pos", "partners")
+    met = shared_table(sized.withColumn("partners", partners).filter("partners is null or size(partners) > 0").select("key", *_MEMBER, "partners"))
+    pairs = met.filter("partners is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("partners").alias("other"))
+    return pairs.select("a", F.col("other.node").alias("b"), "na", F.col("other.n").alias("nb")), met.filter("partners is null").select("key", *_MEMBER)
 
 
 def _star(lists: DataFrame) -> DataFrame:
-    """Each member of a list beside the list's centre (its smallest class): shingle, a, b and their sizes and positions."""
-    centre = lists.groupBy("shingle").agg(F.min(F.struct("prio", "node", "n", "pos")).alias("c"))
-    star = lists.join(centre, "shingle").filter("node <> c.node")
-    return star.select("shingle", F.col("c.node").alias("a"), F.col("node").alias("b"), "n", "pos", "prio", F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
-
-
-def _most(n_a: str, pos_a: str, n_b: str, pos_b: str) -> F.Column:
-    """How much two sets can share, given the places of one shared shingle in each."""
-    return F.least(pos_a, pos_b) + F.least(F.col(n_a) - F.col(pos_a), F.col(n_b) - F.col(pos_b))
+    """Each member of a list beside the list's centre: (key, a, b).
 
-
-def _allowed(star: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the length and positional filters."""
-    pairs = star.groupBy("a", "b").agg(F.min("n").alias("nb"), F.min("na").alias("na"), F.min(_most("na", "pa", "n", "pos")).alias("most"), F.count(F.lit(1)).alias("lists"))
-    return pairs.filter(_lengths_allow("na", "nb", percent) & ((100 + percent) * F.col("most") >= percent * (F.col("na") + F.col("nb"))))
+    The centre shares most of its set: edits make rare shingles of one's own.
+    """
+    central = lists.groupBy("node").agg((-F.count(F.lit(1)) / F.max("n")).alias("prio"))
+    named = lists.select("key", "node").join(central, "node")
+    centre = named.groupBy("key").agg(F.min(F.struct("prio", "node")).alias("c"))
+    return lists.select("key", "node").join(centre, "key").filter("node <> c.node").select("key", F.col("c.node").alias("a"), F.col("node").alias("b"))
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
     """The lists with members in different components."""
-    mixed = lists.groupBy("shingle").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("shingle")
-    return materialize(lists.join(mixed, "shingle"))
-
-
-def _possible(percent: int) -> F.Column:
-    """The length and positional filters for two members of one list."""
-    return _lengths_allow("n_x", "n_y", percent) & ((100 + percent) * _most("n_x", "pos_x", "n_y", "pos_y") >= percent * (F.col("n_x") + F.col("n_y")))
+    mixed = lists.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("key")
+    return shared_table(lists.join(mixed, "key"))
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "pos", "component")])
+def _member_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of one list in different components that pass the filters."""
+    side = lambda s: lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in _MEMBER])
+    x, y = ({c: F.col(f"{c}_{s}") for c in _MEMBER} for s in "xy")
+    met = side("x").join(side("y"), "key").filter((x["component"] < y["component"]) & _fits(x, y, percent))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
 def _components(checked: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +459,7 @@ def _with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _texts_of(source: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+def _texts_of(source: DataFrame, owners: DataFrame, width: int, renamed) -> DataFrame:
     """(node, text): one document of each class; a repeated id with another text is told by its set.
 
     A task names a class once. Where a repeated row's copies fall to several tasks, a class may come
@@ -385,7 +476,7 @@ def _texts_of(source: DataFrame, owners: DataFrame, width: int) -> DataFrame:
                 nodes = part.column(0).to_pylist()
                 good = []
                 for node, t in zip(nodes, part.column(1).cast(pa.binary())):
-                    good.append(node not in named and _fingerprint(shingle_set(t.as_py(), width))[0] == node)
+                    good.append(node not in named and _class_of(shingle_set(t.as_py(), width), renamed.value) == node)
                     if good[-1]:
                         named.add(node)
                 yield part.filter(pa.array(good, pa.bool_()))
@@ -396,25 +487,63 @@ def _texts_of(source: DataFrame, owners: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, n_links of its class.
-
-    ``component_id`` is the smallest id reachable by links. A document without words (null,
-    empty or blank text) is linked with nothing. Documents with equal sets are linked; repeated
-    rows are ordinary rows; a null id ranks after all others. An empty table gives an empty
-    result; other columns are not read.
+    """One row per input row: id, n_shingles, component_id, n_connecting.
+
+    ``component_id`` is the smallest id reachable by links. ``n_connecting`` is the number of
+    verified links to other sets that connect its set to the component: every set with a link has
+    one, but sets of one component are not all compared, so it is no count of all links. A
+    document without words (null, empty or blank text) is linked with nothing. Documents with
+    equal sets are linked; repeated rows are ordinary rows; a null id ranks after all others. An
+    empty table gives an empty result; other columns are not read.
     """
     documents, links, components = similar_classes(docs, id_col, text_col, width, percent)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = _with_component(documents.filter("node is not null").groupBy("node").agg(F.min("_id").alias("least")), components)
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "component").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_connecting"))
+    named = _winners(documents, components).join(ends, "node", "left").select("node", "best", F.coalesce("n_connecting", F.lit(0)).alias("n_connecting"))
     return documents.join(named, "node", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.col("_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("best.id")).alias("component_id"),
+        F.coalesce("n_connecting", F.lit(0)).alias("n_connecting"),
     )
 
 
+def _winners(documents: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, best): for every class the smallest id of its component (null last) and that document's class."""
+    own = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("node").alias("of"))
+    classes = _with_component(documents.filter("node is not null").groupBy("node").agg(F.min(own).alias("own")), components)
+    best = classes.groupBy("component").agg(F.min("own").alias("best"))
+    return classes.join(best, "component").select("node", "best")
+
+
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the one with the smallest id."""
-    found = near_duplicate_components(docs, id_col, text_col, width, percent)
-    dropped = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """The rows of ``docs`` that stay, with all columns: exactly one of each component, that with the smallest id.
+
+    A null id ranks after all others. Of rows with one id and equal sets any one stays; rows with
+    one id and different texts are judged each by its own component. Documents without words all
+    stay. An empty table gives an empty one; columns of any name pass (but ``_nj_key``, ``_nj_node``).
+    """
+    documents, _, components, names = _join(docs, id_col, text_col, width, percent)
+    judged = documents.join(_winners(documents, components), "node", "left")
+    stays = F.col("node").isNull() | ((F.col("best.of") == F.col("node")) & F.col("best.id").eqNullSafe(F.col("_id")))
+    judged = shared_table(judged.select(F.xxhash64("_id").alias("_nj_key"), F.col("node").alias("_nj_node"), stays.alias("stays")))
+    # Ids that stand for one row alone decide by themselves; rows that share an id are told apart by their sets.
+    by_id = judged.groupBy("_nj_key").agg(F.count(F.lit(1)).alias("rows"), F.min("stays").alias("stays"))
+    several = shared_table(by_id.filter("rows > 1").select("_nj_key"))
+    keyed = docs.withColumn("_nj_key", F.xxhash64(F.col(id_col)))
+    kept = keyed.join(by_id.filter("rows > 1 or not stays").select("_nj_key"), "_nj_key", "left_anti")
+    if not several.isEmpty():
+        schema = T.StructType([*keyed.schema.fields, T.StructField("_nj_node", T.LongType())])
+
+        def add_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).cast(pa.binary())
+                sets = (shingle_set(t.as_py() or b"", width) for t in texts)
+                nodes = pa.array([_class_of(s, names) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=schema.names)
+
+        shared = keyed.join(several, "_nj_key", "left_semi").select(*keyed.columns).mapInArrow(add_class, schema)
+        winners = judged.filter("stays and _nj_node is not null").select("_nj_key", "_nj_node").distinct()
+        one = F.row_number().over(Window.partitionBy("_nj_key", "_nj_node").orderBy("_nj_key"))
+        chosen = shared.join(winners, ["_nj_key", "_nj_node"], "left_semi").withColumn("_nj_one", one).filter("_nj_one = 1")
+        kept = kept.unionByName(chosen.select(*keyed.columns)).unionByName(shared.filter("_nj_node is null").select(*keyed.columns))
+    return kept.select(*docs.columns)
