@@ -319,12 +319,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns; one pass, no join."""
+    """The rows of ``docs`` that score below 0.5, with all their columns; one pass, no join.
+
+    A null or empty text gets the model's base score. Rows are judged one by one, so repeated
+    rows share their fate; an empty table gives an empty one; columns of any name pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            found = np.array([model.features(text or "") for text in texts], float).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.probability(found) < 0.5))
+            step = max(1, int(8_000_000 * batch.num_rows / max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                texts = part.column(part.schema.get_field_index(text_col))
+                found = np.array([model.features(text.as_py() or "") for text in texts], float).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(model.probability(found) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
