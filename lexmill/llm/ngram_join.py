@@ -15,7 +15,8 @@ each member is written as its *difference* from the centre, the shingles that on
 has. The difference of two differences is the difference of the two sets, so two members are similar
 if and only if their differences have enough in common, and the same prefix filter applies to them:
 they must share one of the rarest shingles of their differences. What all members share with the
-centre is in no difference and so in no list any more. The new lists go through the same again.
+centre is in no difference and so in no list any more. The members of a small group are compared by
+their differences in one task; those of a large one make new lists, which go through the same again.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _BUCKETS, _ROW = 1 << 20, 1 << 14
 _MEMBER = ("node", "n", "d", "pos", "component")
 #: Rounds by centres at most, and the size of lists that need none: their members meet where the list is made.
 _ROUNDS, _SMALL_LIST = 2, 8
+#: Members of a centre, and shingles in their prefixes, that a task compares at once; larger groups are split by lists.
+_GROUP, _GROUP_SHINGLES = 1024, 500_000
 #: Lists in buckets of more documents than this (and 16 times the mean) are not read by one window.
 _HEAVY = 20_000
 #: Pairs of two longs that are broadcast to the texts rather than joined by a shuffle.
@@ -353,8 +356,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
         checked = shared_table(checked.unionByName(fresh).dropDuplicates(["a", "b"]))
         components = _components(checked, percent)
         members = _with_component(coded.select("a", F.col("b").alias("node"), "n", "d", "prefix"), components)
-        small, lists = _met(_split(members, percent), percent)
-        more.append(small.select("a", "b"))
+        few, many = _by_size(members)
+        small, lists = _met(_split(many, percent), percent)
+        more += [small.select("a", "b"), shared_table(_pairs_of_groups(few, percent))]
         lists = _mixed(lists)
     rest = _member_pairs(lists, percent)  # what the rounds leave of long lists
     for pairs in (close_by.select("a", "b"), *more):
@@ -369,6 +373,54 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     return documents, similar, components, names
 
 
+def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the centres' members in several components: those of small groups, which a task can hold, and the others."""
+    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("prefix")).alias("shingles"), F.min("component").alias("l"), F.max("component").alias("h"))
+    small = (F.col("rows") <= _GROUP) & (F.col("shingles") <= _GROUP_SHINGLES)
+    sized = shared_table(sizes.filter("l <> h").select("a", small.alias("small")))
+    return members.join(sized.filter("small").select("a"), "a"), members.join(sized.filter("not small").select("a"), "a")
+
+
+def _pairs_of_groups(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each centre's members the pairs in different components whose prefixes have enough in common."""
+
+    def pairs(group: list[tuple]) -> np.ndarray:
+        node, component, n, d = (np.array(c, np.int64) for c in list(zip(*group))[:4])
+        lengths = np.array([len(row[4]) for row in group])
+        _, number, times = np.unique(np.concatenate([row[4] for row in group]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(group)), lengths)[times[number] > 1]
+        number = (np.cumsum(times > 1) - 1)[number[times[number] > 1]]
+        common = np.zeros((len(group), len(group)), np.float32)
+        for first in range(0, int((times > 1).sum()), 2048):
+            here = (number >= first) & (number < first + 2048)
+            has = np.zeros((len(group), 2048), np.float32)
+            has[owner[here], number[here] - first] = 1
+            common += has @ has.T
+        h = (100 - percent) * (n[:, None] + n) // (100 + percent)
+        need = -((h - d[:, None] - d) // 2)
+        behind = np.maximum((d - lengths)[:, None], d - lengths)  # what the prefixes leave out of one of them
+        fits = (common >= np.maximum(1, need - behind)) & (component[:, None] < component) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+        x, y = np.nonzero(fits)
+        return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        centre = None
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(5)]
+            for i, a in enumerate(plain[0]):
+                if a != centre and group:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(group)], names=["a", "b"])
+                    group = []
+                centre = a
+                group.append((*(c[i] for c in plain[1:]), batch.column(5)[i].values.to_numpy()))
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(group)], names=["a", "b"])
+
+    together = members.select("a", "node", "component", "n", "d", "prefix").repartition("a").sortWithinPartitions("a")
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
 def _split(members: DataFrame, percent: int) -> DataFrame:
     """(key and member) of the lists by (centre, shingle of the difference).
 
