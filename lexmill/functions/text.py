@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 #: Phrases that tell a code, in the order in which they are tried; fixed values.
 CODE_PHRASES = (
-    ("TK_RF", "трудовой кодекс"),
-    ("GK_RF", "гражданский кодекс"),
-    ("UK_RF", "уголовный кодекс"),
-    ("NK_RF", "налоговый кодекс"),
+    ("TK_RF", ("трудовой кодекс", "тк рф", "трудового кодекса")),
+    ("GK_RF", ("гражданский кодекс", "гк рф", "гражданского кодекса")),
+    ("UK_RF", ("уголовный кодекс", "ук рф", "уголовного кодекса")),
+    ("NK_RF", ("налоговый кодекс", "нк рф", "налогового кодекса")),
+    ("KoAP_RF", ("коап", "кодекс об административных", "административных правонарушениях")),
+    ("SK_RF", ("семейный кодекс", "ск рф", "семейного кодекса")),
+    ("ZhK_RF", ("жилищный кодекс", "жк рф", "жилищного кодекса")),
+    ("ZK_RF", ("земельный кодекс", "зк рф", "земельного кодекса")),
 )
+#: Patterns of lower-cased title and text that tell what an amendment does; fixed values.
+ACTION_PATTERNS = {
+    "addition": ("дополнить.*стать(?:е|ей|ю) [0-9]+", "признать.*утратившим силу.*дополнить"),
+    "modification": ("в стать(?:е|и|ю|ей) [0-9]+.*(?:заменить|изложить)", "признать.*утратившим силу.*(?:абзац|пункт)"),
+    "repeal": ("признать.*утратившим силу.*стать(?:я|ю|и)", "исключить.*стать(?:я|ю|и)"),
+}
+#: Patterns of lower-cased text that name an amended article, in the order in which they are tried; fixed values.
+ARTICLE_PATTERNS = (r"стать(?:и|ью|ей|е|я) ([0-9]+(?:[.\-][0-9]+)*)", r"ст\. ([0-9]+(?:[.\-][0-9]+)*)", "пункт ([0-9]+)")
 #: Short names of codes in citations; fixed values.
 SHORT_CODES = {"ТК": "TK_RF", "ГК": "GK_RF", "УК": "UK_RF", "НК": "NK_RF"}
 
@@ -65,23 +77,22 @@ def identify_code(title: Column, text: Column) -> Column:
     """The first code whose phrase occurs, else UNKNOWN."""
     low = F.lower(F.concat_ws(" ", title, text))
     found = F.lit("UNKNOWN")
-    for code, phrase in reversed(CODE_PHRASES):
-        found = F.when(low.contains(phrase), code).otherwise(found)
+    for code, phrases in reversed(CODE_PHRASES):
+        found = F.when(low.rlike("|".join(phrases)), code).otherwise(found)
     return found
 
 
-def amendment_action(text: Column) -> Column:
-    """addition, modification, repeal, or mixed if several; modification if none."""
-    low = F.lower(text)
-    adds, changes, repeals = low.rlike("дополнить"), low.rlike("заменить|изложить"), low.rlike("утратившим силу|утратил")
-    n = adds.cast("int") + changes.cast("int") + repeals.cast("int")
-    return F.when(n > 1, "mixed").when(adds, "addition").when(repeals, "repeal").otherwise("modification")
+def amendment_action(title: Column, text: Column) -> Column:
+    """addition, modification or repeal; mixed if several; modification if none."""
+    low = F.lower(F.concat_ws(" ", title, text))
+    tells = {kind: low.rlike("|".join(patterns)) for kind, patterns in ACTION_PATTERNS.items()}
+    n = sum((found.cast("int") for found in tells.values()), F.lit(0))
+    return F.when(n > 1, "mixed").when(tells["addition"], "addition").when(tells["repeal"], "repeal").otherwise("modification")
 
 
 def amended_articles(text: Column) -> Column:
     """Article numbers in first-seen order of three patterns."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"стать(?:и|ью|ей|е|я) (\d+(?:\.\d+)?)", r"ст\. (\d+(?:\.\d+)?)", r"пункт (\d+)")]
-    return F.array_distinct(F.concat(*found))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in ARTICLE_PATTERNS]))
 
 
 def citations(text: Column) -> Column:
@@ -92,10 +103,16 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.transform(articles, lambda a, i: F.struct(a.alias("article"), codes[F.get(names, i)].alias("code"))))
 
 
-def summary(text: Column, most: int = 200) -> Column:
-    """A text cut at the last space within ``most`` characters, with dots if it was cut."""
-    head = F.regexp_replace(F.substring(text, 1, most), " [^ ]*$", "")
-    return F.when(F.length(text) > most, F.concat(head, F.lit("..."))).otherwise(text)
+def summary(text: Column, most: int = 500, least: int = 50) -> Column:
+    """The first paragraph of more than ``least`` characters, else the whole text; beyond ``most`` cut at the last space, with dots.
+
+    Paragraphs end at blank lines. A null text gives an empty summary.
+    """
+    text = F.coalesce(text, F.lit(""))
+    paragraphs = F.transform(F.split(text, "\n\n"), lambda p: F.btrim(p, F.lit(" \t\n\r\f\v")))
+    chosen = F.coalesce(F.get(F.filter(paragraphs, lambda p: F.length(p) > least), 0), text)
+    head = F.regexp_replace(F.substring(chosen, 1, most), " [^ ]*\\z", "")
+    return F.when(F.length(chosen) > most, F.concat(head, F.lit("..."))).otherwise(chosen)
 
 
 def clean_lines(text: Column, least: int = 1) -> Column:

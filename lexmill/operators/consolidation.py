@@ -20,13 +20,17 @@ X500 = "6ba7b8149dad11d180b400c04fd430c8"
 
 
 def replace_text(text: str, old: str, new: str, least: float = 0.8) -> str | None:
-    """The first exact occurrence replaced, else the most similar run of as many words; None if there is none."""
+    """The first exact occurrence replaced, else the first run of as many words that is similar enough; None if there is none.
+
+    A similar run leaves the words joined by one space.
+    """
     if old in text:
         return text.replace(old, new, 1)
     words, size = text.split(), len(old.split())
-    runs = [(difflib.SequenceMatcher(None, old, " ".join(words[i : i + size])).ratio(), -i) for i in range(len(words) - size + 1)]
-    ratio, at = max(runs, default=(0.0, 0))
-    return " ".join([*words[:-at], new, *words[size - at :]]) if ratio >= least else None
+    for i in range(len(words) - size + 1):
+        if difflib.SequenceMatcher(None, " ".join(words[i : i + size]), old).ratio() >= least:
+            return " ".join([*words[:i], new, *words[i + size :]])
+    return None
 
 
 def consolidate(base: DataFrame, changes: DataFrame) -> DataFrame:
@@ -102,26 +106,27 @@ def cut_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
     return [c for c in chunks if c]
 
 
-def chunk_rows(docs: DataFrame, size: int = 512, overlap: int = 50, most: int = 1_000_000) -> DataFrame:
-    """(document_id, chunk_index, chunk_text) of texts of at most ``most`` characters; none for null and empty."""
+def chunk_rows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """(document_id, chunk_index, chunk_text) of whole texts of any length; none for null and empty."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([cut_chunks(t, size, overlap) for t in texts])
 
-    return docs.filter(F.length("text").between(1, most)).select(F.col("doc_id").alias("document_id"), F.posexplode(cut("text")).alias("chunk_index", "chunk_text"))
+    return docs.filter(F.length("text") > 0).select(F.col("doc_id").alias("document_id"), F.posexplode(cut("text")).alias("chunk_index", "chunk_text"))
 
 
 def embed(chunks: DataFrame, text_col: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
-    """``chunks`` with an embedding; each distinct text is encoded once."""
-    keyed = chunks.withColumn("_md5", F.md5(text_col))
+    """``chunks`` with an embedding; each distinct text is encoded once, null as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = chunks.withColumn("_md5", F.md5(text))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             vectors = [v for i in range(0, len(part), batch) for v in encode(part["text"].iloc[i : i + batch].tolist())]
             yield pd.DataFrame({"_md5": part["_md5"], "embedding": vectors})
 
-    distinct = keyed.groupBy("_md5").agg(F.first(text_col).alias("text"))
+    distinct = keyed.groupBy("_md5").agg(F.first(text).alias("text"))
     return keyed.join(distinct.mapInPandas(run, "_md5 string, embedding array<float>"), "_md5").drop("_md5")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points and queries of one matrix product.
+_BLOCK_POINTS, _BLOCK_QUERIES = 20_000, 1_000
+
 
 def keyword_scores(content: DataFrame, queries: list[tuple[int, list[str]]]) -> DataFrame:
     """(query, document_id, score): all terms must occur; where no document has all, any will do.
@@ -12,12 +17,9 @@ def keyword_scores(content: DataFrame, queries: list[tuple[int, list[str]]]) ->
     One scan serves all queries. The score is the terms' count over 1 + ln(tokens).
     """
     tokens = F.filter(F.split(F.lower(F.coalesce("full_text", F.lit(""))), r"(?U)\W+"), lambda t: t != "")
-    asked = content.sparkSession.createDataFrame(queries, "query int, terms array<string>")  # as many rows as queries given
     found = (
         content.select("document_id", tokens.alias("tokens"))
         .filter(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in sorted({t for _, ts in queries for t in ts})])))
-        .withColumn("asked", F.lit(None))
-        .drop("asked")
         .select("document_id", "tokens", F.explode(F.array(*[F.struct(F.lit(q).alias("query"), F.array(*map(F.lit, ts)).alias("terms")) for q, ts in queries])).alias("q"))
         .filter(F.arrays_overlap("tokens", F.col("q.terms")))
         .withColumn("every", F.forall("q.terms", lambda t: F.array_contains("tokens", t)))
@@ -25,7 +27,7 @@ def keyword_scores(content: DataFrame, queries: list[tuple[int, list[str]]]) ->
         .select(F.col("q.query").alias("query"), "document_id", "every", (F.col("tf") / (1 + F.log(F.size("tokens")))).alias("score"))
     )
     any_all = found.groupBy("query").agg(F.max("every").alias("has_all"))
-    return found.join(any_all, "query").filter(F.col("every") | ~F.col("has_all")).join(asked.select("query"), "query").select("query", "document_id", "score")
+    return found.join(any_all, "query").filter(F.col("every") | ~F.col("has_all")).select("query", "document_id", "score")
 
 
 def top_k(scores: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -33,10 +35,31 @@ def top_k(scores: DataFrame, group: str, score: str, tie: str, k: int) -> DataFr
     return ranked.filter(F.col("rank") <= k)
 
 
-def vector_scores(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, vec_id, score) by cosine; ``queries`` (query, q) is a checked small set."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    p = points.select("vec_id", "embedding", norm(F.col("embedding")).alias("pn"))
-    q = queries.select("query", "q", norm(F.col("q")).alias("qn"))
-    return p.join(F.broadcast(q), F.col("pn") * F.col("qn") > 0).select("query", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("pn") * F.col("qn"))).alias("score"))
+def vector_search(points: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query, vec_id, score): for each query the ``k`` nearest other points by cosine, ties by the smaller id.
+
+    ``points`` has (vec_id, embedding), ``queries`` (query, q). Both are cut into blocks of bounded
+    size; each pair of blocks is one matrix product that leaves ``k`` rows for a query, and those
+    meet for the last choice. Null and zero vectors match nothing.
+    """
+    n_points, n_queries = (-(-points.count() // _BLOCK_POINTS) or 1), (-(-queries.count() // _BLOCK_QUERIES) or 1)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.filter("embedding is not null").select("vec_id", "embedding", block("vec_id", n_points).alias("pb"), every(n_queries).alias("qb"))
+    right = queries.filter("q is not null").select("query", "q", block("query", n_queries).alias("qb"), every(n_points).alias("pb"))
+
+    def nearest(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []})
+        p, q = (np.stack(c.to_numpy()).astype(np.float64) for c in (own["embedding"], asked["q"]))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (p / np.linalg.norm(p, axis=1)[:, None]).T, digits)
+        ids, out = own["vec_id"].to_numpy(), []
+        for query, row in zip(asked["query"].to_numpy(), scores):
+            good = np.flatnonzero(~np.isnan(row) & (ids != query))
+            best = good[np.lexsort((ids[good], -row[good]))[:k]]
+            out.append(pd.DataFrame({"query": query, "vec_id": ids[best], "score": row[best]}))
+        return pd.concat(out)
+
+    found = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(nearest, "query long, vec_id long, score double")
+    return top_k(found, "query", "score", "vec_id", k).drop("rank")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
 from lexmill.operators import consolidation, merge, search, versions
-from lexmill.plans.registry import _CITED, query
+from lexmill.plans.registry import _CITED, _CODE, query
 from lexmill.sources.standin import table
 from lexmill.streaming.streams import stream_changes, stream_upsert
 
@@ -273,10 +273,10 @@ def i2_replace_text(s, d):
     return table(s, d, "versions").select(*versions.KEY, "version_date", consolidation.replaced(F.col("article_text"), "Article text O", "New text").alias("text"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(concat(regexp_replace(text, 'the', 'a'), chr(10), 'END'), 'de ', '')) AS changed_md5, true AS success FROM documents""")
+@query("""SELECT doc_id, md5(changed) AS changed_md5, changed <> text AS success FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, 'the', 'a'), 'de ', '') AS changed FROM documents) x""")
 def i4_apply_changes(s, d):
-    added = F.concat(lg.replace_first(F.col("text"), "the", "a"), F.lit("\nEND"))
-    return table(s, d, "documents").select("doc_id", F.md5(lg.replace_first(added, "de ", "")).alias("changed_md5"), F.lit(True).alias("success"))
+    changed = lg.replace_first(lg.replace_first(F.col("text"), "the", "a"), "de ", "")
+    return table(s, d, "documents").select("doc_id", F.md5(changed).alias("changed_md5"), (changed != F.col("text")).alias("success"))
 
 
 @query()
@@ -288,7 +288,7 @@ def i5_consolidate(s, d):
     return consolidation.consolidate(base, v.select(*versions.KEY, "version_date", "eo", old.alias("old"), new.alias("new")))
 
 
-@query("""SELECT eo, document_date, CASE eo % 4 WHEN 0 THEN 'TK_RF' WHEN 1 THEN 'UK_RF' WHEN 2 THEN 'NK_RF' ELSE 'UNKNOWN' END AS code, regexp_extract(full_text, 'дополнить статьей ([0-9]+)', 1) AS added,
+@query(f"""SELECT eo, document_date, {_CODE} AS code, regexp_extract(full_text, 'дополнить статьей ([0-9]+)', 1) AS added,
  regexp_extract(full_text, 'В статье ([0-9]+)', 1) AS modified, regexp_extract(full_text, 'утратившим силу статью ([0-9]+)', 1) AS repealed FROM amendments""")
 def i8_build_amendment_log(s, d):
     every = lambda p: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("full_text", F.lit(p), F.lit(1)))), ",")
@@ -325,17 +325,24 @@ def j3_embed(s, d):
     return consolidation.embed(table(s, d, "conversations").select("conv_id", "turn", "text"), "text", _digest_vectors)
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id AS id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings),
- k AS (SELECT id, 2 / (1 + ln(4)) AS score FROM docs WHERE block = 'src3')
- SELECT id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(k.score, 0), 6) AS score FROM v FULL JOIN k USING (id) ORDER BY 2 DESC, 1 LIMIT 20""")
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+ x AS (SELECT query, vec_id AS id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query),
+ v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rk FROM x) y WHERE rk <= 100),
+ k AS (SELECT id, 2 / (1 + ln(4)) AS score FROM docs WHERE block = 'src3'),
+ b AS (SELECT query, coalesce(v.id, w.id) AS id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(w.score, 0), 6) AS score FROM v FULL JOIN (SELECT query, id, score FROM (SELECT query FROM q) a, k) w USING (query, id))
+ SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rk FROM b) y WHERE rk <= 20""")
 def j6_hybrid_search(s, d):
     points = table(s, d, "embeddings")
-    asked = points.filter("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    semantic = search.vector_scores(points, asked).select(F.col("vec_id").alias("id"), F.col("score").alias("semantic"))
+    asked = points.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    semantic = search.vector_search(points, asked, 100).select("query", F.col("vec_id").alias("id"), F.col("score").alias("semantic"))
     titles = table(s, d, "docs").select(F.col("id").alias("document_id"), F.col("title").alias("full_text"))
-    keyword = search.keyword_scores(titles, [(0, ["document", "src3"])]).select(F.col("document_id").alias("id"), F.col("score").alias("keyword"))
+    keyword = search.keyword_scores(titles, [(0, ["document", "src3"])]).select(F.col("document_id").alias("id"), F.lit(0).alias("all"), F.col("score").alias("keyword"))
+    # The keyword part is the same for all queries; of documents without a semantic score only its best can be among the 20.
+    best = search.top_k(keyword, "all", "keyword", "id", 120).select("id", "keyword")
+    others = asked.select("query").join(F.broadcast(best)).join(semantic.select("query", "id"), ["query", "id"], "left_anti")  # 120 rows
+    both = semantic.join(keyword.drop("all"), "id", "left").unionByName(others, allowMissingColumns=True)
     score = 0.7 * F.coalesce("semantic", F.lit(0.0)) + 0.3 * F.coalesce("keyword", F.lit(0.0))
-    return semantic.join(keyword, "id", "full_outer").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return search.top_k(both.select("query", "id", F.round(score, 6).alias("score")), "query", "score", "id", 20).drop("rank")
 
 
 # Streams

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
@@ -349,44 +349,32 @@ def h2_clean_html_text(s, d):
     return table(s, d, "pages").select("page_id", F.md5(tx.clean_html_text(F.col("html"))).alias("clean_md5"))
 
 
-@query("SELECT eo, CASE eo % 4 WHEN 0 THEN DATE '1990-01-01' + CAST(eo % 900 AS INT) END AS parsed FROM amendments")
-def h6_parse_api_date(s, d):
-    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("eo") % 900).cast("int")).cast("string")
-    raw = F.when(F.col("eo") % 8 == 0, F.concat(day, F.lit("T00:00:00.123"))).when(F.col("eo") % 4 == 0, day).when(F.col("eo") % 4 == 1, "31.02.2020").when(F.col("eo") % 4 == 2, "2020-02-31")
-    return table(s, d, "amendments").select("eo", tx.parse_api_date(raw).alias("parsed"))
+_LOW = "lower(concat_ws(' ', title, full_text))"
+_ANY = lambda patterns: f"regexp_matches({_LOW}, '{'|'.join(patterns)}')"
+_CODE = f"CASE {' '.join(f'WHEN {_ANY(phrases)} THEN {code!r}' for code, phrases in tx.CODE_PHRASES)} ELSE 'UNKNOWN' END"
+_ACTIONS = {kind: _ANY(patterns) for kind, patterns in tx.ACTION_PATTERNS.items()}
+_ACTION = f"""CASE WHEN {' + '.join(f'CAST({told} AS INT)' for told in _ACTIONS.values())} > 1 THEN 'mixed' WHEN {_ACTIONS['addition']} THEN 'addition' WHEN {_ACTIONS['repeal']} THEN 'repeal' ELSE 'modification' END"""
+_FOUND = [f"regexp_extract_all(lower(full_text), '{p}', 1)" for p in tx.ARTICLE_PATTERNS]
+_ARTICLES = f"array_to_string(list_sort(list_distinct(list_concat(list_concat({_FOUND[0]}, {_FOUND[1]}), {_FOUND[2]}))), ',')"
 
 
-@query("SELECT eo, DATE '2001-01-01' + CAST(eo % 28 AS INT) AS found FROM amendments")
-def h7_extract_date(s, d):
-    raw = F.concat(F.lit("Постановление от "), (F.col("eo") % 28 + 1).cast("string"), F.lit(" января 2001 года"))
-    return table(s, d, "amendments").select("eo", tx.title_date(raw).alias("found"))
+def _articles() -> Column:
+    return F.array_join(F.array_sort(tx.amended_articles(F.col("full_text"))), ",")
 
 
-@query("SELECT DISTINCT article_number, CAST(regexp_extract(article_number, '^([0-9]+)', 1) AS INTEGER) AS base, TRY_CAST(regexp_extract(article_number, '\\.([0-9]+)', 1) AS INTEGER) AS insertion, TRY_CAST(regexp_extract(article_number, '-([0-9]+)', 1) AS INTEGER) AS subdivision FROM versions")
-def h10_parse_article_number(s, d):
-    return table(s, d, "versions").select("article_number").distinct().select("article_number", tx.article_parts(F.col("article_number")).alias("p")).select("article_number", "p.*")
-
-
-@query("SELECT DISTINCT concat('00', article_number) AS raw, article_number AS normal FROM versions")
-def h11_normalize_article_number(s, d):
-    raw = table(s, d, "versions").select(F.concat(F.lit("00"), F.col("article_number")).alias("raw")).distinct()
-    return raw.select("raw", tx.normalize_article(F.col("raw")).alias("normal"))
-
-
-@query("SELECT eo, CASE eo % 4 WHEN 0 THEN 'TK_RF' WHEN 1 THEN 'UK_RF' WHEN 2 THEN 'NK_RF' ELSE 'UNKNOWN' END AS code FROM amendments")
+@query(f"SELECT eo, {_CODE} AS code FROM amendments")
 def h14_identify_code(s, d):
     return table(s, d, "amendments").select("eo", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"))
 
 
-@query("SELECT eo, CASE WHEN CAST(eo % 5 = 0 AS INT) + CAST(eo % 3 = 0 AS INT) + CAST(eo % 7 = 0 AS INT) > 1 THEN 'mixed' WHEN eo % 5 = 0 THEN 'addition' WHEN eo % 7 = 0 THEN 'repeal' ELSE 'modification' END AS action FROM amendments")
+@query(f"SELECT eo, {_ACTION} AS action FROM amendments")
 def h16_amendment_action(s, d):
-    return table(s, d, "amendments").select("eo", tx.amendment_action(F.col("full_text")).alias("action"))
+    return table(s, d, "amendments").select("eo", tx.amendment_action(F.col("title"), F.col("full_text")).alias("action"))
 
 
-@query("SELECT eo, array_to_string(regexp_extract_all(full_text, 'стать(?:и|ью|ей|е|я) ([0-9]+)', 1), ',') AS found FROM amendments")
+@query(f"SELECT eo, {_ARTICLES} AS found FROM amendments")
 def h15_amendment_articles(s, d):
-    every = F.array_join(F.regexp_extract_all("full_text", F.lit("стать(?:и|ью|ей|е|я) ([0-9]+)"), F.lit(1)), ",")
-    return table(s, d, "amendments").select("eo", every.alias("found"))
+    return table(s, d, "amendments").select("eo", _articles().alias("found"))
 
 
 @query(_CITED)
@@ -394,7 +382,9 @@ def h20_extract_citations(s, d):
     return table(s, d, "decisions").select("id", F.explode(tx.citations(F.col("full_text"))).alias("c")).select("id", "c.article", "c.code")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(regexp_replace(substr(text, 1, 200), ' [^ ]*$', ''), '...') ELSE text END AS summary FROM documents")
+@query(r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 50)[1] AS p FROM documents),
+ c AS (SELECT doc_id, coalesce(p, text) AS t FROM p)
+ SELECT doc_id, CASE WHEN length(t) > 500 THEN concat(regexp_replace(substr(t, 1, 500), ' [^ ]*$', ''), '...') ELSE t END AS summary FROM c""")
 def h23_extract_summary(s, d):
     return table(s, d, "documents").select("doc_id", tx.summary(F.col("text")).alias("summary"))
 
@@ -407,14 +397,13 @@ def h31_clean_lines(s, d):
 # Vectors and search
 
 
-@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
  x AS (SELECT query, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query)
  SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rk FROM x) y WHERE rk <= 10""")
 def j4_vector_search(s, d):
     points = table(s, d, "embeddings")
-    asked = points.filter("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    scored = search.vector_scores(points, asked).filter("vec_id <> query").withColumn("score", F.round("score", 6))
-    return search.top_k(scored, "query", "score", "vec_id", 10).drop("rank")
+    asked = points.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return search.vector_search(points, asked, 10)
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1")
@@ -433,11 +422,11 @@ def c3_search_documents(s, d):
 # Consolidation
 
 
-@query("""SELECT eo, document_date, CASE eo % 4 WHEN 0 THEN 'TK_RF' WHEN 1 THEN 'UK_RF' WHEN 2 THEN 'NK_RF' ELSE 'UNKNOWN' END AS code,
- CASE WHEN CAST(eo % 5 = 0 AS INT) + CAST(eo % 3 = 0 AS INT) + CAST(eo % 7 = 0 AS INT) > 1 THEN 'mixed' WHEN eo % 5 = 0 THEN 'addition' WHEN eo % 7 = 0 THEN 'repeal' ELSE 'modification' END AS action FROM amendments""")
+@query(f"SELECT eo, document_date, {_CODE} AS code, {_ACTION} AS action, {_ARTICLES} AS articles FROM amendments")
 def i1_parse_amendments(s, d):
     a = table(s, d, "amendments")
-    return a.select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"), tx.amendment_action(F.col("full_text")).alias("action"))
+    code, action = tx.identify_code(F.col("title"), F.col("full_text")), tx.amendment_action(F.col("title"), F.col("full_text"))
+    return a.select("eo", "document_date", code.alias("code"), action.alias("action"), _articles().alias("articles"))
 
 
 @query("SELECT code_id, count(*) AS n_amendments, count(DISTINCT article_number) AS n_articles FROM changes GROUP BY 1")

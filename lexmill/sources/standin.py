@@ -27,7 +27,7 @@ TABLES: dict[str, str] = {
         concat('Дело. ст. ', CAST(o_custkey % 300 + 1 AS STRING), ' ТК РФ применяется судом; ч. 2 ст. ', CAST(o_orderkey % 100 + 1 AS STRING), ' УК РФ, статья ', CAST(o_custkey % 50 + 1 AS STRING), '.1 ГК РФ') AS full_text,
         o_orderstatus <> 'P' AS is_active FROM orders""",
     "amendments": """SELECT o_orderkey AS eo, CAST(o_orderdate AS DATE) AS document_date,
-        CASE o_orderkey % 4 WHEN 0 THEN 'О внесении изменений в Трудовой кодекс Российской Федерации' WHEN 1 THEN 'Об изменении Уголовный кодекс Российской Федерации' WHEN 2 THEN 'Налоговый кодекс Российской Федерации' ELSE 'О бюджете' END AS title,
+        CASE o_orderkey % 4 WHEN 0 THEN 'О внесении изменений в Трудовой кодекс Российской Федерации' WHEN 1 THEN 'Об изменении Уголовный кодекс Российской Федерации' WHEN 2 THEN 'Налоговый кодекс Российской Федерации' ELSE CASE o_custkey % 7 WHEN 0 THEN 'К статье Жилищного кодекса' WHEN 1 THEN 'О применении СК РФ' WHEN 2 THEN 'Кодекс об административных правонарушениях' WHEN 3 THEN 'Поправки Гражданского кодекса' WHEN 4 THEN 'Земельный кодекс' WHEN 5 THEN 'О порядке по ТК РФ' ELSE 'О бюджете' END END AS title,
         concat(CASE WHEN o_orderkey % 5 = 0 THEN concat('дополнить статьей ', CAST(o_custkey % 90 + 1 AS STRING), ' следующего содержания: новый текст. ') ELSE '' END,
                CASE WHEN o_orderkey % 3 = 0 THEN 'слово «старый» заменить «новый». ' ELSE '' END,
                CASE WHEN o_orderkey % 7 = 0 THEN concat('Признать утратившим силу статью ', CAST(o_custkey % 40 + 1 AS STRING), '. ') ELSE '' END,

@@ -19,6 +19,7 @@ def test_replace_text():
     assert co.replace_text("The quick brown fox", "elephant", "giraffe") is None
     assert co.replace_text("The quick  brown fox", "quick browns", "slow") == "The slow fox"
     assert co.replace_text("text", "", "new ") == "new text"
+    assert co.replace_text("grey cats sleep, great cats sleep", "great cat sleep", "dogs run") == "dogs run great cats sleep"  # the first, not the best
 
 
 def test_replaced_column_equals_the_function(spark):

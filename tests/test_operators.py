@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import merge, versions
+from lexmill.operators import merge, search, versions
 
 
 def test_last_write_wins_and_is_idempotent(spark):
@@ -38,5 +38,28 @@ def test_text_functions(spark):
     assert ask(tx.article_parts(F.lit("x"))) is None
     assert ask(tx.title_date(F.lit("от 31 февраля 2020 года"))) is None
     assert ask(tx.title_date(F.lit("от 3 марта 2020 года"))) == dt.date(2020, 3, 3)
-    assert ask(tx.amendment_action(F.lit("Дополнить статьей 1; признать утратившим силу статью 5"))) == "mixed"
+    assert ask(tx.amendment_action(F.lit(""), F.lit("Дополнить статьей 1; признать утратившим силу статью 5"))) == "mixed"
     assert [(c.article, c.code) for c in ask(tx.citations(F.lit("ст. 81 ТК РФ, статья 10.1 ГК РФ, ст. 81 ТК РФ")))] == [("81", "TK_RF"), ("10.1", "GK_RF")]
+    assert ask(tx.identify_code(F.lit("О правилах"), F.lit("по нормам Семейного кодекса и ТК РФ"))) == "TK_RF"
+    assert ask(tx.identify_code(F.lit("КоАП"), F.lit(None).cast("string"))) == "KoAP_RF"
+    assert ask(tx.amendment_action(F.lit("Исключить статью 7"), F.lit(""))) == "repeal"
+    assert ask(tx.amendment_action(F.lit(""), F.lit("дополнить список"))) == "modification"
+    assert ask(tx.amended_articles(F.lit("В статье 12.3 и ст. 4-1, пункт 9; статьи 12.3"))) == ["12.3", "4-1", "9"]
+    long = "слово " * 100
+    assert ask(tx.summary(F.lit("Глава\n\n" + long))) == ("слово " * 83).strip() + "..."
+    assert ask(tx.summary(F.lit("короткий текст"))) == "короткий текст" and ask(tx.summary(F.lit(None).cast("string"))) == ""
+
+
+def test_vector_search_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "_BLOCK_POINTS", 7)
+    monkeypatch.setattr(search, "_BLOCK_QUERIES", 2)
+    points = [(i, [float((i * k) % 11 - 5) for k in range(1, 5)]) for i in range(30)] + [(30, [0.0] * 4), (31, None)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<float>")
+    found = search.vector_search(df, df.filter("vec_id % 6 = 1").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 3).collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    expected = set()
+    for i, v in points:
+        if i % 6 == 1 and v and norm(v):
+            near = [(-round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 6), j) for j, w in points if j != i and w and norm(w)]
+            expected |= {(i, j) for _, j in sorted(near)[:3]}
+    assert {(r.query, r.vec_id) for r in found} == expected
