@@ -11,13 +11,13 @@ from tokenizers import Tokenizer
 from lexmill.llm.audio import align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import decode_bpe, encode_bpe, encode_text, encoding
 from lexmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from lexmill.llm.ngram_join import near_duplicate_components
+from lexmill.llm.ngram_join import keep_one_per_component, near_duplicate_components
 from lexmill.llm.packing import pack_documents, plan_packing
 from lexmill.llm.pii import find_pii, redact
 from lexmill.llm.repeats import remove_repeats
 from lexmill.llm.sharding import shard_by_bytes
-from lexmill.llm.token_prefix import PrefixCounter
-from lexmill.llm.toxicity import TermMachine, fit_toxicity, score_toxicity
+from lexmill.llm.token_prefix import PrefixCounter, count_prefixes, longest_within, tokens_of_prefix
+from lexmill.llm.toxicity import TermMachine, ToxicityModel, fit_toxicity, keep_clean, score_toxicity
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -272,3 +272,67 @@ def test_recordings_match_their_copies_however_short_or_steady(spark):
     found = {i: (r.match_id, r.offset, r.bit_error_rate) for i, r in rows.items() if r.match_id is not None}
     assert found == {4: (0, 0, 0.0), 5: (1, 0, 0.0), 6: (2, 0, 0.0), 11: (3, -10, 0.0), 13: (2, 0, 0.0), 14: (1, 0, 0.0)}
     assert (rows[4].votes, rows[5].votes, rows[6].votes) == (0, 1, rows[6].n_prints)
+
+
+def test_near_duplicates_split_large_groups(spark, monkeypatch):
+    """With groups of three at most in one task, lists are split by differences."""
+    monkeypatch.setattr("lexmill.llm.ngram_join._GROUP", 3)
+    test_near_duplicates_in_long_lists_against_brute_force(spark)
+
+
+ODD = "doc_id long, text string, node string, _nj_node2 long, pii_spans string, n_chars long"
+
+
+def _odd_docs(spark):
+    """Null ids and texts, repeated ids and rows, blank texts, and columns named like the operators' own."""
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, same), (1, same), (1, same), (2, same), (3, other), (3, "quite another text under this same id"), (4, None), (5, ""), (6, " "), (None, None)]
+    return spark.createDataFrame([(i, t, "n", 7, "p", 0) for i, t in rows], ODD)
+
+
+def test_one_row_of_each_component_stays(spark):
+    docs = _odd_docs(spark)
+    kept = keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.node, r._nj_node2) for r in kept.collect())
+    texts = [(False, 1, "one two three four five six"), (False, 3, "quite another text under this same id"), (False, 3, "seven eight nine ten eleven twelve")]
+    blank = [(False, 4, ""), (False, 5, ""), (False, 6, " "), (True, 0, "")]
+    assert found == sorted((*r, "n", 7) for r in texts + blank)
+    assert keep_one_per_component(docs.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_and_survive_odd_rows(spark):
+    docs = _odd_docs(spark)
+    model = ToxicityModel(["seven"], [1.0], np.array([9.0, 0, 0, 0, 0, 0]), -3.0)
+    clean = keep_clean(docs, model)
+    assert clean.columns == docs.columns and sorted(str(r.text) for r in clean.collect()) == sorted(str(r.text) for r in docs.collect() if "seven" not in (r.text or ""))
+    once = drop_exact_duplicates(docs)
+    assert once.columns == docs.columns and Counter((r.doc_id, r.text) for r in once.collect())[(1, "one two three four five six")] == 1 and once.count() == 4
+    marked = redact(docs.withColumn("text", docs.node), "text")
+    assert marked.columns == docs.columns and {r.pii_spans for r in marked.collect()} == {"p"}
+    packed = pack_documents(docs, JSON, capacity=2048, end_id=0).collect()
+    assert sum(r.length for r in packed) == sum(len(Tokenizer.from_file(JSON).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    for stage in (lambda d: keep_clean(d, model), drop_exact_duplicates, redact):
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_token_counts_against_the_library(spark):
+    texts = [*_texts(3, 6), "It's  naïve\n\n日本 <|endoftext|> x", None, ""]
+    library = Tokenizer.from_file(JSON)
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rows = count_prefixes(_docs(spark, texts), JSON, budgets=(4,), keep_prefixes=True)
+    rows = rows.select("*", longest_within(rows.prefix_tokens, 4).alias("within"), tokens_of_prefix(rows.prefix_tokens, 3).alias("three")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert (r.n_bytes, r.n_chars, r.n_tokens) == (len(text.encode()), len(text), len(ids[r.doc_id]))
+        assert r.prefix_tokens[-1] == r.n_tokens and r.within == r.fits_4
+        assert r.three == len(library.encode(text[:3], add_special_tokens=False).ids)
+        assert r.fits_4 == max(n for n in range(len(text) + 1) if len(library.encode(text[:n], add_special_tokens=False).ids) <= 4)
+
+
+def test_pii_of_a_long_text_with_many_matches(spark):
+    text = "write to some.one@mail.example.org or 10.1.2.3 and more " * 700
+    row = redact(find_pii(_docs(spark, [text]))).first()
+    assert [(s.kind, s.start) for s in row.pii_spans[:2]] == [("email", 9), ("email", 65)] and len(row.pii_spans) == 1400
+    assert row.text == "write to [email] or [ip] and more " * 700
