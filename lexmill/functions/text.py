@@ -26,8 +26,6 @@ ACTION_PATTERNS = {
 }
 #: Patterns of lower-cased text that name an amended article, in the order in which they are tried; fixed values.
 ARTICLE_PATTERNS = (r"стать(?:и|ью|ей|е|я) ([0-9]+(?:[.\-][0-9]+)*)", r"ст\. ([0-9]+(?:[.\-][0-9]+)*)", "пункт ([0-9]+)")
-#: Short names of codes in citations; fixed values.
-SHORT_CODES = {"ТК": "TK_RF", "ГК": "GK_RF", "УК": "UK_RF", "НК": "NK_RF"}
 
 
 def normalize_text(text: Column) -> Column:
@@ -95,14 +93,6 @@ def amended_articles(text: Column) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in ARTICLE_PATTERNS]))
 
 
-def citations(text: Column) -> Column:
-    """array of (article, code) for short names of codes, first of each kept."""
-    pattern = r"(?:ст\.? ?|статья )(\d+(?:\.\d+)?) (ТК|ГК|УК|НК) РФ"
-    articles, names = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    codes = F.create_map(*[F.lit(x) for pair in SHORT_CODES.items() for x in pair])
-    return F.array_distinct(F.transform(articles, lambda a, i: F.struct(a.alias("article"), codes[F.get(names, i)].alias("code"))))
-
-
 def summary(text: Column, most: int = 500, least: int = 50) -> Column:
     """The first paragraph of more than ``least`` characters, else the whole text; beyond ``most`` cut at the last space, with dots.
 

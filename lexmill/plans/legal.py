@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions import citations as cit
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
 from lexmill.operators import consolidation, merge, search, versions
@@ -298,7 +299,7 @@ def i8_build_amendment_log(s, d):
 
 @query(f"SELECT y.id, y.article, y.code, sha256(d.full_text) AS text_sha256, d.case_number FROM ({_CITED}) y JOIN decisions d ON d.id = y.id")
 def i10_court_rows(s, d):
-    rows = table(s, d, "decisions").select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(tx.citations(F.col("full_text"))).alias("c"))
+    rows = table(s, d, "decisions").select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(cit.citations(F.col("full_text"))).alias("c"))
     return rows.select("id", "c.article", "c.code", "text_sha256", "case_number")
 
 

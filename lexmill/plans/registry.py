@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
 from lexmill.operators import merge, search, versions
 from lexmill.sources.standin import table, with_tables
@@ -240,19 +241,18 @@ def e13_block_counts(s, d):
     return table(s, d, "docs").groupBy("block", F.trunc("publish_date", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CITED = """SELECT id, c[1] AS article, CASE c[2] WHEN 'ТК' THEN 'TK_RF' WHEN 'ГК' THEN 'GK_RF' WHEN 'УК' THEN 'UK_RF' ELSE 'NK_RF' END AS code FROM (
- SELECT id, unnest(list_transform(regexp_extract_all(full_text, '(?:ст\\.? ?|статья )[0-9]+(?:\\.[0-9]+)? (?:ТК|ГК|УК|НК) РФ'), lambda m: [regexp_extract(m, '([0-9]+(?:\\.[0-9]+)?)', 1), regexp_extract(m, '(ТК|ГК|УК|НК)', 1)])) AS c FROM decisions) x"""
+_CITED = cit.citations_sql("decisions", "id", "full_text")
 
 
-@query(f"SELECT code, article, count(*) AS n FROM ({_CITED}) y GROUP BY 1, 2")
+@query(f"SELECT code, article, kind, count(*) AS n FROM ({_CITED}) y GROUP BY 1, 2, 3")
 def e14_citation_counts(s, d):
-    found = table(s, d, "decisions").select(F.explode(tx.citations(F.col("full_text"))).alias("c"))
-    return found.groupBy(F.col("c.code").alias("code"), F.col("c.article").alias("article")).agg(F.count(F.lit(1)).alias("n"))
+    found = table(s, d, "decisions").select(F.explode(cit.citations(F.col("full_text"))).alias("c"))
+    return found.groupBy("c.code", "c.article", "c.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT id, string_agg(concat(code, ':', article), ',' ORDER BY code, article) AS refs FROM ({_CITED}) y GROUP BY 1")
+@query(f"SELECT d.id, coalesce(string_agg(concat(code, ':', article), ',' ORDER BY code, article), '') AS refs FROM decisions d LEFT JOIN ({_CITED}) y ON y.id = d.id GROUP BY 1")
 def e10_decisions_with_articles(s, d):
-    refs = F.array_sort(F.transform(tx.citations(F.col("full_text")), lambda c: F.struct(c["code"].alias("code"), c["article"].alias("article"))))
+    refs = F.array_sort(F.transform(cit.citations(F.col("full_text")), lambda c: F.struct(c["code"].alias("code"), c["article"].alias("article"))))
     return table(s, d, "decisions").select("id", F.array_join(F.transform(refs, lambda r: F.concat_ws(":", r["code"], r["article"])), ",").alias("refs"))
 
 
@@ -403,7 +403,13 @@ def h15_amendment_articles(s, d):
 
 @query(_CITED)
 def h20_extract_citations(s, d):
-    return table(s, d, "decisions").select("id", F.explode(tx.citations(F.col("full_text"))).alias("c")).select("id", "c.article", "c.code")
+    return table(s, d, "decisions").select("id", F.explode(cit.citations(F.col("full_text"))).alias("c")).select("id", "c.*")
+
+
+@query(f"""SELECT name, {cit.code_sql('name')} AS code FROM (SELECT DISTINCT unnest(regexp_extract_all(full_text, '(?i){cit.CITATION_PATTERNS[0][0]}', 2)) AS name FROM decisions) x""")
+def h21_normalize_code_name(s, d):
+    names = table(s, d, "decisions").select(F.explode(cit.cited_names(F.col("full_text"))).alias("name")).distinct()
+    return names.select("name", cit.code_of_name(F.col("name")).alias("code"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 50)[1] AS p FROM documents),

@@ -24,7 +24,8 @@ TABLES: dict[str, str] = {
     "countries": "SELECT DISTINCT lang AS code, upper(lang) AS name FROM documents",
     "decisions": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'supreme' WHEN o_orderkey % 3 = 1 THEN 'constitutional' ELSE 'general' END AS court_type,
         CASE WHEN o_orderkey % 4 = 0 THEN 'plenary_resolution' ELSE 'ruling' END AS decision_type, concat('A-', CAST(o_orderkey AS STRING)) AS case_number, CAST(o_orderdate AS DATE) AS decision_date,
-        concat('Дело. ст. ', CAST(o_custkey % 300 + 1 AS STRING), ' ТК РФ применяется судом; ч. 2 ст. ', CAST(o_orderkey % 100 + 1 AS STRING), ' УК РФ, статья ', CAST(o_custkey % 50 + 1 AS STRING), '.1 ГК РФ') AS full_text,
+        concat('Дело. ', CASE o_custkey % 4 WHEN 0 THEN 'Суд применил ' WHEN 1 THEN 'Дано толкование ' ELSE '' END, 'ст. ', CAST(o_custkey % 300 + 1 AS STRING), ' ТК РФ применяется судом; ч. 2 ст. ', CAST(o_orderkey % 100 + 1 AS STRING), ' УК РФ, статья ', CAST(o_custkey % 50 + 1 AS STRING), '.1 ГК РФ',
+               CASE o_custkey % 7 WHEN 0 THEN ', п. 3 ст. 12 Жилищный кодекс' WHEN 1 THEN '. Статья 5 Водный кодекс Российской Федерации. Далее' WHEN 2 THEN concat('; ст.', CAST(o_orderkey % 90 + 1 AS STRING), ' НК') WHEN 3 THEN ' (ч. 1.1 ст. 12.8 КоАП РФ)' WHEN 4 THEN ', СТ. 9 кодекса и ст. 80 ВК РФ' WHEN 5 THEN concat(', ст. ', CAST(o_custkey % 300 + 1 AS STRING), ' ТК РФ') ELSE '' END) AS full_text,
         o_orderstatus <> 'P' AS is_active FROM orders""",
     "amendments": """SELECT o_orderkey AS eo, CAST(o_orderdate AS DATE) AS document_date,
         CASE o_orderkey % 4 WHEN 0 THEN 'О внесении изменений в Трудовой кодекс Российской Федерации' WHEN 1 THEN 'Об изменении Уголовный кодекс Российской Федерации' WHEN 2 THEN 'Налоговый кодекс Российской Федерации' ELSE CASE o_custkey % 7 WHEN 0 THEN 'К статье Жилищного кодекса' WHEN 1 THEN 'О применении СК РФ' WHEN 2 THEN 'Кодекс об административных правонарушениях' WHEN 3 THEN 'Поправки Гражданского кодекса' WHEN 4 THEN 'Земельный кодекс' WHEN 5 THEN 'О порядке по ТК РФ' ELSE 'О бюджете' END END AS title,

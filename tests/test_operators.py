@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
 from lexmill.operators import merge, search, versions
 
@@ -39,7 +40,7 @@ def test_text_functions(spark):
     assert ask(tx.title_date(F.lit("от 31 февраля 2020 года"))) is None
     assert ask(tx.title_date(F.lit("от 3 марта 2020 года"))) == dt.date(2020, 3, 3)
     assert ask(tx.amendment_action(F.lit(""), F.lit("Дополнить статьей 1; признать утратившим силу статью 5"))) == "mixed"
-    assert [(c.article, c.code) for c in ask(tx.citations(F.lit("ст. 81 ТК РФ, статья 10.1 ГК РФ, ст. 81 ТК РФ")))] == [("81", "TK_RF"), ("10.1", "GK_RF")]
+    assert [(c.article, c.code) for c in ask(cit.citations(F.lit("ст. 81 ТК РФ, статья 10.1 ГК РФ, ст. 81 ТК РФ")))] == [("81", "TK_RF"), ("10.1", "GK_RF")]
     assert ask(tx.identify_code(F.lit("О правилах"), F.lit("по нормам Семейного кодекса и ТК РФ"))) == "TK_RF"
     assert ask(tx.identify_code(F.lit("КоАП"), F.lit(None).cast("string"))) == "KoAP_RF"
     assert ask(tx.amendment_action(F.lit("Исключить статью 7"), F.lit(""))) == "repeal"
