@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions.legal import REFERENCE_WORDS, classify_reference
+from lexmill.functions.text import let
 
 #: Names of codes in lower case, in the order in which they are tried; fixed values.
 CODE_NAMES = (
@@ -90,16 +90,11 @@ _FORMS = [(re.compile(pattern, re.IGNORECASE), (article, name)) for pattern, art
 _SPACE = " \t\n\r\f\v "
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def code_of_name(name: Column) -> Column:
     """The code of a name: exact, else the first known name that holds it or is held in it; null if none."""
     known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("code")) for n, c in CODE_NAMES])
     first = lambda test: F.get(F.filter(known, test), 0)["code"]
-    return _let(F.btrim(F.lower(name), F.lit(_SPACE)), lambda low: F.coalesce(first(lambda k: k["name"] == low), first(lambda k: low.contains(k["name"]) | k["name"].contains(low))))
+    return let(F.btrim(F.lower(name), F.lit(_SPACE)), lambda low: F.coalesce(first(lambda k: k["name"] == low), first(lambda k: low.contains(k["name"]) | k["name"].contains(low))))
 
 
 @functools.lru_cache(100_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ ACTION_PATTERNS = {
 ARTICLE_PATTERNS = (r"стать(?:и|ью|ей|е|я) ([0-9]+(?:[.\-][0-9]+)*)", r"ст\. ([0-9]+(?:[.\-][0-9]+)*)", "пункт ([0-9]+)")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalize_text(text: Column) -> Column:
     """Runs of white space become one space; null stays null; no trim."""
     return F.regexp_replace(text, r"\s+", " ")

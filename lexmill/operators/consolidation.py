@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import content, html
 from lexmill.functions.legal import replace_first
 from lexmill.operators.versions import KEY
 
@@ -33,29 +34,97 @@ def replace_text(text: str, old: str, new: str, least: float = 0.8) -> str | Non
     return None
 
 
-def consolidate(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Snapshots of every amended article: (code_id, article_number, version_date, text, n_applied, n_failed).
+def _folded(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Snapshots of sorted rows (code, article, day, is_base, kind, old, new), one for each day that changes an article."""
+    for key, changes in itertools.groupby(rows, key=lambda r: r[:2]):
+        text, repealed, waiting = None, None, None
+        for day, on_day in itertools.groupby(changes, key=lambda r: None if r[3] else r[2]):
+            results = []
+            for _, _, _, is_base, kind, old, new in on_day:
+                if is_base:
+                    text = new or ""
+                    continue
+                if kind == "addition":
+                    text, repealed, done = new or "", None, True
+                elif kind == "repeal":
+                    done = text is not None
+                    repealed = day if done else repealed
+                else:
+                    after = None if text is None else f"{text}\n{new or ''}" if old is None else replace_text(text, old, new or "")
+                    done = after is not None
+                    text = after if done else text
+                results.append(done)
+            if day is not None and text is not None:
+                if waiting:
+                    yield (*waiting, False)
+                waiting = (*key, day, text, repealed, sum(results), len(results) - sum(results))
+        if waiting:
+            yield (*waiting, waiting[4] is None)
+
 
-    ``base`` has (code_id, article_number, text) and ``changes`` (code_id, article_number,
-    version_date, eo, old, new); a null ``old`` adds a line, a null ``new`` removes. Changes are
-    applied by date and eo, one snapshot for each date. The order inside an article is essential,
-    so an article's changes, not a code's, are one group.
+def consolidate(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """Snapshots of every amended article: (code_id, article_number, version_date, text, repealed_date,
+    n_applied, n_failed, is_current, is_repealed, text_hash).
+
+    ``base`` has (code_id, article_number, text), one row for each article, and ``changes`` (code_id,
+    article_number, version_date, eo, old, new) and, if it likes, kind. An "addition" sets the article
+    to ``new`` whether or not it is there, a "repeal" keeps the text and ends the article; both fail
+    never but for the repeal of an unknown article. Anything else is a modification: a null ``old``
+    adds a line, a null ``new`` removes. Changes are applied by date and eo, one snapshot for each
+    date; those without a date are left out. The last snapshot is current unless it is repealed. An
+    article that is not in ``base`` has no snapshot before its addition.
+
+    The order inside an article is essential. A task reads its articles as one sorted stream and holds
+    one text, not an article's changes.
+    """
+    kind = F.col("kind") if "kind" in changes.columns else F.lit(None).cast("string")
+    texts = base.select(*KEY, F.lit(None).cast("date").alias("version_date"), F.lit(None).cast("long").alias("eo"), F.lit(True).alias("is_base"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("old"), F.col("text").alias("new"))
+    steps = changes.filter("version_date is not null").select(*KEY, "version_date", F.col("eo").cast("long"), F.lit(False).alias("is_base"), kind.alias("kind"), "old", "new")
+    # A base text without changes gives no snapshot and needs no special treatment.
+    order = [*KEY, F.desc("is_base"), "version_date", "eo", "kind", "old", "new"]
+    columns = ["code_id", "article_number", "version_date", "is_base", "kind", "old", "new"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (tuple(None if v is None or v != v else v for v in r) for b in batches for r in b[columns].itertuples(index=False, name=None))
+        names = [*KEY, "version_date", "text", "repealed_date", "n_applied", "n_failed", "is_current"]
+        snapshots = _folded(rows)
+        while some := list(itertools.islice(snapshots, 1000)):
+            yield pd.DataFrame(some, columns=names)
+
+    schema = "code_id string, article_number string, version_date date, text string, repealed_date date, n_applied long, n_failed long, is_current boolean"
+    stream = texts.unionByName(steps).repartition(*KEY).sortWithinPartitions(*order)
+    return stream.mapInPandas(fold, schema).withColumns({"is_repealed": F.col("repealed_date").isNotNull(), "text_hash": F.md5("text")})
+
+
+def compare_texts(old: str, new: str, least: int = 50) -> tuple[float, list[str]]:
+    """Share of matching characters, and what was replaced, deleted or inserted, each cut at ``least`` characters."""
+    if old == new:
+        return 1.0, []
+    matcher, edits = difflib.SequenceMatcher(None, old, new), []
+    for tag, a, b, c, d in matcher.get_opcodes():
+        gone, come = f"'{old[a:b][:least]}...'", f"'{new[c:d][:least]}...'"
+        edits += {"replace": [f"Replaced: {gone} with {come}"], "delete": [f"Deleted: {gone}"], "insert": [f"Inserted: {come}"]}.get(tag, [])
+    return matcher.ratio(), edits
+
+
+def compare_versions(old: Column, new: Column) -> Column:
+    """(changes_detected, changes, similarity) of two versions, each (article_number, text, is_repealed, repealed_date).
+
+    Versions of different articles are not compared: their similarity is 0. A change of status is
+    named before the edits. Null texts count as empty.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        text, out = rows["text"].iloc[0] or "", []
-        ordered = rows.sort_values(["version_date", "eo"])[["version_date", "old", "new"]].itertuples(index=False, name=None)
-        for day, on_day in itertools.groupby(ordered, key=lambda r: r[0]):
-            results = []
-            for _, old, new in on_day:
-                after = f"{text}\n{new}" if old is None else replace_text(text, old, new or "")
-                results.append(after is not None)
-                text = text if after is None else after
-            out.append((rows["code_id"].iloc[0], rows["article_number"].iloc[0], day, text, sum(results), len(results) - sum(results)))
-        return pd.DataFrame(out, columns=["code_id", "article_number", "version_date", "text", "n_applied", "n_failed"])
+    @F.pandas_udf("struct<similarity:double,edits:array<string>>")
+    def edits(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compare_texts(a or "", b or "") for a, b in zip(left, right)], columns=["similarity", "edits"])
 
-    schema = "code_id string, article_number string, version_date date, text string, n_applied long, n_failed long"
-    return changes.join(base, KEY).groupBy(*KEY).applyInPandas(fold, schema)
+    was, now = F.coalesce(old["is_repealed"], F.lit(False)), F.coalesce(new["is_repealed"], F.lit(False))
+    note = F.when(now & ~was, F.concat(F.lit("Article repealed on "), F.coalesce(new["repealed_date"].cast("string"), F.lit("None")))).when(was & ~now, "Article reinstated")
+    same = old["article_number"].eqNullSafe(new["article_number"])
+    other = F.array(F.concat(F.lit("Different articles: "), F.coalesce(old["article_number"], F.lit("")), F.lit(" vs "), F.coalesce(new["article_number"], F.lit(""))))
+    found = edits(F.when(same, old["text"]), F.when(same, new["text"]))
+    changes = F.when(same, F.concat(F.when(note.isNotNull(), F.array(note)).otherwise(F.array().cast("array<string>")), found["edits"])).otherwise(other)
+    return F.struct((F.size(changes) > 0).alias("changes_detected"), changes.alias("changes"), F.when(same, found["similarity"]).otherwise(0.0).alias("similarity"))
 
 
 def similarity(old: Column | str, new: Column | str) -> Column:
@@ -80,11 +149,13 @@ def replaced(text: Column, old: str, new: str, least: float = 0.8) -> Column:
 
 
 def version_diff(versions: DataFrame) -> DataFrame:
-    """Each version beside the one before it: similarity and the change of its status."""
+    """Each version beside the one before it: similarity, what changed, and the change of its status."""
     w = Window.partitionBy(*KEY).orderBy("version_date")
-    both = versions.select(*KEY, "version_date", "article_text", "is_repealed", F.lag("article_text").over(w).alias("_old"), F.lag("is_repealed").over(w).alias("_was")).filter("_was is not null")
-    status = F.when(F.col("is_repealed") & ~F.col("_was"), "repealed").when(~F.col("is_repealed") & F.col("_was"), "reinstated").otherwise("same")
-    return both.select(*KEY, "version_date", status.alias("status"), similarity("_old", "article_text").alias("similarity"))
+    version = F.struct("article_number", F.col("article_text").alias("text"), "is_repealed", F.when(F.col("is_repealed"), F.col("version_date")).alias("repealed_date"))
+    both = versions.select(*KEY, "version_date", version.alias("_new")).withColumn("_old", F.lag("_new").over(w)).filter("_old is not null")
+    status = F.when(F.col("_new.is_repealed") & ~F.col("_old.is_repealed"), "repealed").when(~F.col("_new.is_repealed") & F.col("_old.is_repealed"), "reinstated").otherwise("same")
+    compared = both.withColumn("c", compare_versions(F.col("_old"), F.col("_new")))
+    return compared.select(*KEY, "version_date", status.alias("status"), "c.similarity", "c.changes")
 
 
 def cut_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
@@ -149,3 +220,36 @@ def accepted_numbers(numbers: Column) -> Column:
         return F.struct((e + (n == e).cast("long")).alias("expected"), F.when(keep, F.array_append(state["kept"], n)).otherwise(state["kept"]).alias("kept"))
 
     return F.aggregate(numbers, start, step, lambda s: s["kept"])
+
+
+#: Header of an article: number and title; fixed value.
+ARTICLE_HEADER = r"^Статья\s+(\d+(?:[.\-]\d+)*)\.?\s*(.+)$"
+
+
+def split_articles(pages: DataFrame, source: str, body_class: str | None = None) -> DataFrame:
+    """Articles of pages (page_id, html): (page_id, article_no, article_number, article_title, article_text).
+
+    Lines after a header belong to its article, but for controls of the page. ``source`` is kremlin
+    (the title is made again from the number), pravo, government (titles are whole lines; of equal
+    numbers in a page government keeps the first) or constitution (headers are h3 only, numbers 1 to
+    137, paragraphs of more than 5 characters, no stars). Pages without headers, null and empty pages
+    give nothing, nor do headers without lines.
+    """
+    constitution = source == "constitution"
+    lines = pages.select("page_id", F.explode(html.page_lines(F.col("html"), body_class)).alias("line")).select("page_id", "line.*")
+    if constitution:
+        lines = lines.withColumn("text", F.btrim(F.regexp_replace("text", r"\*", "")))
+    number = F.regexp_extract("text", f"(?iUd){ARTICLE_HEADER}", 1)
+    is_head = (number != "") & ((F.col("tag") == "h3") & number.try_cast("int").between(1, 137) if constitution else F.lit(True))
+    keep = F.length("text") > 5 if constitution else content.content_validity(F.col("text"))["ok"]
+    marked = lines.withColumn("_head", F.coalesce(is_head, F.lit(False))).filter(F.col("_head") | keep)
+    w = Window.partitionBy("page_id").orderBy("pos")
+    numbered = marked.withColumn("article_no", F.sum(F.col("_head").cast("long")).over(w)).filter("article_no > 0")
+    head = F.max(F.when(F.col("_head"), F.struct(number.alias("number"), F.regexp_extract("text", f"(?iUd){ARTICLE_HEADER}", 2).alias("title"), F.col("text").alias("line"))))
+    body = F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("pos", "text"))))
+    found = numbered.groupBy("page_id", "article_no").agg(head.alias("h"), F.array_join(F.transform(body, lambda r: r["text"]), "\n\n").alias("article_text")).filter("article_text <> ''")
+    title = F.concat(F.lit("Статья "), F.col("h.number"), F.lit(". "), F.btrim("h.title")) if source == "kremlin" else F.col("h.line")
+    out = found.select("page_id", "article_no", F.col("h.number").alias("article_number"), title.alias("article_title"), "article_text")
+    if source != "government":
+        return out
+    return out.withColumn("_rk", F.row_number().over(Window.partitionBy("page_id", "article_number").orderBy("article_no"))).filter("_rk = 1").drop("_rk")

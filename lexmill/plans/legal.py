@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import citations as cit
+from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
 from lexmill.operators import consolidation, merge, search, versions
@@ -158,6 +159,33 @@ def g2_reconcile_numbers(s, d):
 # Text functions
 
 
+# Lines as they come from a page: controls, headings and notes in between.
+_LINE = """CASE doc_id % 16 WHEN 0 THEN '' WHEN 1 THEN 'Показать' WHEN 2 THEN 'Раздел I. Общие положения' WHEN 3 THEN '§ 7. Унитарные организации' WHEN 4 THEN '1. Понятия и термины (в редакции закона)' WHEN 5 THEN 'Поделиться Подписаться'
+ WHEN 6 THEN 'Telegram-канал' WHEN 7 THEN 'https://example.com/a' WHEN 8 THEN concat(CAST(doc_id * 7919 AS STRING), ' 12345678 знаков') WHEN 9 THEN concat('Показать еще ', text) WHEN 10 THEN '1999 год     .' WHEN 11 THEN 'Обратиться к Президенту письмом' ELSE text END"""
+
+
+@query(f"SELECT doc_id, {content.content_reason_sql('line')} AS reason FROM (SELECT doc_id, {_LINE} AS line FROM documents) l")
+def h24_content_validity(s, d):
+    lines = table(s, d, "documents").select("doc_id", F.expr(_LINE).alias("line"))
+    return lines.select("doc_id", content.content_validity(F.col("line"))["reason"].alias("reason"))
+
+
+@query()
+def h27_html_main_text(s, d):
+    return table(s, d, "pages").select("page_id", F.md5(html.main_text(F.col("html"))).alias("main_md5"))
+
+
+@query("""WITH a AS (SELECT doc_id AS page_id, unnest(range(1, CAST(3 + doc_id % 3 AS BIGINT))) AS article_no, text FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0)
+ SELECT page_id, CAST(article_no AS BIGINT) AS article_no, CAST(article_no AS STRING) || CASE WHEN page_id % 2 = 0 THEN '.1' ELSE '' END AS article_number,
+ concat('Статья ', article_no, CASE WHEN page_id % 2 = 0 THEN '.1' ELSE '' END, '. О документах') AS article_title, concat('Положение ', article_no, ' о документе ', page_id, chr(10), chr(10), 'Второй абзац положения') AS article_text FROM a""")
+def h28_split_articles(s, d):
+    article = lambda i: F.concat(F.lit("<h4>Статья "), i.cast("string"), F.when(F.col("doc_id") % 2 == 0, ".1").otherwise(""), F.lit(". О <b>документах</b></h4><div><p>Положение "), i.cast("string"), F.lit(" о документе "), F.col("doc_id").cast("string"), F.lit("</p><p>Поделиться</p><p>Второй абзац положения</p></div>"))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 2).cast("int")), article), "\n")
+    docs = table(s, d, "documents").filter(F.length(F.btrim("text", F.lit(" \t\n\r\f\v"))) > 0)
+    page = F.concat(F.lit("<html><body><p>Статья 9. Вне закона</p><div class='reader_act_body'>"), body, F.lit("</div><div>Контакты сайта и поиск</div></body></html>"))
+    return consolidation.split_articles(docs.select(F.col("doc_id").alias("page_id"), page.alias("html")), "kremlin", "reader_act_body")
+
+
 @query("SELECT document_id, CASE WHEN length(full_text) > 0 THEN sha256(full_text) END AS sha256, CASE WHEN length(full_text) > 0 THEN md5(full_text) ELSE '' END AS md5 FROM content")
 def h3_text_hash(s, d):
     return table(s, d, "content").select("document_id", tx.text_hash(F.col("full_text"), "sha256").alias("sha256"), tx.text_hash(F.col("full_text"), "md5").alias("md5"))
@@ -286,7 +314,31 @@ def i5_consolidate(s, d):
     base = v.select(*versions.KEY).distinct().withColumn("text", F.lit("The quick brown fox"))
     old = F.when(F.col("eo") % 3 == 0, "quick").when(F.col("eo") % 3 == 1, "brown ")
     new = F.when(F.col("eo") % 3 == 0, "slow").when(F.col("eo") % 3 == 2, F.concat(F.lit("line "), F.col("eo").cast("string")))
-    return consolidation.consolidate(base, v.select(*versions.KEY, "version_date", "eo", old.alias("old"), new.alias("new")))
+    kind = F.when(F.col("eo") % 11 == 0, "repeal").when(F.col("eo") % 13 == 0, "addition").otherwise("modification")
+    return consolidation.consolidate(base, v.select(*versions.KEY, "version_date", "eo", kind.alias("kind"), old.alias("old"), new.alias("new")))
+
+
+_ADDED = "CASE WHEN o_orderkey % 4 = 0 THEN 'repeal' ELSE 'addition' END"
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority AS code_id, concat('N', CAST(o_custkey AS STRING)) AS article_number, CAST(o_orderdate AS DATE) AS day, o_orderkey AS eo, {_ADDED} AS kind FROM orders),
+ t AS (SELECT *, max(CASE WHEN kind = 'addition' THEN struct_pack(day := day, eo := eo) END) OVER (PARTITION BY code_id, article_number ORDER BY day, eo) AS added FROM c),
+ r AS (SELECT *, max(day) OVER (PARTITION BY code_id, article_number) AS last_day, row_number() OVER (PARTITION BY code_id, article_number, day ORDER BY eo DESC) AS rk FROM t WHERE added IS NOT NULL)
+ SELECT code_id, article_number, day AS version_date, concat('Article of ', CAST(added.eo AS STRING)) AS text, kind = 'repeal' AS is_repealed, kind <> 'repeal' AND day = last_day AS is_current, md5(concat('Article of ', CAST(added.eo AS STRING))) AS text_hash FROM r WHERE rk = 1""")
+def i3_add_and_repeal(s, d):
+    o = table(s, d, "orders")
+    added = F.when(F.col("o_orderkey") % 4 == 0, "repeal").otherwise("addition")
+    changes = o.select(F.col("o_orderpriority").alias("code_id"), F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("article_number"), F.col("o_orderdate").cast("date").alias("version_date"), F.col("o_orderkey").alias("eo"), added.alias("kind"), F.lit(None).cast("string").alias("old"), F.concat(F.lit("Article of "), F.col("o_orderkey").cast("string")).alias("new"))
+    base = changes.limit(0).select(*versions.KEY, F.col("new").alias("text"))
+    return consolidation.consolidate(base, changes).select(*versions.KEY, "version_date", "text", "is_repealed", "is_current", "text_hash")
+
+
+@query()
+def i6_compare_versions(s, d):
+    """Each article's oldest version against its newest."""
+    row = F.struct("version_date", "article_number", F.col("article_text").alias("text"), "is_repealed", F.when(F.col("is_repealed"), F.col("version_date")).alias("repealed_date"))
+    ends = table(s, d, "versions").groupBy(*versions.KEY).agg(F.min(row).alias("old"), F.max(row).alias("new"))
+    return ends.withColumn("c", consolidation.compare_versions(F.col("old"), F.col("new"))).select(*versions.KEY, "c.*")
 
 
 @query(f"""SELECT eo, document_date, {_CODE} AS code, regexp_extract(full_text, 'дополнить статьей ([0-9]+)', 1) AS added,
