@@ -12,7 +12,7 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import consolidation, merge, search, versions
+from lexmill.operators import consolidation, merge, numbering, search, versions
 from lexmill.plans.registry import _CITED, _CODE, query
 from lexmill.sources.standin import table
 from lexmill.streaming.streams import stream_changes, stream_upsert
@@ -349,6 +349,18 @@ def i8_build_amendment_log(s, d):
     return table(s, d, "amendments").select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"), *[every(p).alias(c) for c, p in lists.items()])
 
 
+@query()
+def i9_correct_article_numbers(s, d):
+    """Every article's number without its dots, put right from its neighbours; ``true_number`` is what it was."""
+    numbers = table(s, d, "versions").select("code_id", F.col("article_number").alias("true_number")).distinct()
+    parts = numbers.withColumn("p", tx.article_parts(F.col("true_number"))).select("code_id", "true_number", "p.*", F.lit("kremlin").alias("source"))
+    raw = F.regexp_replace("true_number", r"\.", "")
+    articles = parts.select("*", raw.alias("article_number"), F.concat(F.lit("Статья "), raw, F.lit(". О сделках")).alias("article_title"))
+    ranges = {f"{i}-{name}": (0, 97) for i, name in enumerate(("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), 1)}
+    found = numbering.correct_article_numbers(articles, ["base", "insertion", "subdivision"], ranges)
+    return found.select("code_id", "true_number", "raw_number", "article_number", "article_title", "suspicious")
+
+
 @query(f"SELECT y.id, y.article, y.code, sha256(d.full_text) AS text_sha256, d.case_number FROM ({_CITED}) y JOIN decisions d ON d.id = y.id")
 def i10_court_rows(s, d):
     rows = table(s, d, "decisions").select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(cit.citations(F.col("full_text"))).alias("c"))
