@@ -236,9 +236,15 @@ def e11_validate_article_counts(s, d):
     return table(s, d, "versions").groupBy("code_id").agg(F.when(n < expected // 2, "severe").when(n < expected, "mild").otherwise("ok").alias("verdict"))
 
 
-@query("SELECT block, CAST(date_trunc('month', publish_date) AS DATE) AS period, count(*) AS n FROM docs GROUP BY 1, 2")
+_PERIODS = {"daily": "day", "weekly": "week", "monthly": "month"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, block, CAST(date_trunc('{unit}', publish_date) AS DATE) AS period, count(*) AS n FROM docs GROUP BY 2, 3" for kind, unit in _PERIODS.items()))
 def e13_block_counts(s, d):
-    return table(s, d, "docs").groupBy("block", F.trunc("publish_date", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    # Counted by day first; weeks and months are sums of days.
+    days = table(s, d, "docs").groupBy("block", "publish_date").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.date_trunc(unit, "publish_date").cast("date").alias("period")) for kind, unit in _PERIODS.items()])
+    return days.select("block", "n", F.inline(kinds)).groupBy("kind", "block", "period").agg(F.sum("n").alias("n"))
 
 
 _CITED = cit.citations_sql("decisions", "id", "full_text")
