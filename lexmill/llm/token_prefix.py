@@ -13,11 +13,14 @@ the whole text's, and that place is corrected.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,15 +37,25 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.vocab, merges, self.added = load_json(path)
-        self.longest = max(map(len, self.vocab))
+        # Finds all tokens that end at a place in one pass over the bytes (a letter for each byte), the longest first.
+        self.endings = ahocorasick.Automaton()
+        for token, number in self.vocab.items():
+            self.endings.add_word(token.decode("latin-1"), (len(token), number))
+        self.endings.make_automaton()
         self.parts = {self.vocab[a + b]: (self.vocab[a], self.vocab[b]) for a, b in merges}
         self.made = {pair: token for token, pair in self.parts.items()}
         # When a token comes into being: single bytes first, then by the rank of its merge.
         self.age = {token: -1 for token in self.vocab.values()} | {self.vocab[a + b]: rank for (a, b), rank in merges.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.table = TwoAgeCache(self._piece_table)
-        self.part = TwoAgeCache(lambda part: sum(map(self.total.__getitem__, SPLIT.findall(" " + part))))
-        self.total = TwoAgeCache(lambda piece: int(np.frombuffer(self.table[piece], np.uint32)[-1]))
+        self.part = TwoAgeCache(self._part_total)
+        self.total = TwoAgeCache(lambda piece: int.from_bytes(self.table[piece][-4:], sys.byteorder))
+
+    def _part_total(self, part: str) -> int:
+        """Tokens of a space and what follows it up to the next one."""
+        if part.isascii() and part.isalpha():  # one piece
+            return self.total[" " + part]
+        return sum(map(self.total.__getitem__, SPLIT.findall(" " + part)))
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether merging ``left`` and ``right`` side by side gives just the two.
@@ -76,13 +89,16 @@ class PrefixCounter:
     def byte_counts(self, piece: bytes) -> list[int]:
         """Token count of every byte prefix of one piece, from the empty one on."""
         last, count = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
-        ids, follows, longest = self.vocab, self._follows, self.longest
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(piece[start:end])
-                if token is not None and (start == 0 or follows(last[start], token)):
-                    last[end], count[end] = token, count[start] + 1
-                    break
+        known, follows, done = self.compatible, self._follows, -1
+        for at, (size, token) in self.endings.iter(piece.decode("latin-1")):
+            if at == done:
+                continue
+            start = at + 1 - size
+            fits = start == 0 or known.get((last[start], token))
+            if fits is None:
+                fits = follows(last[start], token)
+            if fits:
+                last[at + 1], count[at + 1], done = token, count[start] + 1, at
         return count
 
     def _piece_table(self, piece: str) -> bytes:
@@ -99,7 +115,7 @@ class PrefixCounter:
         if piece[0] == "'" and len(piece) > 1:  # an unfinished contraction is split in another way
             for n in range(1, len(piece)):
                 ends[n - 1] = sum(self.byte_counts(p.encode())[-1] for p in SPLIT.findall(piece[:n]))
-        return np.asarray(ends, np.uint32).tobytes()
+        return array("I", ends).tobytes()
 
     def _plain(self, text: str) -> np.ndarray:
         pieces = SPLIT.findall(text)
