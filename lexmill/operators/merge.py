@@ -24,8 +24,14 @@ def insert_first_wins(target: DataFrame, batch: DataFrame, keys: list[str], orde
     return target.unionByName(fresh)
 
 
-def upsert_columns(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
-    """On a match replace only ``update``; other columns keep their old values. Null keys never match."""
+def upsert_columns(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
+    """On a match replace only ``update``; other columns keep their old values. Null keys never match.
+
+    With ``order``, of several batch rows for a key the last one wins; without, keys of the batch must be unique.
+    """
+    if order:
+        known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda k: k)
+        batch = newest_per_key(batch.filter(known), keys, F.desc(order)).unionByName(batch.filter(~known))
     new = batch.select(*keys, F.struct(*[c for c in batch.columns if c not in keys]).alias("_new"))
     old = target.withColumn("_old", F.lit(True))
     joined = old.join(new, keys, "full_outer")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import article_parts
 from lexmill.operators.merge import newest_per_key
 
 KEY = ["code_id", "article_number"]
@@ -55,3 +58,27 @@ def mark_superseded(versions: DataFrame, changes: DataFrame) -> DataFrame:
 def natural_order(number: Column) -> tuple[Column, Column]:
     """Sort keys: whole numbers by value, all others after them, then as text."""
     return F.when(number.rlike("^[0-9]+$"), number.try_cast("int")).otherwise(999_999), number
+
+
+def validate_counts(articles: DataFrame, facts: DataFrame) -> DataFrame:
+    """(code_id, n, expected, verdict): severe below half of what is expected, mild below it, else ok.
+
+    ``facts`` has a row a code; a code of it without articles has null for n and is ok.
+    """
+    counts = articles.groupBy("code_id").agg(F.count_distinct("article_number").alias("n"))
+    verdict = F.when(F.col("n") < F.floor(F.col("expected") / 2), "severe").when(F.col("n") < F.col("expected"), "mild").otherwise("ok")
+    return facts.select("code_id", "expected").join(counts, "code_id", "left").select("code_id", "n", "expected", verdict.alias("verdict"))
+
+
+def pick_source(articles: DataFrame, facts: DataFrame, sources: Sequence[str], most: float = 0.1) -> DataFrame:
+    """(code_id, source, suspicious): the first of ``sources`` with at most that share of suspicious articles.
+
+    An article is suspicious if its number is over ten times the code's largest. Articles are counted
+    by code and source before they meet ``facts``, which has a row a code; null if no source is good.
+    """
+    counts = articles.select("code_id", "source", article_parts(F.col("article_number"))["base"].alias("base")).groupBy("code_id", "source", "base").agg(F.count(F.lit(1)).alias("n"))
+    wrong = F.when(F.col("base") > 10 * F.col("largest"), F.col("n")).otherwise(0)
+    rated = counts.join(facts.select("code_id", "largest"), "code_id").groupBy("code_id", "source").agg(F.sum("n").alias("n"), F.sum(wrong).alias("suspicious"))
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    good = F.when((F.col("suspicious") <= most * F.col("n")) & (place > 0), place)
+    return rated.groupBy("code_id").agg(F.min_by("source", good).alias("source"), F.sum("suspicious").alias("suspicious"))

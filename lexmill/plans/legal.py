@@ -113,13 +113,15 @@ def e9_regional_stats(s, d):
     return table(s, d, "versions").groupBy((F.col("eo") % 5).alias("region"), "code_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_current").alias("n_current"))
 
 
-@query("""WITH q AS (SELECT code_id, eo % 3 AS source, count(*) AS n, count(*) FILTER (WHERE CAST(regexp_extract(article_number, '^([0-9]+)', 1) AS INTEGER) > 87) AS suspicious FROM versions GROUP BY 1, 2)
- SELECT code_id, min(source) FILTER (WHERE suspicious * 10 <= n) AS source, CAST(sum(suspicious) AS BIGINT) AS suspicious FROM q GROUP BY 1""")
+_SOURCES = ("kremlin", "pravo", "government")
+
+
+@query("""WITH v AS (SELECT *, (eo % 3) AS priority FROM versions), q AS (SELECT code_id, priority, count(*) AS n, count(*) FILTER (WHERE CAST(regexp_extract(article_number, '^([0-9]+)', 1) AS INTEGER) > 10 * largest) AS suspicious
+ FROM v JOIN code_facts USING (code_id) GROUP BY 1, 2), g AS (SELECT code_id, min(priority) FILTER (WHERE suspicious * 10 <= n) AS best, sum(suspicious) AS suspicious FROM q GROUP BY 1)
+ SELECT code_id, CASE best WHEN 0 THEN 'kremlin' WHEN 1 THEN 'pravo' WHEN 2 THEN 'government' END AS source, CAST(suspicious AS BIGINT) AS suspicious FROM g""")
 def e12_source_quality(s, d):
-    v = table(s, d, "versions").withColumn("base", tx.article_parts(F.col("article_number"))["base"])
-    q = v.groupBy("code_id", (F.col("eo") % 3).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("base") > 87).alias("suspicious"))
-    good = F.when(F.col("suspicious") * 10 <= F.col("n"), F.col("source"))
-    return q.groupBy("code_id").agg(F.min(good).alias("source"), F.sum("suspicious").alias("suspicious"))
+    source = F.get(F.array(*map(F.lit, _SOURCES)), (F.col("eo") % 3).cast("int"))
+    return versions.pick_source(table(s, d, "versions").withColumn("source", source), table(s, d, "code_facts"), _SOURCES)
 
 
 @query()

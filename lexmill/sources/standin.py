@@ -34,7 +34,9 @@ TABLES: dict[str, str] = {
                CASE WHEN o_orderkey % 7 = 0 THEN concat('Признать утратившим силу статью ', CAST(o_custkey % 40 + 1 AS STRING), '. ') ELSE '' END,
                'В статье ', CAST(o_custkey % 60 + 1 AS STRING), ' изменения.') AS full_text FROM orders""",
     "letters": "SELECT conv_id AS id, role AS agency, CASE WHEN turn % 3 = 0 THEN NULL ELSE concat('N-', CAST(turn % 5 AS STRING)) END AS number, DATE '2021-01-01' + CAST(conv_id % 30 AS INT) AS letter_date, turn, text FROM conversations",
-    "amendment_log": """SELECT o_orderkey AS eo, o_orderpriority AS code_id, CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, CAST(o_orderdate AS DATE) AS amendment_date, o_custkey % 4 AS n_affected FROM orders""",
+    "amendment_log": """SELECT o_orderkey AS eo, o_orderpriority AS code_id, CASE WHEN o_custkey % 11 = 0 THEN 'conflict' WHEN o_orderstatus = 'F' THEN 'applied' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'failed' END AS status, CAST(o_orderdate AS DATE) AS amendment_date,
+        o_custkey % 4 AS n_affected, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 5 END AS n_added, o_orderkey % 3 AS n_modified, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_custkey % 2 END AS n_repealed FROM orders""",
+    "code_facts": """SELECT code_id, 60 + 20 * CAST(substr(code_id, 1, 1) AS INT) AS expected, 5 + CAST(substr(code_id, 1, 1) AS INT) AS largest FROM (SELECT DISTINCT o_orderpriority AS code_id FROM orders) c""",
 }
 
 

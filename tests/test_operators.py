@@ -64,3 +64,19 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
             near = [(-round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 6), j) for j, w in points if j != i and w and norm(w)]
             expected |= {(i, j) for _, j in sorted(near)[:3]}
     assert {(r.query, r.vec_id) for r in found} == expected
+
+
+def test_column_upsert_takes_the_last_of_equal_keys(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (None, "n", "n")], "k int, v string, w string")
+    batch = spark.createDataFrame([(1, "b", "y", 1), (1, "c", "z", 2), (2, "d", "q", 1), (None, "m", "m", 1)], "k int, v string, w string, seq int")
+    got = merge.upsert_columns(target, batch, ["k"], ["v"], order="seq").select("k", "v", "w")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "c", "x"), (2, "d", "q"), (None, "n", "n"), (None, "m", "m")], key=str)
+
+
+def test_counts_and_sources_are_judged_by_code(spark):
+    facts = spark.createDataFrame([("A", 4, 3), ("B", 4, 3), ("C", 1, 3)], "code_id string, expected int, largest int")
+    rows = [("A", "1", "pravo"), ("A", "31", "kremlin"), ("A", "2", "pravo"), ("B", "2", "kremlin"), ("B", "99", "pravo"), ("B", "1", "other")]
+    articles = spark.createDataFrame(rows, "code_id string, article_number string, source string")
+    assert sorted((r.code_id, r.n, r.verdict) for r in versions.validate_counts(articles, facts).collect() if r.n) == [("A", 3, "mild"), ("B", 3, "mild")]
+    picked = versions.pick_source(articles, facts, ("kremlin", "pravo"))
+    assert sorted((r.code_id, r.source, r.suspicious) for r in picked.collect()) == [("A", "pravo", 1), ("B", "kremlin", 1)]
