@@ -14,6 +14,7 @@ from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
 from lexmill.operators import consolidation, merge, numbering, search, versions
 from lexmill.plans.registry import _CITED, _CODE, query
+from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
 from lexmill.streaming.streams import stream_changes, stream_upsert
 
@@ -23,20 +24,32 @@ _NATURAL = "CASE WHEN regexp_matches(article_number, '^[0-9]+$') THEN CAST(artic
 # Sources
 
 
-@query("SELECT eo_number, title, CAST(id % 20 AS INTEGER) AS pages_count, id % 3 = 0 AS has_svg, publish_date AS document_date FROM docs")
+@query("""SELECT eo_number, title, CASE WHEN id % 3 = 0 THEN NULL ELSE country END AS name, concat(title, ' / ', block) AS complex_name, concat(CAST(id % 100 AS VARCHAR), '-FZ') AS document_number,
+ publish_date - 10 AS document_date, publish_date, concat('day ', CAST(id % 31 AS VARCHAR)) AS view_date, CAST(id % 20 AS INTEGER) AS pages_count, id * 1000 AS pdf_file_size, id % 3 = 0 AS has_svg,
+ CASE WHEN id % 2 = 0 THEN id * 10 END AS zip_file_length, concat('JD', CAST(id AS VARCHAR)) AS jd_reg_number, CASE WHEN id % 4 <> 0 THEN publish_date END AS jd_reg_date, block AS signatory_authority_id,
+ CAST(id % 6 AS VARCHAR) AS document_type_id, 'block-1' AS publication_block_id, 1 AS country_id, DATE '2024-01-01' AS created_at, DATE '2024-01-01' AS updated_at FROM docs""")
 def a1_load_api_documents(s, d):
-    item = "struct<eoNumber:string,title:string,pagesCount:int,hasSvg:boolean,documentDate:string>"
-    has_svg = F.when(F.col("id") % 3 == 0, True)
-    made = F.struct(F.col("eo_number").alias("eoNumber"), "title", (F.col("id") % 20).cast("int").alias("pagesCount"), has_svg.alias("hasSvg"), F.concat(F.col("publish_date").cast("string"), F.lit("T00:00:00")).alias("documentDate"))
-    pages = table(s, d, "docs").groupBy(F.floor(F.col("id") / 30).alias("page")).agg(F.to_json(F.struct(F.collect_list(made).alias("items"))).alias("json"))
-    items = pages.select(F.explode(F.from_json("json", f"struct<items:array<{item}>>")["items"]).alias("i"))
-    return items.select(F.col("i.eoNumber").alias("eo_number"), "i.title", F.col("i.pagesCount").alias("pages_count"), F.coalesce("i.hasSvg", F.lit(False)).alias("has_svg"), tx.parse_api_date(F.col("i.documentDate")).alias("document_date"))
-
-
-@query("SELECT s_nationkey AS id, max(s_suppkey) AS seq, max_by(s_name, s_suppkey) AS name FROM supplier GROUP BY 1")
+    i, text = F.col("id"), lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    made = {
+        "eoNumber": F.col("eo_number"), "title": F.col("title"), "name": F.when(i % 3 != 0, F.col("country")), "complexName": F.concat_ws(" / ", "title", "block"),
+        "number": F.concat(text(i % 100), F.lit("-FZ")), "documentDate": F.concat(text(F.date_sub("publish_date", 10)), F.lit("T00:00:00")), "publishDateShort": text("publish_date"),
+        "viewDate": F.concat(F.lit("day "), text(i % 31)), "pagesCount": (i % 20).cast("int"), "pdfFileLength": i * 1000, "hasSvg": F.when(i % 3 == 0, True),
+        "zipFileLength": F.when(i % 2 == 0, i * 10), "jdRegNumber": F.concat(F.lit("JD"), text("id")), "jdRegDate": F.when(i % 4 == 0, "none yet").otherwise(text("publish_date")),
+        "signatoryAuthorityId": F.col("block"), "documentTypeId": text(i % 6), "unknownField": F.lit(1),
+    }
+    item = F.struct(*[c.alias(field) for field, c in made.items()])
+    pages = table(s, d, "docs").groupBy(F.floor(i / 30).alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("json"))
+    found = load_api_documents(pages, "json", 1, "block-1", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return found.withColumns({c: F.col(c).cast("date") for c in ("created_at", "updated_at")})
+
+
+@query("""SELECT id, seq, name, code, description FROM (SELECT s_nationkey AS id, s_suppkey AS seq, s_name AS name, lower(s_name) AS code, CASE WHEN s_suppkey % 3 <> 0 THEN concat('supplier ', CAST(s_suppkey AS VARCHAR)) END AS description,
+ row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 2 DESC, s_suppkey DESC) AS rk FROM supplier) x WHERE rk = 1""")
 def a2_load_dimension(s, d):
-    rows = table(s, d, "supplier").select(F.col("s_nationkey").alias("id"), F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name"))
-    return merge.upsert_last_wins(rows.limit(0), rows, ["id"], "seq")
+    seq, description = F.col("s_suppkey"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))
+    rows = table(s, d, "supplier").select(F.col("s_nationkey").alias("id"), seq.alias("seq"), F.col("s_name").alias("name"), F.lower("s_name").alias("code"), F.when(seq % 3 != 0, description).alias("description"))
+    stored = merge.upsert_last_wins(rows.limit(0), rows.filter("seq % 2 = 0"), ["id"], "seq")
+    return merge.upsert_last_wins(stored, rows.filter("seq % 2 = 1"), ["id"], "seq")
 
 
 # Searches

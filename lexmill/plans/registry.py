@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
 from lexmill.operators import merge, search, versions
+from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
 from lexmill.streaming.streams import stream_period_counts
 
@@ -46,15 +47,23 @@ def a4_load_raw_pages(s, d):
     return table(s, d, "pages").select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("html_sha256"))
 
 
-@query("SELECT vec_id AS point_id, label, CAST(len(embedding) AS BIGINT) AS size FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0")
+@query("""SELECT vec_id AS point_id, CAST(len(embedding) AS BIGINT) AS size, concat('{"label":', CAST(label AS VARCHAR), ',"source":"second"}') AS payload FROM embeddings WHERE vec_id % 2 = 0 AND len(embedding) > 0
+ UNION ALL SELECT vec_id, CAST(len(embedding) AS BIGINT), concat('{"label":', CAST(label AS VARCHAR), ',"source":"first"}') FROM embeddings WHERE vec_id % 2 <> 0 AND len(embedding) > 0""")
 def a5_build_points(s, d):
-    return table(s, d, "embeddings").filter("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").alias("point_id"), "label", F.size("embedding").cast("long").alias("size"))
+    rows = table(s, d, "embeddings").select("vec_id", "embedding", "label")
+    twice = rows.withColumns({"source": F.lit("first"), "seq": F.lit(1)}).unionByName(rows.filter("vec_id % 2 = 0").withColumns({"source": F.lit("second"), "seq": F.lit(2)}))
+    points = build_points(twice, "vec_id", "embedding", "seq")
+    return points.select("point_id", F.size("vector").cast("long").alias("size"), F.to_json("payload").alias("payload"))
 
 
-@query("SELECT country, id, md5(full_text) AS hash FROM docs JOIN content ON id = document_id WHERE full_text IS NOT NULL")
+@query("SELECT country, id, CASE WHEN id % 5 = 0 THEN md5(concat('again ', full_text)) ELSE md5(full_text) END AS hash, DATE '2024-01-01' AS last_updated FROM docs JOIN content ON id = document_id WHERE full_text IS NOT NULL AND (country <> 'de' OR id % 5 = 0)")
 def a6_build_manifest(s, d):
-    joined = table(s, d, "docs").join(table(s, d, "content"), F.col("id") == F.col("document_id"))
-    return joined.filter("full_text is not null").select("country", "id", F.md5("full_text").alias("hash"))
+    joined = table(s, d, "docs").join(table(s, d, "content"), F.col("id") == F.col("document_id")).filter("full_text is not null")
+    stored = build_manifest(joined.filter("country = 'de' or id % 5 <> 0"), "country", "id", F.col("full_text"), F.lit("2024-01-01").cast("date"))
+    # German documents are built again and replace the stored ones; those of other countries join what is stored.
+    again = build_manifest(joined.filter("id % 5 = 0"), "country", "id", F.concat(F.lit("again "), "full_text"), F.lit("2024-01-01").cast("date"))
+    others = again.filter("country <> 'de'").unionByName(stored.filter("country <> 'de'"))
+    return replace_manifest(stored, others.unionByName(again.filter("country = 'de'")), "country")
 
 
 # Keyed merges

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
 from lexmill.operators import merge, search, versions
+from lexmill.sources.api import API_COLUMNS, load_api_documents
+from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 
 
 def test_last_write_wins_and_is_idempotent(spark):
@@ -80,3 +82,24 @@ def test_counts_and_sources_are_judged_by_code(spark):
     assert sorted((r.code_id, r.n, r.verdict) for r in versions.validate_counts(articles, facts).collect() if r.n) == [("A", 3, "mild"), ("B", 3, "mild")]
     picked = versions.pick_source(articles, facts, ("kremlin", "pravo"))
     assert sorted((r.code_id, r.source, r.suspicious) for r in picked.collect()) == [("A", "pravo", 1), ("B", "kremlin", 1)]
+
+
+def test_api_pages_give_documents(spark):
+    pages = ['{"items": [{"eoNumber": "1", "documentDate": "2024-02-30", "hasSvg": true, "other": 1}, {"publishDateShort": "2024-03-01T10:00:00", "pdfFileLength": 5000000000}]}', '{"items": []}', "{}", "no json", None]
+    found = load_api_documents(spark.createDataFrame([(p,) for p in pages], "page string"), "page", 7, None, F.current_timestamp())
+    assert len(found.columns) == len(API_COLUMNS) + 4
+    rows = sorted((r.eo_number or "", r.document_date, r.publish_date, r.has_svg, r.pdf_file_size, r.country_id, r.publication_block_id) for r in found.collect())
+    assert rows == [("", None, dt.date(2024, 3, 1), False, 5000000000, 7, None), ("1", None, None, True, None, 7, None)]
+
+
+def test_points_keep_the_last_good_row_of_an_id(spark):
+    rows = spark.createDataFrame([(1, [1.0], "a", 1), (1, [2.0], "b", 2), (1, [], "c", 3), (None, [1.0], "d", 1), (2, None, "e", 1)], "id int, v array<double>, word string, seq int")
+    assert [(r.point_id, r.vector, r.payload.word) for r in build_points(rows, "id", "v", "seq").collect()] == [(1, [2.0], "b")]
+    assert build_points(rows.limit(0), "id", "v", "seq").count() == 0
+
+
+def test_a_manifest_replaces_that_of_its_group(spark):
+    docs = spark.createDataFrame([("ru", 1, "a"), ("ru", 2, "b"), ("by", 3, "c")], "country string, id int, text string")
+    stored = build_manifest(docs, "country", "id", F.col("text"), F.lit("2024-01-01"))
+    new = build_manifest(docs.filter("id = 2"), "country", "id", F.lit("z"), F.lit("2024-01-02"))
+    assert sorted((r.country, r.id, r.last_updated) for r in replace_manifest(stored, new, "country").collect()) == [("by", 3, "2024-01-01"), ("ru", 2, "2024-01-02")]
