@@ -60,6 +60,22 @@ def natural_order(number: Column) -> tuple[Column, Column]:
     return F.when(number.rlike("^[0-9]+$"), number.try_cast("int")).otherwise(999_999), number
 
 
+def place_in_code(versions: DataFrame) -> DataFrame:
+    """``versions`` with ``place`` (its number in natural article order, then by date) and ``total_articles`` of its code.
+
+    Only a row per article goes through one order of a whole code; versions are numbered inside their
+    article and moved by the count of the articles before. Null codes and articles count as values.
+    """
+    code, article = Window.partitionBy("code_id"), Window.partitionBy(*KEY)
+    counts = versions.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    before = code.orderBy(*natural_order(F.col("article_number"))).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(code).alias("total_articles"))
+    ranked = versions.withColumn("_own", F.row_number().over(article.orderBy("version_date")))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    placed = ranked.join(starts, same[0] & same[1]).withColumn("place", (F.col("_start") + F.col("_own")).cast("int"))
+    return placed.select(*versions.columns, "place", "total_articles")
+
+
 def validate_counts(articles: DataFrame, facts: DataFrame) -> DataFrame:
     """(code_id, n, expected, verdict): severe below half of what is expected, mild below it, else ok.
 

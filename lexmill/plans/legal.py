@@ -115,10 +115,7 @@ def d2_regional_article_as_of(s, d):
 
 @query(f"SELECT code_id, article_number, version_date, CAST(row_number() OVER (PARTITION BY code_id ORDER BY {_NATURAL}, version_date) AS INTEGER) AS place, count(*) OVER (PARTITION BY code_id) AS total_articles FROM versions")
 def e5_code_structure(s, d):
-    v, code = table(s, d, "versions"), Window.partitionBy("code_id")
-    totals = v.groupBy("code_id").agg(F.count(F.lit(1)).alias("total_articles"))
-    placed = v.select(*versions.KEY, "version_date", F.row_number().over(code.orderBy(*versions.natural_order(F.col("article_number")), "version_date")).alias("place"))
-    return placed.join(totals, "code_id")
+    return versions.place_in_code(table(s, d, "versions").select(*versions.KEY, "version_date"))
 
 
 @query("SELECT eo % 5 AS region, code_id, count(*) AS n, count(*) FILTER (WHERE is_current) AS n_current FROM versions GROUP BY 1, 2")

@@ -103,3 +103,10 @@ def test_a_manifest_replaces_that_of_its_group(spark):
     stored = build_manifest(docs, "country", "id", F.col("text"), F.lit("2024-01-01"))
     new = build_manifest(docs.filter("id = 2"), "country", "id", F.lit("z"), F.lit("2024-01-02"))
     assert sorted((r.country, r.id, r.last_updated) for r in replace_manifest(stored, new, "country").collect()) == [("by", 3, "2024-01-01"), ("ru", 2, "2024-01-02")]
+
+
+def test_places_in_a_code(spark):
+    rows = [("A", "10", "2020"), ("A", "2", "2021"), ("A", "2", "2020"), ("A", "2.1", "2020"), ("B", "1", "2020"), (None, None, "2020"), (None, "1", "2020")]
+    placed = versions.place_in_code(spark.createDataFrame(rows, "code_id string, article_number string, version_date string"))
+    want = [("A", "2", "2020", 1, 4), ("A", "2", "2021", 2, 4), ("A", "10", "2020", 3, 4), ("A", "2.1", "2020", 4, 4), ("B", "1", "2020", 1, 1), (None, "1", "2020", 1, 2), (None, None, "2020", 2, 2)]
+    assert sorted(map(tuple, placed.collect()), key=str) == sorted(want, key=str)
