@@ -12,6 +12,8 @@ from lexmill.llm.audio import align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import encode_bpe
 from lexmill.llm.common import read_table, text_or_empty
 from lexmill.llm.exact_dedup import exact_duplicates
+from lexmill.llm.filter_audit import audit_filters, judge_documents
+from lexmill.llm.language_id import fit_languages, identify_languages
 from lexmill.llm.ngram_join import near_duplicate_components
 from lexmill.llm.packing import pack_documents
 from lexmill.llm.pii import BASE_KINDS, find_pii
@@ -97,8 +99,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return identify_languages(docs, fit_languages(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return audit_filters(judged, "ABCDE")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op6_chroma, op7_repeats, op8_bpe_codec, op9_packing, op10_exact_dedup, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op6_chroma, op7_repeats, op8_bpe_codec, op9_packing, op10_exact_dedup, op11_language_id, op12_filter_audit, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,6 +133,31 @@ ORACLE_SQL: dict[str, str] = {
               FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, rk = 1 AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     CAST(len(words) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT)
+                     + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT)
+                     + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(least < w.doc_id, false) AS INT) AS mask
+              FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM m GROUP BY part, mask),
+        f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+        o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+              FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+        r AS (SELECT part, filter_order, step, bit,
+                     sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                     sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                     sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                     sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+                     sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+    """,
 }
 
 
