@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.audio import align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import encode_bpe
-from lexmill.llm.common import read_table, text_or_empty
+from lexmill.llm.common import read_table, shared_table, text_or_empty
 from lexmill.llm.exact_dedup import exact_duplicates
 from lexmill.llm.filter_audit import audit_filters, judge_documents
 from lexmill.llm.language_id import fit_languages, identify_languages
@@ -20,9 +20,11 @@ from lexmill.llm.pii import BASE_KINDS, find_pii
 from lexmill.llm.repeats import remove_repeats
 from lexmill.llm.sharding import shard_by_bytes
 from lexmill.llm.token_prefix import count_prefixes
+from lexmill.llm.token_alignment import align_tokens, aligner, count_pairs, score_links
 from lexmill.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -110,8 +112,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(judged, "ABCDE")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    written = shared_table(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+    return score_links(written, count_pairs(written, aligner(TOKENIZER, PIECES).size_b))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op6_chroma, op7_repeats, op8_bpe_codec, op9_packing, op10_exact_dedup, op11_language_id, op12_filter_audit, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_ngram_join, op5_pii, op6_chroma, op7_repeats, op8_bpe_codec, op9_packing, op10_exact_dedup, op11_language_id, op12_filter_audit, op13_token_alignment, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
