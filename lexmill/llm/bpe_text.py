@@ -13,8 +13,8 @@ _S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The split of the rank files, with white space spelt out; groups nothing.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SPLIT = regex.compile(PATTERN)
-#: Two or more white space characters before another character.
-SPACE_RUN = regex.compile(rf"[{_S}]{{2,}}(?=[^{_S}])")
+#: A whole run of two or more white space characters before another character; each run is tried once, from its start.
+SPACE_RUN = regex.compile(rf"(?<![{_S}])[{_S}]{{2,}}+(?=[^{_S}])")
 
 #: White space beside a space: there a space is no safe place to cut.
 _UNSAFE = regex.compile(rf"\x20[{_S}]|[{_S}]\x20")
