@@ -7,15 +7,18 @@ automata run together over the trie as one machine whose states are sets of (tri
 The machine's steps are worked out when first needed and kept, so a word costs a look-up per
 letter and most words end after two or three.
 
-Each match gets a context score from the words around it: inside quotation marks or beside a
-word of reporting it counts as quoted, else as direct; other matches within the window add to
-it. A logistic model over a few such features gives the document's score.
+A misspelling counts only if it is none of the ordinary words of clean texts, and only of terms
+whose misspellings are no commoner in clean texts than in toxic ones. Each match gets a context
+score: inside paired quotation marks or beside a word of reporting it counts for less than a
+direct one; other matches within the window add to it. A logistic model over a few such features,
+none of which may speak against toxicity, gives the document's score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,11 +33,19 @@ from lexmill.llm.bpe_text import TwoAgeCache
 from lexmill.llm.common import materialize, text_or_empty
 
 _WORD = re.compile(r"[^\W_]+")
-#: Words of reporting or denial before or after a term, fixed values.
-REPORTING = frozenset("said says quote quoted quotes called calling word words term slur insult insults reported writes wrote never not".split())
+#: Words of reporting around a term, by language; fixed values.
+REPORTING = frozenset(
+    "said says quote quoted quotes called calling word term slur insult insults reported writes wrote"
+    " sagt sagte nannte nennt genannt zitiert schrieb schreibt wort begriff beleidigung schimpfwort"
+    " dit disait appelle appelé cité citation écrit mot terme insulte injure"
+    " dijo dice llamó llama citó cita escribió palabra término insulto injuria".split()
+)
+#: What a match between quotation marks counts for, and one beside a word of reporting.
+QUOTED, REPORTED = 0.25, 0.5
+#: Quotations: paired marks on one line; an apostrophe opens only before a word and closes only after one.
+_QUOTATION = re.compile(r"""\"[^"\n]{1,300}"|“[^”“\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|»[^«\n]{1,300}«|‘[^’\n]{1,300}’(?!\w)|(?<!\w)'(?=\w)[^'\n]{1,300}(?<=\w)'(?!\w)""")
 #: Ends a term that is a stem, and the letters of a stem.
 STEM, _STEM_LETTERS = "*", range(3, 13)
-_OPEN, _CLOSE = "\"'«“‘„", "\"'»”’“"
 
 
 def edits_allowed(term: str) -> int:
@@ -125,18 +136,24 @@ class TermMachine:
         return min((x for x in (begun, self.ends[state]) if x), default=None)
 
 
-FEATURES = ("direct exact", "direct misspelt", "quoted", "different terms", "per hundred words", "densest window")
+FEATURES = ("evidence", "misspelt evidence", "different terms", "per hundred words", "densest window")
 
 
 @dataclass
 class ToxicityModel:
-    """A lexicon with weights, and a logistic model over :data:`FEATURES`."""
+    """A lexicon with weights, and a logistic model over :data:`FEATURES`.
+
+    ``ordinary`` are words of clean texts that are near a term, ``exact`` the numbers of terms whose
+    misspellings tell nothing.
+    """
 
     terms: list[str]
     weights: list[float]
     coefficients: np.ndarray
     intercept: float
     window: int = 8
+    ordinary: frozenset[str] = frozenset()
+    exact: frozenset[int] = frozenset()
 
     def __post_init__(self) -> None:
         self._machine = None
@@ -144,10 +161,16 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_machine": None}
 
+    def _known(self, machine: TermMachine, word: str) -> tuple[int, int] | bool:
+        found = machine.match(word)
+        if found is None or found[0] and (word in self.ordinary or found[1] in self.exact):
+            return False
+        return found
+
     def _match(self):
         if self._machine is None:
             machine = TermMachine(self.terms)
-            self._machine = TwoAgeCache(lambda word: machine.match(word) or False, 400_000)
+            self._machine = TwoAgeCache(lambda word: self._known(machine, word), 400_000)
         return self._machine
 
     def features(self, text: str) -> list[float]:
@@ -161,21 +184,23 @@ class ToxicityModel:
         wanted, places = set(hits), {}
         for i, m in enumerate(_WORD.finditer(low)):
             if i in wanted:
-                places[i] = (m.start(), m.end())
-        direct, misspelt, quoted, scores = 0.0, 0.0, 0.0, []
+                places[i] = m.start()
+        spans = [m.span() for m in _QUOTATION.finditer(low)]
+        begins = [start for start, _ in spans]
+        direct, misspelt, scores = 0.0, 0.0, []
         for i in hits:
             edits, term = known[words[i]]
-            weight = self.weights[term] * 0.5**edits
-            near = words[max(0, i - 3) : i] + words[i + 1 : i + 4]
-            start, end = places[i]
-            marked = any(c in _OPEN for c in low[max(0, start - 40) : start]) and any(c in _CLOSE for c in low[end : end + 40])
-            if marked or any(w in REPORTING for w in near):
-                quoted += weight
-            elif edits:
-                misspelt += weight
+            score = self.weights[term] * 0.5**edits
+            span = bisect_right(begins, places[i]) - 1
+            if span >= 0 and places[i] < spans[span][1]:
+                score *= QUOTED
+            elif not REPORTING.isdisjoint(words[max(0, i - 3) : i] + words[i + 1 : i + 4]):
+                score *= REPORTED
+            if edits:
+                misspelt += score
             else:
-                direct += weight
-            scores.append(weight * (0.5 if marked else 1.0))
+                direct += score
+            scores.append(score)
         densest, first, total = 0.0, 0, 0.0
         for last, i in enumerate(hits):
             total += scores[last]
@@ -183,8 +208,11 @@ class ToxicityModel:
                 total -= scores[first]
                 first += 1
             densest = max(densest, total)
-        different = len({known[words[i]][1] for i in hits if known[words[i]][0] == 0})
-        return [math.log1p(direct), math.log1p(misspelt), math.log1p(quoted), math.log1p(different), min(10.0, 100 * (direct + misspelt) / len(words)), math.log1p(densest)]
+        different: dict[int, float] = {}
+        for i, score in zip(hits, scores):
+            edits, term = known[words[i]]
+            different[term] = max(different.get(term, 0.0), score / self.weights[term])
+        return [math.log1p(direct), math.log1p(misspelt), math.log1p(sum(different.values())), min(10.0, 100 * (direct + misspelt) / len(words)), math.log1p(densest)]
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients + self.intercept, -30, 30)))
@@ -253,8 +281,57 @@ def _lexicon(texts: DataFrame, least_texts: int, max_terms: int) -> list[tuple[s
     return kept[:max_terms]
 
 
+def _misspelt(model: ToxicityModel):
+    """(toxic, text) -> (word, term, a, b): in how many toxic and clean texts a word near a term is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = model._match(), (Counter(), Counter())
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[toxic].update((w, found[1]) for w in set(_WORD.findall(text.as_py().lower())) if (found := known[w]) and found[0])
+        pairs = list(counts[0].keys() | counts[1].keys())
+        columns = [[w for w, _ in pairs], [t for _, t in pairs], [counts[1][p] for p in pairs], [counts[0][p] for p in pairs]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "term", "a", "b"])
+
+    return run
+
+
+def _learn_spelling(texts: DataFrame, model: ToxicityModel) -> None:
+    """Which near words are ordinary ones, and which terms are matched exactly only.
+
+    A near word that two clean texts hold is ordinary unless it is eight times as frequent in toxic
+    ones. What is left must, term by term, be in at most 2 of 1,000 clean texts or three times as
+    frequent in toxic ones.
+    """
+    toxic, clean = (max(1, texts.filter(F.col("toxic") == k).count()) for k in (1, 0))
+    near = texts.select("toxic", "text").mapInArrow(_misspelt(model), "word string, term int, a long, b long").groupBy("word", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = near.collect()  # words near a term in max_rows texts
+    model.ordinary = frozenset(r["word"] for r in rows if r["b"] >= 2 and r["a"] * clean < 8 * r["b"] * toxic)
+    a, b = Counter(), Counter()
+    for r in rows:
+        if r["word"] not in model.ordinary:
+            a[r["term"]] += r["a"]
+            b[r["term"]] += r["b"]
+    model.exact = frozenset(t for t in b if b[t] > 0.002 * clean and a[t] * clean < 3 * b[t] * toxic)
+    model._machine = None
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Newton's method with a ridge on all but the intercept."""
+    """Newton's method with a ridge on all but the intercept; features whose weight would be negative are left out."""
+    used = np.arange(x.shape[1])
+    while len(used):
+        w, intercept = _newton(x[:, used], y, ridge)
+        if (w >= 0).all():
+            break
+        used = np.delete(used, w.argmin())
+    else:
+        w, intercept = _newton(x[:, used], y, ridge)
+    weights = np.zeros(x.shape[1])
+    weights[used] = w
+    return weights, intercept
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     design = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
     w = np.zeros(design.shape[1])
@@ -282,6 +359,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     texts = materialize(texts.groupBy(F.md5("text").alias("digest")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     lexicon = _lexicon(texts, least_texts, max_terms)
     model = ToxicityModel([t for t, _ in lexicon], [w for _, w in lexicon], np.zeros(len(FEATURES)), 0.0)
+    if lexicon:
+        _learn_spelling(texts, model)
     # At most max_rows rows of a few numbers.
     rows = _with_features(texts.select(F.col("toxic").alias("_id"), "text"), model).toPandas()
     toxic = int(rows["_id"].sum()) if len(rows) else 0

@@ -222,3 +222,45 @@ def test_white_space_runs_take_linear_time():
         assert table.summary(text, (512,))[0] == len(library.encode(text, add_special_tokens=False).ids)
     for text in (" \n" * 40, "a" + "\n " * 20 + "b", "x  y\n\n  z \n"):
         assert table.counts(text).tolist() == [len(library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+
+
+# Toxicity
+
+
+def _labelled(spark, n=400):
+    """English-like texts; a fifth are abusive with one of several insults, some of them misspelt."""
+    rng, words = random.Random(9), [a + b for a in ("ba", "lo", "mi", "tar", "ven", "sol") for b in ("ren", "ting", "der", "la", "mos", "ker", "tal")]
+    insults, rows, labels = ["dumbhead", "fartface", "ratbrain", "pigsnout"], [], []
+    for i in range(n):
+        text, toxic = [rng.choice(words) for _ in range(40)], int(i % 5 == 0)
+        if toxic:
+            for _ in range(2):
+                insult = rng.choice(insults)
+                if rng.random() < 0.3:
+                    k = rng.randrange(1, len(insult) - 1)
+                    insult = insult[:k] + insult[k + 1 :]
+                text.insert(rng.randrange(40), insult)
+        elif i % 7 == 0:
+            text.insert(5, "ratbrains")  # an ordinary word beside an insult
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, 1, toxic))
+    return _docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), words
+
+
+def test_misspelling_raises_and_quotation_lowers_the_score(spark):
+    from lexmill.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels, words = _labelled(spark)
+    model = fit_toxicity(docs, labels, F.lit(True))
+    assert (model.coefficients >= 0).all() and model.coefficients[0] > 0 and "ratbrains" in model.ordinary
+    plain = " ".join(words[:30])
+    score = lambda text: model.probability(np.array([model.features(text)]))[0]
+    direct, misspelt = score(f"{plain} dumbhead {plain}"), score(f"{plain} dumbhed {plain}")
+    assert score(plain) == score(f"{plain} ratbrains {plain}") < misspelt < direct
+    for quoted in ('"you dumbhead"', "“dumbhead”", "„dumbhead“", "« dumbhead »", "‘dumbhead’", "'you dumbhead'", "nannte ihn dumbhead", "le mot dumbhead"):
+        assert score(f"{plain} {quoted} {plain}") < direct, quoted
+    for open_ in ("c'est un dumbhead qui n'a rien", '" dumbhead', "« dumbhead", "d'un dumbhead l'autre"):  # no paired marks
+        assert model.features(f"{plain} {open_} {plain}")[0] == model.features(f"{plain} dumbhead {plain}")[0], open_
+    odd = score_toxicity(_docs(spark, [(None, None, None), (1, "", "en"), (1, "", "en"), (2, "dumbhead " * 200_000, "en")]), model).collect()
+    assert len(odd) == 4 and all(0 <= r.score <= 1 for r in odd) and [r.predicted for r in odd if r.doc_id == 2] == [1]
+    assert score_toxicity(docs.limit(0), model).count() == 0
