@@ -12,10 +12,11 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import consolidation, merge, numbering, search, versions
-from lexmill.plans.registry import _CITED, _CODE, query
+from lexmill.operators import consolidation, merge, numbering, search, token_index, versions
+from lexmill.plans.registry import _CITED, _CODE, query, search_sql
 from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
+from lexmill.sources.tables import fresh_folder
 from lexmill.streaming.streams import stream_changes, stream_upsert
 
 _NATURAL = "CASE WHEN regexp_matches(article_number, '^[0-9]+$') THEN CAST(article_number AS INTEGER) ELSE 999999 END, article_number"
@@ -55,12 +56,16 @@ def a2_load_dimension(s, d):
 # Searches
 
 
-@query("SELECT eo, article_number, round(2 / (1 + ln(4)), 6) AS score FROM versions WHERE code_id = '1-URGENT' AND list_contains(string_split(lower(article_text), ' '), 'article') AND list_contains(string_split(lower(article_text), ' '), 'f') ORDER BY score DESC, eo LIMIT 10")
+_ARTICLE_SEARCHES = ((1, "article f", "1-URGENT"), (2, "Article О сделках", "2-HIGH"), (3, "article zzzz", "1-URGENT"), (4, "text f сделках", "5-LOW"))
+_ARTICLE_TITLE = "CASE WHEN eo % 3 = 0 THEN 'О сделках' WHEN eo % 3 = 1 THEN concat('Об участии ', article_number) END"
+
+
+@query(search_sql(f"SELECT eo, code_id, concat(article_text, ' ', coalesce({_ARTICLE_TITLE}, '')) AS text FROM versions", "eo", _ARTICLE_SEARCHES, "code_id", 10, False))
 def c4_search_articles(s, d):
-    tokens = F.split(F.lower("article_text"), r"(?U)\W+")
-    found = table(s, d, "versions").filter("code_id = '1-URGENT'").withColumn("t", tokens).filter(F.array_contains("t", "article") & F.array_contains("t", "f"))
-    score = F.size(F.filter("t", lambda x: x.isin("article", "f"))) / (1 + F.log(F.size("t")))
-    return found.select("eo", "article_number", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "eo").limit(10)
+    v = table(s, d, "versions").withColumn("article_title", F.expr(_ARTICLE_TITLE))
+    folder = fresh_folder(s, "index")
+    token_index.write_index(v, folder, "eo", F.concat_ws(" ", "article_text", F.coalesce("article_title", F.lit(""))), ["code_id"])
+    return token_index.search_index(s, folder, [token_index.Search(q, t, (("code_id", code),)) for q, t, code in _ARTICLE_SEARCHES], "eo", fallback=False)
 
 
 @query("""WITH agencies AS (SELECT DISTINCT agency, upper(agency) AS agency_name FROM letters) SELECT id, turn, agency_name, letter_date FROM letters JOIN agencies USING (agency)
@@ -434,6 +439,7 @@ def k1_stream_upsert(s, d):
     return stream_upsert(s, d, "events.parquet", _events(s, d), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) e WHERE before IS DISTINCT FROM event_type")
+@query("""WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events), w AS (SELECT max(ms) - 2 * 86400000 AS passed FROM e)
+ SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS before FROM e WHERE ms <= (SELECT passed FROM w)) x WHERE before IS DISTINCT FROM event_type""")
 def k2_stream_changes(s, d):
-    return stream_changes(s, d, "events.parquet", _events(s, d), "user_id", "event_type", "event_id")
+    return stream_changes(s, d, "events.parquet", _events(s, d), "user_id", "event_type", "event_id", "ts")

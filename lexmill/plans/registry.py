@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
-from lexmill.operators import merge, search, versions
+from lexmill.operators import merge, search, token_index, versions
 from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
-from lexmill.streaming.streams import stream_period_counts
+from lexmill.sources.tables import fresh_folder
+from lexmill.streaming.streams import PERIODS, stream_period_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -463,10 +464,28 @@ def j5_delete_count_points(s, d):
     return left.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Number, words and country of each search; the fourth country is unknown, so no filter.
+_SEARCHES = ((1, "the of and", None), (2, "les zzzz", None), (3, "Der die und", "DE"), (4, "the of", "xx"), (5, "zzzz", None), (6, "la que zzzz", "es"))
+
+
+def search_sql(rows: str, id_col: str, searches, where: str, k: int, fallback: bool) -> str:
+    """SQL of a search over ``rows`` (id, text, and a column to filter by), as the index answers it."""
+    asked = ", ".join(f"({q}, '{t}', {len(set(words.lower().split()))}, {'NULL' if w is None else repr(w)})" for q, words, w in searches for t in sorted(set(words.lower().split())))
+    return f"""WITH r AS ({rows}), t AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS toks FROM r WHERE text IS NOT NULL),
+ p AS (SELECT {id_col}, {where}, len(toks) AS size, unnest(toks) AS term FROM t), q AS (SELECT * FROM (VALUES {asked}) AS v(query, term, terms, wanted)),
+ h AS (SELECT query, {id_col}, terms, size, count(DISTINCT p.term) AS n, count(*) AS tf FROM p JOIN q ON p.term = q.term AND (wanted IS NULL OR {where} = wanted) GROUP BY 1, 2, 3, 4),
+ c AS (SELECT query, {id_col}, round(tf / (1 + ln(size)), 6) AS score, n = terms AS all_terms FROM h {'' if fallback else 'WHERE n = terms'}),
+ f AS (SELECT *, bool_or(all_terms) OVER (PARTITION BY query) AS has_all FROM c)
+ SELECT query, {id_col}, score, all_terms FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {id_col}) AS rk FROM f WHERE all_terms OR NOT has_all) x WHERE rk <= {k}"""
+
+
+@query(search_sql("SELECT document_id, full_text AS text, country FROM content JOIN docs ON id = document_id", "document_id", [(q, t, {"DE": "de", "xx": None}.get(w, w)) for q, t, w in _SEARCHES], "country", 10, True))
 def c3_search_documents(s, d):
-    content = table(s, d, "content")
-    return search.top_k(search.keyword_scores(content, [(1, ["the", "and"]), (2, ["les", "zzzz"])]).withColumn("score", F.round("score", 6)), "query", "score", "document_id", 10).drop("rank")
+    docs = table(s, d, "content").join(table(s, d, "docs").select(F.col("id").alias("document_id"), "country"), "document_id")
+    folder = fresh_folder(s, "index")
+    token_index.write_index(docs, folder, "document_id", F.col("full_text"), ["country"])
+    known = token_index.known_values(table(s, d, "countries"), "code", [w for _, _, w in _SEARCHES])
+    return token_index.search_index(s, folder, [token_index.Search(q, t, (("country", known.get(w)),)) for q, t, w in _SEARCHES], "document_id")
 
 
 # Consolidation
@@ -487,10 +506,12 @@ def i7_consolidation_report(s, d):
 # Streaming
 
 
-@query("SELECT CAST(ts AS DATE) AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query(" UNION ALL ".join(f"""SELECT '{kind}' AS kind, CAST(date_trunc('{kind}', ts) AS DATE) AS period, event_type, count(*) AS n FROM events
+ WHERE date_trunc('{kind}', ts) + INTERVAL 1 {kind} <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 2, 3""" for kind in PERIODS))
 def k3_stream_block_counts(s, d):
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    return stream_period_counts(s, d, "events.parquet", schema, "ts", "event_type")
+    closed = [stream_period_counts(s, d, "events.parquet", schema, "ts", "event_type", kind).select(F.lit(kind).alias("kind"), "*") for kind in PERIODS]
+    return closed[0].unionByName(closed[1])
 
 
 from lexmill.plans import legal  # noqa: E402, F401  its queries register themselves

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -17,6 +17,11 @@ def shared_folder(df: DataFrame) -> str:
     return named or tempfile.mkdtemp(prefix="lexmill-")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark.range(0))}/{name}-{uuid.uuid4().hex}"
+
+
 def round_trip(df: DataFrame, partition_by: list[str]) -> DataFrame:
     """Write a partitioned Parquet table and read it with the declared schema."""
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
