@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import difflib
 import itertools
 from collections.abc import Callable, Iterator
@@ -23,14 +24,29 @@ X500 = "6ba7b8149dad11d180b400c04fd430c8"
 def replace_text(text: str, old: str, new: str, least: float = 0.8) -> str | None:
     """The first exact occurrence replaced, else the first run of as many words that is similar enough; None if there is none.
 
-    A similar run leaves the words joined by one space.
+    A similar run leaves the words joined by one space. The similarity is at most twice the characters
+    that run and ``old`` have in common, in any order, over their lengths together. That bound is kept
+    up as the run moves on by a word, and only runs that it lets through are compared.
     """
     if old in text:
         return text.replace(old, new, 1)
     words, size = text.split(), len(old.split())
-    for i in range(len(words) - size + 1):
-        if difflib.SequenceMatcher(None, " ".join(words[i : i + size]), old).ratio() >= least:
-            return " ".join([*words[:i], new, *words[i + size :]])
+    wanted, held = collections.Counter(old), collections.Counter()
+    spaces, common, length = min(wanted.pop(" ", 0), size - 1), 0, size - 1
+    for last, word in enumerate(words if size else ()):
+        for c in word:
+            common += held[c] < wanted[c]
+            held[c] += 1
+        length += len(word)
+        if last >= size:
+            for c in words[last - size]:
+                held[c] -= 1
+                common -= held[c] < wanted[c]
+            length -= len(words[last - size])
+        first = last + 1 - size
+        if first >= 0 and 2 * (common + spaces) >= least * (length + len(old)) * (1 - 1e-12):
+            if difflib.SequenceMatcher(None, " ".join(words[first : last + 1]), old).ratio() >= least:
+                return " ".join([*words[:first], new, *words[last + 1 :]])
     return None
 
 
@@ -159,26 +175,35 @@ def version_diff(versions: DataFrame) -> DataFrame:
 
 
 def cut_chunks(text: str, size: int = 512, overlap: int = 50) -> list[str]:
-    """Overlapping chunks that end at sentences where they can; three short steps end the search for sentences."""
+    """Overlapping chunks that end behind a sentence where they can, trimmed, empty ones left out.
+
+    Of the marks of :data:`CHUNK_ENDS` the first kind that a window holds ends the chunk, at its last
+    place. At the third step in a row of less than a quarter of ``size``, or that would not move on
+    at all, the rest is cut into plain windows.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
     if len(text) <= size:
         return [text] if text else []
-    chunks, start, stalls = [], 0, 0
+    spans, start, stalls = [], 0, 0
     while start < len(text):
         end = start + size
-        if end < len(text) and stalls < 3:
-            found = next((e for e in CHUNK_ENDS if text.rfind(e, start, end) >= 0), None)
-            if found:
-                end = text.rfind(found, start, end) + len(found)
-            stalls = stalls + 1 if end - start < size // 4 else 0
-        chunks.append(text[start:end].strip())
-        if end >= len(text):
+        if end < len(text):
+            found = next((e for e in CHUNK_ENDS if e in text[start:end]), None)
+            end = text.rfind(found, start, end) + len(found) if found else end
+        stalls = stalls + 1 if end - start < size // 4 or end - overlap <= start else 0
+        if stalls == 3:
+            # A window that reaches the end is the last one.
+            last = max(0, -(-(len(text) - start - size) // (size - overlap)))
+            spans += [(start + k * (size - overlap), start + k * (size - overlap) + size) for k in range(last + 1)]
             break
-        start = max(end - overlap, start + 1)
-    return [c for c in chunks if c]
+        spans.append((start, end))
+        start = max(end - overlap, 0) if end < len(text) else end
+    return [chunk for a, b in spans if (chunk := text[a:b].strip())]
 
 
 def chunk_rows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
-    """(document_id, chunk_index, chunk_text) of whole texts of any length; none for null and empty."""
+    """(document_id, chunk_index, chunk_text) of whole texts of any length; none for null and empty (see :func:`cut_chunks`)."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

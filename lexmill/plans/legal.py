@@ -12,7 +12,7 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import consolidation, merge, numbering, search, token_index, versions
+from lexmill.operators import consolidation, merge, numbering, search, snapshots, token_index, versions
 from lexmill.plans.registry import _CITED, _CODE, query, search_sql
 from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
@@ -314,8 +314,10 @@ def h33_letter_from_raw(s, d):
 # Consolidation
 
 
-@query()
+@query("""SELECT code_id, article_number, version_date, CASE WHEN contains(article_text, 'Article text O') THEN replace(article_text, 'Article text O', 'New text')
+ ELSE concat('New text ', array_to_string(string_split(article_text, ' ')[4:], ' ')) END AS text FROM versions""")
 def i2_replace_text(s, d):
+    # The old text differs by a letter in two of three rows: those are found by similarity.
     return table(s, d, "versions").select(*versions.KEY, "version_date", consolidation.replaced(F.col("article_text"), "Article text O", "New text").alias("text"))
 
 
@@ -325,14 +327,43 @@ def i4_apply_changes(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(changed).alias("changed_md5"), (changed != F.col("text")).alias("success"))
 
 
-@query()
-def i5_consolidate(s, d):
+_FOLDED = """WITH RECURSIVE g AS (SELECT code_id, article_number, version_date, eo, CASE WHEN eo % 11 = 0 THEN 'repeal' WHEN eo % 13 = 0 THEN 'addition' ELSE 'modification' END AS kind,
+ CASE eo % 3 WHEN 0 THEN 'quick' WHEN 1 THEN 'brown ' END AS old, CASE eo % 3 WHEN 0 THEN 'slow' WHEN 2 THEN concat('line ', eo) END AS new, row_number() OVER (PARTITION BY code_id, article_number ORDER BY version_date, eo) AS rk FROM changes),
+ f AS (SELECT DISTINCT code_id, article_number, 0::BIGINT AS rk, NULL::DATE AS version_date, NULL::BIGINT AS eo, NULL::VARCHAR AS kind, 'The quick brown fox' AS article_text, NULL::DATE AS repealed_date, 'applied' AS status FROM g UNION ALL
+ SELECT g.code_id, g.article_number, g.rk, g.version_date, g.eo, g.kind, CASE g.kind WHEN 'addition' THEN coalesce(g.new, '') WHEN 'repeal' THEN f.article_text ELSE CASE WHEN g.old IS NULL THEN concat(f.article_text, chr(10), g.new)
+ WHEN contains(f.article_text, g.old) THEN concat(substr(f.article_text, 1, strpos(f.article_text, g.old) - 1), coalesce(g.new, ''), substr(f.article_text, strpos(f.article_text, g.old) + length(g.old))) ELSE f.article_text END END,
+ CASE g.kind WHEN 'repeal' THEN g.version_date WHEN 'addition' THEN NULL ELSE f.repealed_date END,
+ CASE WHEN g.kind = 'modification' AND g.old IS NOT NULL AND NOT contains(f.article_text, g.old) THEN 'failed' ELSE 'applied' END FROM f JOIN g ON f.code_id = g.code_id AND f.article_number = g.article_number AND g.rk = f.rk + 1),
+ l AS (SELECT *, row_number() OVER (PARTITION BY code_id, article_number, version_date ORDER BY rk DESC) = 1 AS snapshot, max(version_date) OVER (PARTITION BY code_id, article_number) AS newest FROM f WHERE rk > 0)"""
+_BETWEEN = "1995-06-30"
+
+
+def _consolidated(s, d):
+    """A store after two batches of changes, the second carrying the first on."""
     v = table(s, d, "changes")
     base = v.select(*versions.KEY).distinct().withColumn("text", F.lit("The quick brown fox"))
-    old = F.when(F.col("eo") % 3 == 0, "quick").when(F.col("eo") % 3 == 1, "brown ")
-    new = F.when(F.col("eo") % 3 == 0, "slow").when(F.col("eo") % 3 == 2, F.concat(F.lit("line "), F.col("eo").cast("string")))
-    kind = F.when(F.col("eo") % 11 == 0, "repeal").when(F.col("eo") % 13 == 0, "addition").otherwise("modification")
-    return consolidation.consolidate(base, v.select(*versions.KEY, "version_date", "eo", kind.alias("kind"), old.alias("old"), new.alias("new")))
+    eo = F.col("eo")
+    old = F.when(eo % 3 == 0, "quick").when(eo % 3 == 1, "brown ")
+    new = F.when(eo % 3 == 0, "slow").when(eo % 3 == 2, F.concat(F.lit("line "), eo.cast("string")))
+    kind = F.when(eo % 11 == 0, "repeal").when(eo % 13 == 0, "addition").otherwise("modification")
+    changes = v.select(*versions.KEY, "version_date", "eo", kind.alias("kind"), old.alias("old"), new.alias("new"))
+    store = snapshots.snapshot_store(fresh_folder(s, "snapshots"))
+    store.create(s)
+    for number, part in enumerate((F.col("version_date") <= _BETWEEN, F.col("version_date") > _BETWEEN)):
+        snapshots.consolidate_batch(store, base, changes.filter(part), number, F.lit(f"2024-01-0{number + 1}"))
+    return store
+
+
+@query(f"""{_FOLDED} SELECT code_id, article_number, version_date, article_text, repealed_date, version_date = newest AND repealed_date IS NULL AS is_current, repealed_date IS NOT NULL AS is_repealed, md5(article_text) AS text_hash, eo AS last_eo,
+ CASE WHEN version_date <= DATE '{_BETWEEN}' THEN DATE '2024-01-01' ELSE DATE '2024-01-02' END AS amendment_date FROM l WHERE snapshot""")
+def i5_consolidate(s, d):
+    return _consolidated(s, d).read(s)
+
+
+@query(f"""{_FOLDED} SELECT code_id, count(DISTINCT eo) AS amendments, count(DISTINCT CASE WHEN status = 'applied' THEN article_number END) AS articles_updated, count_if(snapshot)::BIGINT AS snapshots_saved,
+ count_if(status = 'applied')::BIGINT AS applied, count_if(status = 'failed')::BIGINT AS failed, 0::BIGINT AS conflict FROM l GROUP BY 1""")
+def i7_consolidation_report(s, d):
+    return snapshots.consolidation_report(snapshots.read_log(s, _consolidated(s, d)))
 
 
 _ADDED = "CASE WHEN o_orderkey % 4 = 0 THEN 'repeal' ELSE 'addition' END"
@@ -358,12 +389,12 @@ def i6_compare_versions(s, d):
     return ends.withColumn("c", consolidation.compare_versions(F.col("old"), F.col("new"))).select(*versions.KEY, "c.*")
 
 
-@query(f"""SELECT eo, document_date, {_CODE} AS code, regexp_extract(full_text, 'дополнить статьей ([0-9]+)', 1) AS added,
- regexp_extract(full_text, 'В статье ([0-9]+)', 1) AS modified, regexp_extract(full_text, 'утратившим силу статью ([0-9]+)', 1) AS repealed FROM amendments""")
+@query(f"""{_FOLDED} SELECT eo, code_id, min(version_date) AS amendment_date, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixed' ELSE min(kind) END AS amendment_type, array_to_string(list_sort(list_distinct(list(article_number))), ',') AS affected,
+ coalesce(string_agg(DISTINCT article_number, ',' ORDER BY article_number) FILTER (WHERE kind = 'addition'), '') AS added, coalesce(string_agg(DISTINCT article_number, ',' ORDER BY article_number) FILTER (WHERE kind = 'modification'), '') AS modified,
+ coalesce(string_agg(DISTINCT article_number, ',' ORDER BY article_number) FILTER (WHERE kind = 'repeal'), '') AS repealed, max(status) AS status, CASE WHEN max(status) = 'failed' THEN 'text to replace not found' END AS error FROM l GROUP BY 1, 2""")
 def i8_build_amendment_log(s, d):
-    every = lambda p: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("full_text", F.lit(p), F.lit(1)))), ",")
-    lists = {"added": "дополнить статьей ([0-9]+)", "modified": "В статье ([0-9]+)", "repealed": "утратившим силу статью ([0-9]+)"}
-    return table(s, d, "amendments").select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"), *[every(p).alias(c) for c, p in lists.items()])
+    told = snapshots.amendment_log(snapshots.read_log(s, _consolidated(s, d)))
+    return told.select("eo", "code_id", "amendment_date", "amendment_type", *[F.array_join(c, ",").alias(c) for c in ("affected", "added", "modified", "repealed")], "status", "error")
 
 
 @query()
@@ -387,15 +418,30 @@ def i10_court_rows(s, d):
 # Chunks and vectors
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_MARKS = " ".join(f"WHEN contains(w, {m}) THEN s + length(w) - strpos(reverse(w), reverse({m})) + 1" for m in ("'. '", "'! '", "'? '", "chr(10)", "('.' || chr(10))", "('!' || chr(10))", "('?' || chr(10))"))
+#: A chunk after the other: s and e its span, stalls the short steps in a row, plain once there were three.
+_CHUNKS = f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+ c AS (SELECT doc_id, 0::BIGINT AS no, -1::BIGINT AS s, 0::BIGINT AS e, 0 AS stalls, false AS plain, 0::BIGINT AS following FROM t UNION ALL
+ SELECT doc_id, no + 1, s, CASE WHEN stalls >= 3 THEN least(s + 512, n) ELSE e END, stalls, plain OR stalls >= 3, CASE WHEN (CASE WHEN stalls >= 3 THEN least(s + 512, n) ELSE e END) >= n THEN n ELSE greatest((CASE WHEN stalls >= 3 THEN least(s + 512, n) ELSE e END) - 50, 0) END
+ FROM (SELECT *, CASE WHEN n <= 512 THEN 0 WHEN plain THEN 3 WHEN e - s < 128 THEN stalls_before + 1 ELSE 0 END AS stalls FROM (
+ SELECT *, CASE WHEN n <= 512 THEN n WHEN plain THEN least(s + 512, n) WHEN s + 512 >= n THEN s + 512 {_MARKS} ELSE s + 512 END AS e FROM (
+ SELECT t.doc_id, t.n, c.no, c.following AS s, c.stalls AS stalls_before, c.plain, substr(t.text, c.following + 1, 512) AS w FROM c JOIN t ON c.doc_id = t.doc_id WHERE c.following < t.n) x) y) z),
+ k AS (SELECT c.doc_id AS document_id, no, CASE WHEN n <= 512 THEN text ELSE trim(substr(text, s + 1, e - s), {_BLANK}) END AS chunk_text FROM c JOIN t ON c.doc_id = t.doc_id WHERE no > 0),
+ r AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY no) - 1 AS INTEGER) AS chunk_index, chunk_text FROM k WHERE chunk_text <> '')"""
+
+
+@query(f"{_CHUNKS} SELECT * FROM r")
 def j1_chunk_text(s, d):
     return consolidation.chunk_rows(table(s, d, "documents"))
 
 
-@query()
+@query(f"""{_CHUNKS}, h AS (SELECT *, sha1(unhex('{consolidation.X500}') || CAST(concat(md5(chunk_text), '_', chunk_index) AS BLOB)) AS h FROM r)
+ SELECT document_id, 'text' AS source_field, chunk_index, md5(chunk_text) AS chunk_md5, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS chunk_id FROM h""")
 def j2_chunk_ids(s, d):
     chunks = consolidation.chunk_rows(table(s, d, "documents"))
-    return chunks.withColumn("chunk_id", lg.name_uuid5(F.concat(F.md5("chunk_text"), F.lit("_"), F.col("chunk_index").cast("string")), consolidation.X500))
+    name = F.concat(F.md5("chunk_text"), F.lit("_"), F.col("chunk_index").cast("string"))
+    return chunks.select("document_id", F.lit("text").alias("source_field"), "chunk_index", F.md5("chunk_text").alias("chunk_md5"), lg.name_uuid5(name, consolidation.X500).alias("chunk_id"))
 
 
 def _digest_vectors(texts: list[str]) -> list[list[float]]:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
 from lexmill.operators import merge, search, token_index, versions
+from lexmill.sources import pages
 from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
-from lexmill.sources.tables import fresh_folder
+from lexmill.sources.tables import fresh_folder, replace_code_articles, write_partitions
 from lexmill.streaming.streams import PERIODS, stream_period_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,9 +44,27 @@ def a3_write_read_table(s, d):
     return stored.groupBy("code_id").agg(F.count(F.lit(1)).alias("n"), F.max("version_date").alias("newest"))
 
 
-@query("SELECT page_id, url, length(html) AS n_chars, sha256(html) AS html_sha256 FROM pages")
+#: Latin letters and the Cyrillic ones that pages in windows-1251 are made with.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувжыьюэ"[:26]
+_CYRILLIC_PAGE = f"concat('<html><p>', translate(regexp_replace(html, '[^a-z ]+', '{{}}'), '{_LATIN}', '{_CYRILLIC}'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, 'charset="utf-8"', 'charset=latin1') WHEN 2 THEN replace({_CYRILLIC_PAGE.replace("'{}')", "'', 'g')")}, '<p>', '<meta charset=cp1251><p>') ELSE {_CYRILLIC_PAGE.replace("'{}')", "'', 'g')")} END AS text,
+ CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' ELSE 'windows-1251' END AS charset FROM pages WHERE page_id % 4 <> 1 OR regexp_full_match(html, '[\\x00-\\x{{ff}}]*'))
+ SELECT CAST(page_id AS VARCHAR) AS doc_id, url, 'text/html' AS content_type, charset, length(text) AS n_chars, sha256(text) AS text_sha256, CAST(page_id % 4 AS VARCHAR) AS made FROM p""")
 def a4_load_raw_pages(s, d):
-    return table(s, d, "pages").select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("html_sha256"))
+    # The pages as bytes in several charsets, declared or not.
+    page, cyrillic = F.col("page_id") % 4, F.concat(F.lit("<html><p>"), F.translate(F.regexp_replace("html", "[^a-z ]+", ""), _LATIN, _CYRILLIC))
+    as_1251 = lambda text: F.encode(F.translate(text, *reversed(pages.code_page_letters("windows-1251"))), "ISO-8859-1")
+    data = (
+        F.when(page == 0, F.encode("html", "UTF-8"))
+        .when(page == 1, F.encode(F.regexp_replace("html", 'charset="utf-8"', "charset=latin1"), "ISO-8859-1"))
+        .when(page == 2, as_1251(F.replace(cyrillic, F.lit("<p>"), F.lit("<meta charset=cp1251><p>"))))
+        .otherwise(as_1251(cyrillic))
+    )
+    made = table(s, d, "pages").filter((page != 1) | F.col("html").rlike("^[\\x00-\\xff]*$")).select("page_id", "url", data.alias("content"))
+    raw = pages.raw_documents(made, F.col("page_id").cast("string"), F.col("url"), "content", F.create_map(F.lit("made"), page.cast("string")))
+    return raw.select("doc_id", "url", "content_type", "charset", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("metadata")["made"].alias("made"))
 
 
 @query("""SELECT vec_id AS point_id, CAST(len(embedding) AS BIGINT) AS size, concat('{"label":', CAST(label AS VARCHAR), ',"source":"second"}') AS payload FROM embeddings WHERE vec_id % 2 = 0 AND len(embedding) > 0
@@ -101,11 +120,16 @@ def b4_purge_duplicates(s, d):
     return kept.select("agency", F.coalesce("number", F.lit("")).alias("number"), "letter_date", "id")
 
 
-@query("""SELECT code_id, article_number, version_date, eo FROM versions WHERE code_id NOT LIKE '1%'
- UNION ALL SELECT code_id, article_number, max(version_date), max_by(eo, version_date) FROM versions WHERE code_id LIKE '1%' GROUP BY 1, 2""")
+@query("""WITH b AS (SELECT code_id, article_number, version_date, max(eo) AS eo FROM changes WHERE code_id LIKE '1%' OR code_id LIKE '3%' GROUP BY 1, 2, 3), n AS (SELECT code_id, count(DISTINCT article_number) AS n_articles FROM b GROUP BY 1)
+ SELECT code_id, article_number, version_date, eo, is_current, is_repealed, md5(article_text) AS text_hash, NULL AS n_articles FROM versions WHERE code_id NOT LIKE '1%' AND code_id NOT LIKE '3%'
+ UNION ALL SELECT b.code_id, article_number, version_date, eo, true, false, '', n_articles FROM b JOIN n USING (code_id)""")
 def b5_replace_group(s, d):
-    v = table(s, d, "versions").select(*versions.KEY, "version_date", "eo")
-    return merge.replace_group(v, v.filter(F.col("code_id").startswith("1")), "code_id", versions.KEY, "version_date")
+    columns, folder = [*versions.KEY, "version_date", "eo"], fresh_folder(s, "articles")
+    stored = table(s, d, "versions").select(*columns, "is_current", "is_repealed", F.md5("article_text").alias("text_hash"))
+    write_partitions(stored, folder, ["code_id"], ["article_number"])
+    batch = table(s, d, "changes").filter(F.col("code_id").startswith("1") | F.col("code_id").startswith("3")).select(*columns)
+    counts = replace_code_articles(batch, folder, "eo")
+    return s.read.schema(stored.schema).parquet(folder).join(counts, "code_id", "left")
 
 
 @query("""WITH t AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 1), b AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 3 OR turn = 2)
@@ -498,11 +522,6 @@ def i1_parse_amendments(s, d):
     return a.select("eo", "document_date", code.alias("code"), action.alias("action"), _articles().alias("articles"))
 
 
-@query("SELECT code_id, count(*) AS n_amendments, count(DISTINCT article_number) AS n_articles FROM changes GROUP BY 1")
-def i7_consolidation_report(s, d):
-    return table(s, d, "changes").groupBy("code_id").agg(F.count(F.lit(1)).alias("n_amendments"), F.count_distinct("article_number").alias("n_articles"))
-
-
 # Streaming
 
 

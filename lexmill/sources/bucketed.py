@@ -15,7 +15,7 @@ _COMMIT = "bucket int, version long"
 
 @dataclass
 class BucketedTable:
-    """Rows by the hash of ``keys`` in ``buckets`` folders under ``home``.
+    """Rows by the hash of ``keys``, or of those of them in ``bucket_by``, in ``buckets`` folders under ``home``.
 
     ``home/data/version=N/bucket=B`` holds bucket B as batch N left it, ``home/commits/batch=N`` the
     record that batch N is done, with the buckets it wrote. A bucket's rows are those of its newest
@@ -27,13 +27,14 @@ class BucketedTable:
     schema: T.StructType
     keys: list[str]
     buckets: int = 16
+    bucket_by: list[str] | None = None
 
     def create(self, spark: SparkSession) -> None:
         """An empty table, unless there is one."""
         spark.createDataFrame([], _COMMIT).write.mode("ignore").parquet(f"{self.home}/commits/batch=-1")
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(self.bucket_by or self.keys)), F.lit(self.buckets)).cast("int")
 
     def _commits(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(f"{_COMMIT}, batch long").parquet(f"{self.home}/commits")
@@ -54,6 +55,12 @@ class BucketedTable:
         """All rows as the last committed batch left them."""
         return self._rows(spark, self.versions(spark))
 
+    def read_beside(self, rows: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that ``rows``, which have the columns of ``bucket_by``, fall into."""
+        spark = rows.sparkSession
+        touched = {r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()}
+        return self._rows(spark, {b: v for b, v in self.versions(spark).items() if b in touched})
+
     def upsert(self, batch: DataFrame, number: int, order: str) -> bool:
         """Insert or replace whole rows, the last by ``order`` winning; false if the batch is done already.
 

@@ -60,6 +60,8 @@ def with_tables(sql: str) -> str:
         return sql
     head = ",\n".join(f"{name} AS ({TABLES[name]})" for name in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 

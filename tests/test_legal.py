@@ -85,3 +85,23 @@ def test_text_functions(spark):
     assert ask(lg.valid_reference_number(F.lit("12.99"))) and not ask(lg.valid_reference_number(F.lit("12.100"))) and not ask(lg.valid_reference_number(F.lit("12a")))
     assert ask(lg.compose_full_text(F.lit("A"), F.lit("A"), F.lit("<b>B</b>"))) == "A\n\nB"
     assert ask(lg.compose_full_text(F.lit(None).cast("string"), F.lit(""), F.lit(""))) == ""
+
+
+def test_chunks_follow_the_sql_of_their_rule(spark):
+    import random
+
+    import duckdb
+
+    from lexmill.plans import legal
+
+    rng = random.Random(12)
+    bits = ["слово", "word ", ". ", "! ", "? ", "\n", ".\n", " ", "ab", "x" * 130, "y" * 400]
+    texts = ["".join(rng.choices(bits, weights=[9, 9, 1, 1, 1, 1, 1, 5, 5, 1, k % 3], k=rng.randint(0, 700))) for k in range(150)]
+    texts += ["a. " + "b" * 3000, ". " * 900, "\n" * 2000, "c" * 512, "d" * 513, "e. " * 10 + "f" * 2000 + ". g"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = {}
+    for i, k, chunk in con.sql(f"{legal._CHUNKS} SELECT document_id, chunk_index, chunk_text FROM r ORDER BY 1, 2").fetchall():
+        want.setdefault(i, []).append(chunk)
+    assert {i: c for i, t in enumerate(texts) if (c := co.cut_chunks(t))} == want
