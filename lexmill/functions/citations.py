@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.legal import REFERENCE_WORDS, classify_reference
+from lexmill.functions.legal import REFERENCE_WORDS
 from lexmill.functions.text import let
 
 #: Names of codes in lower case, in the order in which they are tried; fixed values.
@@ -103,30 +105,43 @@ def _code(name: str) -> str | None:
     return dict(CODE_NAMES).get(low) or next((code for known, code in CODE_NAMES if known in low or low in known), None)
 
 
-def _cited(text: str) -> list[dict]:
-    found: dict[tuple[str, str], dict] = {}
+def _kind(context: str) -> str:
+    low = context.lower()
+    return next((kind for kind, words in REFERENCE_WORDS if any(w in low for w in words)), "cited")
+
+
+def _cited(text: str) -> list[tuple[str, str, str, int, str]]:
+    """(article, code, context, position, kind) of one text."""
+    found: dict[tuple[str, str], tuple[str, str, str, int, str]] = {}
     for form, (article, name) in _FORMS:
         for m in form.finditer(text):
             key = (_code(m[name]), m[article])
             if key[0] and key not in found:
                 around = text[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].strip()
-                found[key] = {"article": key[1], "code": key[0], "context": around, "position": m.start()}
+                found[key] = (key[1], key[0], around, m.start(), _kind(around))
     return list(found.values())
 
 
+_CITATION = [("article", pa.string()), ("code", pa.string()), ("context", pa.string()), ("position", pa.int32()), ("kind", pa.string())]
+
+
 def citations(text: Column) -> Column:
     """array of (article, code, context, position, kind): the first of each (code, article) by form and place.
 
-    Names that resolve to no code are skipped. ``position`` counts characters from 0. Null and empty
-    texts give an empty array. The matches run in Arrow batches: nested functions on columns took
-    37 s for 15,000 short texts.
+    Names that resolve to no code are skipped. ``position`` counts characters from 0; the kind is told
+    by the context. Null and empty texts give an empty array. The matches run in Arrow batches whose
+    result is built column by column: nested functions on columns took 37 s for 15,000 short texts.
     """
 
-    @F.pandas_udf("array<struct<article:string,code:string,context:string,position:int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([_cited(t or "") for t in texts], dtype=object)
+    @F.arrow_udf("array<struct<article:string,code:string,context:string,position:int,kind:string>>")
+    def found(texts: pa.Array) -> pa.Array:
+        lists = [_cited(t) if t else [] for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        columns = list(zip(*itertools.chain.from_iterable(lists))) or [()] * len(_CITATION)
+        rows = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _CITATION)], names=[name for name, _ in _CITATION])
+        return pa.ListArray.from_arrays(pa.array(ends), rows)
 
-    return F.transform(found(text), lambda c: c.withField("kind", classify_reference(c["context"])))
+    return found(text)
 
 
 def cited_names(text: Column) -> Column:

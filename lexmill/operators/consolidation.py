@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import content, html
 from lexmill.functions.legal import replace_first
+from lexmill.operators.paragraphs import judge_paragraphs
 from lexmill.operators.versions import KEY
 
 #: Places where a chunk may end, in the order in which they are tried; fixed values.
@@ -254,7 +255,8 @@ ARTICLE_HEADER = r"^Статья\s+(\d+(?:[.\-]\d+)*)\.?\s*(.+)$"
 def split_articles(pages: DataFrame, source: str, body_class: str | None = None) -> DataFrame:
     """Articles of pages (page_id, html): (page_id, article_no, article_number, article_title, article_text).
 
-    Lines after a header belong to its article, but for controls of the page. ``source`` is kremlin
+    Lines after a header belong to its article, but for controls of the page; for kremlin numbered
+    paragraphs must also follow each other (see ``paragraphs.judge_paragraphs``). ``source`` is kremlin
     (the title is made again from the number), pravo, government (titles are whole lines; of equal
     numbers in a page government keeps the first) or constitution (headers are h3 only, numbers 1 to
     137, paragraphs of more than 5 characters, no stars). Pages without headers, null and empty pages
@@ -266,10 +268,13 @@ def split_articles(pages: DataFrame, source: str, body_class: str | None = None)
         lines = lines.withColumn("text", F.btrim(F.regexp_replace("text", r"\*", "")))
     number = F.regexp_extract("text", f"(?iUd){ARTICLE_HEADER}", 1)
     is_head = (number != "") & ((F.col("tag") == "h3") & number.try_cast("int").between(1, 137) if constitution else F.lit(True))
-    keep = F.length("text") > 5 if constitution else content.content_validity(F.col("text"))["ok"]
+    in_order = source == "kremlin"
+    keep = F.length("text") > 5 if constitution else F.lit(True) if in_order else content.content_validity(F.col("text"))["ok"]
     marked = lines.withColumn("_head", F.coalesce(is_head, F.lit(False))).filter(F.col("_head") | keep)
     w = Window.partitionBy("page_id").orderBy("pos")
     numbered = marked.withColumn("article_no", F.sum(F.col("_head").cast("long")).over(w)).filter("article_no > 0")
+    if in_order:  # the window has brought a page's lines together
+        numbered = judge_paragraphs(numbered, ["page_id", "article_no"], "pos", "text", dealt=True).filter("_head or kept")
     head = F.max(F.when(F.col("_head"), F.struct(number.alias("number"), F.regexp_extract("text", f"(?iUd){ARTICLE_HEADER}", 2).alias("title"), F.col("text").alias("line"))))
     body = F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("pos", "text"))))
     found = numbered.groupBy("page_id", "article_no").agg(head.alias("h"), F.array_join(F.transform(body, lambda r: r["text"]), "\n\n").alias("article_text")).filter("article_text <> ''")

@@ -129,38 +129,80 @@ def correct_number(raw: str, before: str | None, after: str | None, source: str
     return (min(valid, key=lambda c: abs(_parts(c)[0] - (least + most) / 2)), False) if valid else (number, True)
 
 
-def correct_article_numbers(articles: DataFrame, order: list[str], ranges: Mapping[str, tuple[int, int]] = RANGES, known: Mapping[str, frozenset[str]] | None = None) -> DataFrame:
+def reconcile_numbers(ours: DataFrame, reference: DataFrame) -> DataFrame:
+    """(code_id, number_source, number_reference, is_verified, verification_notes): a row for each number of the reference.
+
+    ``ours`` has (code_id, article_number), ``reference`` those and title. A reference number with two
+    dots is ours without the second, if its middle part has one character; with more or other dots it
+    is none of ours; any other is itself. A number that we lack has a null source.
+    """
+    number, parts = F.col("article_number"), F.split("article_number", r"\.")
+    part = lambda i: F.get(parts, F.lit(i))
+    form = F.when(F.size(parts) < 3, number).when((F.size(parts) == 3) & (F.length(part(1)) == 1), F.concat(part(0), F.lit("."), part(1), part(2)))
+    asked = reference.groupBy("code_id", "article_number").agg(F.min("title").alias("title")).select("code_id", number.alias("number_reference"), form.alias("_form"), "title")
+    held = ours.select("code_id", number.alias("_form"), number.alias("number_source")).distinct()
+    found = asked.join(held, ["code_id", "_form"], "left")
+    known = F.col("number_source").isNotNull()
+    note = F.when(known, F.concat(F.lit("Auto-matched: "), "number_source", F.lit(" -> "), "number_reference")).otherwise(F.concat(F.lit("Missing from official sources - Title: "), F.coalesce("title", F.lit("Unknown title"))))
+    return found.select("code_id", "number_source", "number_reference", known.alias("is_verified"), note.alias("verification_notes"))
+
+
+def format_differences(reconciled: DataFrame) -> DataFrame:
+    """The pairs that are written in different ways."""
+    return reconciled.filter("number_source <> number_reference")
+
+
+def merge_reference(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored rows stay as they are; of ``found`` come those whose code and numbers, nulls included, are not stored."""
+    keys = ["code_id", "number_source", "number_reference"]
+    there = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return stored.unionByName(found.join(there, same[0] & same[1] & same[2], "left_anti"))
+
+
+def correct_article_numbers(articles: DataFrame, order: list[str], ranges: Mapping[str, tuple[int, int]] = RANGES, known: DataFrame | None = None) -> DataFrame:
     """``articles`` (code_id, source, article_number, article_title, and ``order``) with the number corrected, the title
     made again from it, and raw_number and suspicious added.
 
     Each number needs the corrected one before it, so a code of a source is read in order; a task
     streams its sorted rows and holds two of them. Null numbers stay null and are no neighbours.
-    ``known`` are reference numbers of codes, as small as the codes are.
+    ``known`` has (code_id, article_number), the reference numbers of codes: they are sorted in before
+    the articles of their code, and a task holds those of one code at a time.
     """
     keys = ["code_id", "source"]
     picked = articles.select(*articles.columns, F.col("article_number").alias("raw_number"), F.lit(False).alias("suspicious"))
-    names = picked.columns
+    names, schema = picked.columns, picked.schema
     at = {c: names.index(c) for c in (*keys, "article_number", "article_title", "suspicious")}
-    known = known or {}
+    picked = picked.withColumn("_reference", F.lit(False))
+    if known is not None:
+        told = known.filter("article_number is not null").select("code_id", F.col("article_number").cast("string")).distinct()
+        picked = picked.unionByName(told.withColumn("_reference", F.lit(True)), allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (list(r) for b in batches for r in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None))
         out: list[list] = []
-        for (code, source), group in itertools.groupby(rows, key=lambda r: (r[at["code_id"]], r[at["source"]])):
+        there, code_there = set(), None
+        for (code, reference, source), group in itertools.groupby(rows, key=lambda r: (r[at["code_id"]], r[-1], r[at["source"]])):
+            if reference:
+                there, code_there = {r[at["article_number"]] for r in group}, code
+                continue
             before = None
+            numbers = frozenset(there) if code == code_there else frozenset()
             for row, following in itertools.pairwise(itertools.chain(group, [None])):
                 raw = row[at["article_number"]]
                 if raw is not None:
                     after = following[at["article_number"]] if following else None
-                    number, row[at["suspicious"]] = correct_number(raw, before, after, source or "", ranges.get(code), known.get(code, frozenset()))
+                    number, row[at["suspicious"]] = correct_number(raw, before, after, source or "", ranges.get(code), numbers)
                     title = row[at["article_title"]]
                     if title is not None and number != raw:
                         row[at["article_title"]] = re.sub(rf"^Статья\s+{re.escape(raw)}(?!\d)", f"Статья {number}", title)
                     row[at["article_number"]] = before = number
-                out.append(row)
+                out.append(row[:-1])
                 if len(out) == 1000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
         yield pd.DataFrame(out, columns=names)
 
-    return picked.repartition(*keys).sortWithinPartitions(*keys, *order, "article_number").mapInPandas(run, picked.schema)
+    # Known numbers belong to all sources of a code, so then a code is dealt as one.
+    dealt = picked.repartition(*keys) if known is None else picked.repartition("code_id")
+    return dealt.sortWithinPartitions("code_id", F.desc("_reference"), "source", *order, "article_number").mapInPandas(run, schema)

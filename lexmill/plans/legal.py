@@ -12,11 +12,11 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import consolidation, merge, numbering, search, snapshots, token_index, versions
+from lexmill.operators import consolidation, merge, numbering, paragraphs, search, snapshots, token_index, versions
 from lexmill.plans.registry import _CITED, _CODE, query, search_sql
 from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
-from lexmill.sources.tables import fresh_folder
+from lexmill.sources.tables import fresh_folder, spread_out
 from lexmill.streaming.streams import stream_changes, stream_upsert
 
 _NATURAL = "CASE WHEN regexp_matches(article_number, '^[0-9]+$') THEN CAST(article_number AS INTEGER) ELSE 999999 END, article_number"
@@ -150,27 +150,37 @@ def f8_assemble_articles(s, d):
     return consolidation.assemble(table(s, d, "conversations"), "conv_id", "turn", F.col("turn") % 3 == 0, "text")
 
 
-@query()
+#: Lines of an "article" for each conversation: numbers in and out of sequence, notes, and the turns' own texts.
+_LINES = """CASE (conv_id + turn * 3) % 8 WHEN 0 THEN text WHEN 1 THEN concat(CAST(turn * 10 + conv_id % 10 AS STRING), '. Подпункт статьи') WHEN 2 THEN concat(CAST(turn + 1 AS STRING), '. Сроки (в редакции закона)')
+ WHEN 3 THEN concat(CAST(conv_id % 40 AS STRING), '.Раздел о сроках') WHEN 4 THEN 'Поделиться' ELSE concat(CAST((turn + conv_id % 2) / 2 AS INTEGER) + 1, '. Абзац ', text) END"""
+_SQL_LINES = _LINES.replace("CAST((turn + conv_id % 2) / 2 AS INTEGER)", "(turn + conv_id % 2) // 2")
+_SPARK_LINES = _LINES.replace("CAST((turn + conv_id % 2) / 2 AS INTEGER)", "(turn + conv_id % 2) div 2")
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk, {_SQL_LINES} AS line FROM conversations),
+ t AS (SELECT *, trim(coalesce(line, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w FROM l),
+ n AS (SELECT conv_id, turn, rk, line, regexp_extract(w, '^([0-9]+)\.\s*(.+)$', 1) AS num, regexp_matches(w, '(?i){paragraphs.AMENDMENT_NOTE}') AS note, {content.content_reason_sql('line')} AS why FROM t),
+ m AS (SELECT *, CASE WHEN num = '' OR note THEN NULL ELSE CAST(num AS BIGINT) END AS paragraph FROM n),
+ s AS (SELECT conv_id, 0::BIGINT AS rk, 1::BIGINT AS expected, 1::BIGINT AS following FROM m GROUP BY 1 UNION ALL
+ SELECT m.conv_id, m.rk, s.following, CASE WHEN m.paragraph = s.following THEN s.following + 1 ELSE s.following END FROM s JOIN m ON m.conv_id = s.conv_id AND m.rk = s.rk + 1),
+ r AS (SELECT conv_id, turn, paragraph, expected, CASE WHEN num = '' THEN why WHEN note THEN 'amendment_note' WHEN paragraph > expected AND paragraph // 10 <> expected AND NOT (expected > 1 AND paragraph // 10 = expected - 1) THEN 'out_of_sequence' END AS reason FROM m JOIN s USING (conv_id, rk))
+ SELECT *, reason IS NULL AS kept FROM r""")
 def f9_check_paragraph_sequence(s, d):
-    number = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.col("turn") * 10).otherwise(F.col("turn") + 1).cast("long")
-    lines = table(s, d, "conversations").select("conv_id", F.struct("turn", number.alias("n")).alias("line"))
-    numbers = lines.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["n"]).alias("numbers"))
-    return numbers.select("conv_id", F.array_join("numbers", ",").alias("numbers"), F.array_join(consolidation.accepted_numbers(F.col("numbers")), ",").alias("kept"))
+    lines = table(s, d, "conversations").select("conv_id", "turn", F.expr(_SPARK_LINES).alias("line"))
+    return paragraphs.judge_paragraphs(lines, ["conv_id"], "turn", "line").drop("line")
 
 
 # Reconciliation
 
 
-@query("""WITH o AS (SELECT DISTINCT code_id, article_number FROM versions WHERE eo % 3 <> 0), r AS (SELECT DISTINCT code_id, regexp_replace(article_number, '\\.([0-9])([0-9])$', '.\\1.\\2') AS ref, article_number AS form FROM versions)
- SELECT r.code_id, ref, o.article_number AS source, o.article_number IS NOT NULL AS verified FROM r LEFT JOIN o ON o.code_id = r.code_id AND o.article_number = r.form""")
+@query("""WITH o AS (SELECT DISTINCT code_id, article_number FROM versions WHERE eo % 3 <> 0), r AS (SELECT code_id, regexp_replace(article_number, '\\.([0-9])([0-9])$', '.\\1.\\2') AS ref, min(CASE WHEN eo % 2 = 0 THEN concat('Title ', article_number) END) AS title FROM versions GROUP BY 1, 2),
+ f AS (SELECT *, string_split(ref, '.') AS p FROM r), g AS (SELECT *, CASE WHEN len(p) < 3 THEN ref WHEN len(p) = 3 AND length(p[2]) = 1 THEN concat(p[1], '.', p[2], p[3]) END AS form FROM f)
+ SELECT g.code_id, o.article_number AS number_source, ref AS number_reference, o.article_number IS NOT NULL AS is_verified, CASE WHEN o.article_number IS NOT NULL THEN concat('Auto-matched: ', o.article_number, ' -> ', ref) ELSE concat('Missing from official sources - Title: ', coalesce(title, 'Unknown title')) END AS verification_notes
+ FROM g LEFT JOIN o ON o.code_id = g.code_id AND o.article_number = g.form""")
 def g2_reconcile_numbers(s, d):
     v = table(s, d, "versions")
-    ours = v.filter("eo % 3 <> 0").select("code_id", F.col("article_number").alias("source")).distinct()
-    ref = v.select("code_id", F.regexp_replace("article_number", r"\.([0-9])([0-9])$", ".$1.$2").alias("ref")).distinct()
-    parts = F.split("ref", r"\.")
-    form = F.when((F.size(parts) == 3) & (F.length(F.get(parts, F.lit(1))) == 1), F.concat(F.get(parts, F.lit(0)), F.lit("."), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(F.col("ref"))
-    found = ref.withColumn("form", form).join(ours.withColumn("form", F.col("source")), ["code_id", "form"], "left")
-    return found.select("code_id", "ref", "source", F.col("source").isNotNull().alias("verified"))
+    reference = v.select("code_id", F.regexp_replace("article_number", r"\.([0-9])([0-9])$", ".$1.$2").alias("article_number"), F.when(F.col("eo") % 2 == 0, F.concat(F.lit("Title "), "article_number")).alias("title"))
+    return numbering.reconcile_numbers(v.filter("eo % 3 <> 0"), reference)
 
 
 # Text functions
@@ -405,13 +415,14 @@ def i9_correct_article_numbers(s, d):
     raw = F.regexp_replace("true_number", r"\.", "")
     articles = parts.select("*", raw.alias("article_number"), F.concat(F.lit("Статья "), raw, F.lit(". О сделках")).alias("article_title"))
     ranges = {f"{i}-{name}": (0, 97) for i, name in enumerate(("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), 1)}
-    found = numbering.correct_article_numbers(articles, ["base", "insertion", "subdivision"], ranges)
+    known = numbers.filter(F.crc32(F.col("true_number").cast("binary")) % 2 == 0).select("code_id", F.col("true_number").alias("article_number"))
+    found = numbering.correct_article_numbers(articles, ["base", "insertion", "subdivision"], ranges, known)
     return found.select("code_id", "true_number", "raw_number", "article_number", "article_title", "suspicious")
 
 
 @query(f"SELECT y.id, y.article, y.code, sha256(d.full_text) AS text_sha256, d.case_number FROM ({_CITED}) y JOIN decisions d ON d.id = y.id")
 def i10_court_rows(s, d):
-    rows = table(s, d, "decisions").select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(cit.citations(F.col("full_text"))).alias("c"))
+    rows = spread_out(table(s, d, "decisions")).select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(cit.citations(F.col("full_text"))).alias("c"))
     return rows.select("id", "c.article", "c.code", "text_sha256", "case_number")
 
 

@@ -13,7 +13,7 @@ from lexmill.operators import merge, search, token_index, versions
 from lexmill.sources import pages
 from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
-from lexmill.sources.tables import fresh_folder, replace_code_articles, write_partitions
+from lexmill.sources.tables import fresh_folder, replace_code_articles, spread_out, write_partitions
 from lexmill.streaming.streams import PERIODS, stream_period_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,14 +291,14 @@ _CITED = cit.citations_sql("decisions", "id", "full_text")
 
 @query(f"SELECT code, article, kind, count(*) AS n FROM ({_CITED}) y GROUP BY 1, 2, 3")
 def e14_citation_counts(s, d):
-    found = table(s, d, "decisions").select(F.explode(cit.citations(F.col("full_text"))).alias("c"))
+    found = spread_out(table(s, d, "decisions")).select(F.explode(cit.citations(F.col("full_text"))).alias("c"))
     return found.groupBy("c.code", "c.article", "c.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT d.id, coalesce(string_agg(concat(code, ':', article), ',' ORDER BY code, article), '') AS refs FROM decisions d LEFT JOIN ({_CITED}) y ON y.id = d.id GROUP BY 1")
 def e10_decisions_with_articles(s, d):
     refs = F.array_sort(F.transform(cit.citations(F.col("full_text")), lambda c: F.struct(c["code"].alias("code"), c["article"].alias("article"))))
-    return table(s, d, "decisions").select("id", F.array_join(F.transform(refs, lambda r: F.concat_ws(":", r["code"], r["article"])), ",").alias("refs"))
+    return spread_out(table(s, d, "decisions")).select("id", F.array_join(F.transform(refs, lambda r: F.concat_ws(":", r["code"], r["article"])), ",").alias("refs"))
 
 
 # Window functions
@@ -448,7 +448,7 @@ def h15_amendment_articles(s, d):
 
 @query(_CITED)
 def h20_extract_citations(s, d):
-    return table(s, d, "decisions").select("id", F.explode(cit.citations(F.col("full_text"))).alias("c")).select("id", "c.*")
+    return spread_out(table(s, d, "decisions")).select("id", F.explode(cit.citations(F.col("full_text"))).alias("c")).select("id", "c.*")
 
 
 @query(f"""SELECT name, {cit.code_sql('name')} AS code FROM (SELECT DISTINCT unnest(regexp_extract_all(full_text, '(?i){cit.CITATION_PATTERNS[0][0]}', 2)) AS name FROM decisions) x""")
@@ -517,7 +517,7 @@ def c3_search_documents(s, d):
 
 @query(f"SELECT eo, document_date, {_CODE} AS code, {_ACTION} AS action, {_ARTICLES} AS articles FROM amendments")
 def i1_parse_amendments(s, d):
-    a = table(s, d, "amendments")
+    a = spread_out(table(s, d, "amendments"))
     code, action = tx.identify_code(F.col("title"), F.col("full_text")), tx.amendment_action(F.col("title"), F.col("full_text"))
     return a.select("eo", "document_date", code.alias("code"), action.alias("action"), _articles().alias("articles"))
 

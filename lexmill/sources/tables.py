@@ -25,6 +25,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark.range(0))}/{name}-{uuid.uuid4().hex}"
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores: a small file of one row group would keep one task busy with its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def round_trip(df: DataFrame, partition_by: list[str]) -> DataFrame:
     """Write a partitioned Parquet table and read it with the declared schema."""
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"

@@ -105,3 +105,72 @@ def test_chunks_follow_the_sql_of_their_rule(spark):
     for i, k, chunk in con.sql(f"{legal._CHUNKS} SELECT document_id, chunk_index, chunk_text FROM r ORDER BY 1, 2").fetchall():
         want.setdefault(i, []).append(chunk)
     assert {i: c for i, t in enumerate(texts) if (c := co.cut_chunks(t))} == want
+
+
+def test_paragraphs_follow_each_other(spark):
+    import random
+    import re
+
+    from lexmill.operators.paragraphs import judge_paragraphs
+
+    rng = random.Random(4)
+    lines = []
+    for article in range(40):
+        for pos in range(rng.randint(0, 25)):
+            n = rng.choice([1 + pos // 2, 1 + pos // 2, rng.randint(1, 12), 10 * rng.randint(1, 6) + rng.randint(0, 9), 10**25])
+            lines.append((article % 7, article, pos, rng.choice([f"{n}. Абзац статьи", f" {n}.Абзац\n", f"{n}. Сроки (НАИМЕНОВАНИЕ в новой редакции закона)", "Обычный текст статьи без номера", "Поделиться", "", None, f"{n}) не номер абзаца", "1.\nперенос строки"])))
+    want = {}
+    for code, article, pos, text in sorted(lines, key=lambda r: r[:3]):
+        expected = want.get((code, article, "next"), 1)
+        m = re.match(r"^(\d+)\.\s*(.+)$", (text or "").strip())
+        if not m:
+            reason = None if text in ("Обычный текст статьи без номера",) or (text or "").endswith(") не номер абзаца") else "content"
+            if (text or "").endswith(") не номер абзаца"):
+                reason = "content" if sum(c.isdigit() for c in text) / len(text) > 0.4 else None
+        elif re.search(r"\(.*(?:дополнение|редакция|редакции|утратил|Наименование|Дополнение).+\)", text, re.IGNORECASE):
+            reason = "amendment_note"
+        else:
+            n = int(m[1])
+            fits = n <= expected or n in range(10 * expected, 10 * expected + 10) or (expected > 1 and n in range(10 * expected - 10, 10 * expected))
+            reason = None if fits else "out_of_sequence"
+            want[code, article, "next"] = expected + (n == expected)
+        want[code, article, pos] = (expected, reason)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # articles span batches
+    try:
+        df = spark.createDataFrame(lines, "code int, article int, pos int, line string").repartition(3)
+        found = judge_paragraphs(df, ["code", "article"], "pos", "line").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(lines) and all(r.kept == (r.reason is None) for r in found)
+    named = ("amendment_note", "out_of_sequence", None)
+    assert {(r.code, r.article, r.pos): (r.expected, r.reason if r.reason in named else "content") for r in found} == {k: v for k, v in want.items() if k[2] != "next"}
+    assert judge_paragraphs(df.limit(0), ["code"], "pos", "line").isEmpty()
+
+
+def test_reference_numbers_are_matched_and_merged(spark):
+    from lexmill.operators import numbering as nb
+
+    ours = spark.createDataFrame([("A", "1"), ("A", "1.31"), ("A", "5.1"), ("B", "2"), ("A", "1.31")], "code_id string, article_number string")
+    theirs = spark.createDataFrame([("A", "1", "t"), ("A", "1.3.1", "t"), ("A", "1.31.1", "Lost"), ("A", "1.2.3.4", None), ("A", "5.1", "t"), ("A", "9", "Nine"), ("B", "1", "One"), ("A", "9", "Nine")], "code_id string, article_number string, title string")
+    found = nb.reconcile_numbers(ours, theirs)
+    note = "Missing from official sources - Title: "
+    want = [
+        ("A", "1", "1", True, "Auto-matched: 1 -> 1"), ("A", "1.31", "1.3.1", True, "Auto-matched: 1.31 -> 1.3.1"), ("A", None, "1.31.1", False, note + "Lost"), ("A", None, "1.2.3.4", False, note + "Unknown title"),
+        ("A", "5.1", "5.1", True, "Auto-matched: 5.1 -> 5.1"), ("A", None, "9", False, note + "Nine"), ("B", None, "1", False, note + "One"),
+    ]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert [(r.number_source, r.number_reference) for r in nb.format_differences(found).collect()] == [("1.31", "1.3.1")]
+    stored = spark.createDataFrame([("A", None, "9", False, "kept"), ("A", "1", "1", True, "kept"), ("Z", "1", "1", True, "kept")], found.schema)
+    merged = nb.merge_reference(stored, found).collect()
+    assert len(merged) == 8 and sum(r.verification_notes == "kept" for r in merged) == 3
+
+
+def test_known_numbers_come_as_a_table(spark):
+    from lexmill.operators import numbering as nb
+
+    schema = "code_id string, source string, place int, article_number string, article_title string"
+    rows = [("K", "kremlin", 1, "1051", "Статья 1051. О сроках"), ("K", "gov", 1, "1051", None), ("L", "kremlin", 1, "1051", None), (None, "gov", 1, "231", None)]
+    known = spark.createDataFrame([("K", "105.1"), ("K", "7"), ("M", "105.1"), (None, "23.1"), ("L", None)], "code_id string, article_number string")
+    found = {(r.code_id, r.source): (r.article_number, r.raw_number, r.article_title) for r in nb.correct_article_numbers(spark.createDataFrame(rows, schema).repartition(3), ["place"], known=known).collect()}
+    assert found == {("K", "kremlin"): ("105.1", "1051", "Статья 105.1. О сроках"), ("K", "gov"): ("105.1", "1051", None), ("L", "kremlin"): ("1051", "1051", None), (None, "gov"): ("23.1", "231", None)}
+    assert nb.correct_article_numbers(spark.createDataFrame([], schema), ["place"], known=known).isEmpty()
