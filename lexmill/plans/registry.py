@@ -473,12 +473,15 @@ def h31_clean_lines(s, d):
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
- x AS (SELECT query, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query)
- SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rk FROM x) y WHERE rk <= 10""")
+ x AS (SELECT query, vec_id, label, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query)
+ SELECT 'all' AS asked, query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rk FROM x) y WHERE rk <= 10
+ UNION ALL SELECT 'label 3, 0.2 or more', query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rk FROM x WHERE label = 3 AND score >= 0.2) y WHERE rk <= 10""")
 def j4_vector_search(s, d):
     points = table(s, d, "embeddings")
     asked = points.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return search.vector_search(points, asked, 10)
+    found = search.vector_search(points, asked, 10).select(F.lit("all").alias("asked"), "*")
+    some = search.vector_search(points, asked, 10, threshold=0.2, where={"label": 3}).select(F.lit("label 3, 0.2 or more").alias("asked"), "*")
+    return found.unionByName(some)
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1")

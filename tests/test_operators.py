@@ -110,3 +110,38 @@ def test_places_in_a_code(spark):
     placed = versions.place_in_code(spark.createDataFrame(rows, "code_id string, article_number string, version_date string"))
     want = [("A", "2", "2020", 1, 4), ("A", "2", "2021", 2, 4), ("A", "10", "2020", 3, 4), ("A", "2.1", "2020", 4, 4), ("B", "1", "2020", 1, 1), (None, "1", "2020", 1, 2), (None, None, "2020", 2, 2)]
     assert sorted(map(tuple, placed.collect()), key=str) == sorted(want, key=str)
+
+
+def test_vector_search_skips_blocks_and_stays_exact(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    points = [(i, [m + rng.gauss(0, 0.05) for m in middles[i % 12]], i % 3) for i in range(600)] + [(1000 + i, middles[0], 0) for i in range(80)]  # a third of one block is one vector
+    df = spark.createDataFrame(points, "vec_id long, embedding array<float>, label int")
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    visited = []
+    real = search.candidate_blocks
+
+    def counted(queries, sample, centres, radii, *rest):
+        found = real(queries, sample, centres, radii, *rest).cache()
+        visited.append((found.count(), queries.count() * len(radii)))
+        return found
+
+    monkeypatch.setattr(search, "candidate_blocks", counted)
+    monkeypatch.setattr(search, "_BLOCK_POINTS", 40)
+    monkeypatch.setattr(search, "_BLOCK_QUERIES", 6)
+    ids, raw, labels = np.array([p[0] for p in points]), np.array([p[1] for p in points], np.float32).astype(float), np.array([p[2] for p in points])
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    for threshold, where in ((None, None), (0.95, None), (0.2, {"label": 1}), (0.999, {"label": 2}), (None, {"label": 9})):
+        want = set()
+        for i in np.flatnonzero(ids % 20 == 0):
+            scores = np.round(unit @ unit[i], 6)
+            good = [(-scores[j], ids[j]) for j in range(len(ids)) if j != i and (threshold is None or scores[j] >= threshold) and (not where or labels[j] == where["label"])]
+            want |= {(ids[i], j) for _, j in sorted(good)[:4]}
+        found = search.vector_search(df, asked, 4, threshold=threshold, where=where, centres=16, sample=60).collect()
+        assert {(r.query, r.vec_id) for r in found} == want
+        assert all(r.score >= (threshold or -1) for r in found)
+    assert visited[0][0] < 0.5 * visited[0][1] and visited[3][0] < visited[0][0]
