@@ -56,11 +56,64 @@ def parse_api_date(text: Column) -> Column:
     return F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:T.*)?$", 1), "yyyy-MM-dd")
 
 
+#: Dates and numbers as titles and letters write them; fixed values.
+DATE_FORMS = {
+    "title": r"от\s+(\d{1,2})\s+([а-яё]+)\s+(\d{4})\s+(?:года|го)",
+    "letter": r"от\s+(\d{1,2})\s+([а-яёА-ЯЁ]+)\s+(\d{4})",
+    "letter dotted": r"от\s+(\d{1,2})\.(\d{1,2})\.(\d{4})",
+    "dotted": r"(\d{2})\.(\d{2})\.(\d{4})",
+}
+NUMBER_FORMS = {"letter": r"№\s*([А-Яа-яЁёA-Za-z0-9\-/]+@?)", "dashed": r"(\d{2}-\d{2}-\d{2}/\d+)"}
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def _month(test) -> Column:
+    """Number of the first month for which ``test`` holds, null if none."""
+    return F.nullif(F.array_position(F.transform(F.array(*map(F.lit, MONTHS)), test), True), F.lit(0))
+
+
 def title_date(text: Column) -> Column:
-    """The date of "от D месяц YYYY"; invalid days are null."""
-    part = lambda i: F.regexp_extract(text, r"от (\d{1,2}) ([а-я]+) (\d{4})", i)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(2))
-    return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
+    """The date of "от D месяц YYYY года" or "го"; the month may be a part of its name; invalid days are null."""
+    part = lambda i: F.regexp_extract(text, DATE_FORMS["title"], i)
+    return F.when(part(1) != "", _day(part(3), _month(lambda m: m.contains(part(2))), part(1)))
+
+
+def letter_date(text: Column) -> Column:
+    """The date of "от D месяц YYYY", or if that is none, of "от D.M.YYYY"."""
+    named = lambda i: F.regexp_extract(text, DATE_FORMS["letter"], i)
+    plain = lambda i: F.regexp_extract(text, DATE_FORMS["letter dotted"], i)
+    return F.coalesce(_day(named(3), _month(lambda m: m == F.lower(named(2))), named(1)), _day(plain(3), plain(2), plain(1)))
+
+
+def dotted_date(text: Column) -> Column:
+    """The date of the first "DD.MM.YYYY"."""
+    part = lambda i: F.regexp_extract(text, DATE_FORMS["dotted"], i)
+    return _day(part(3), part(2), part(1))
+
+
+def any_date(text: Column) -> Column:
+    """With the name of a month: day and year are the first and the last word around it; else as :func:`dotted_date`.
+
+    Of several months the first of the year that gives a date counts.
+    """
+    low = F.lower(text)
+
+    def read(month: Column, place: Column) -> Column:
+        words = F.filter(F.split(F.replace(low, month, F.lit(" ")), r"\s+"), lambda w: w != "")
+        ends = [F.get(words, i) for i in (F.lit(0), F.size(words) - 1)]
+        numbers = (F.size(words) >= 2) & ends[0].rlike("^[0-9]{1,2}$") & ends[1].rlike("^[0-9]{4}$")
+        return F.when(low.contains(month) & numbers, _day(ends[1], place + 1, ends[0]))
+
+    found = F.get(F.filter(F.transform(F.array(*map(F.lit, MONTHS)), read), lambda d: d.isNotNull()), 0)
+    return F.coalesce(found, dotted_date(text))
+
+
+def document_number(text: Column, form: str) -> Column:
+    """The number after "№" of a letter, or one of the form NN-NN-NN/N; null if there is none."""
+    return F.nullif(F.regexp_extract(text, NUMBER_FORMS[form], 1), F.lit(""))
 
 
 def article_parts(number: Column) -> Column:

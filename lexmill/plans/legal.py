@@ -12,8 +12,8 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import consolidation, merge, numbering, paragraphs, search, snapshots, token_index, versions
-from lexmill.plans.registry import _CITED, _CODE, query, search_sql
+from lexmill.operators import amendments, consolidation, courts, merge, numbering, paragraphs, search, snapshots, token_index, versions
+from lexmill.plans.registry import _CITED, changes_sql, query, search_sql, shown_changes
 from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
 from lexmill.sources.tables import fresh_folder, spread_out
@@ -229,10 +229,15 @@ def h5_document_urls(s, d):
     return table(s, d, "docs").select("id", lg.document_urls(F.col("eo_number"), "https://example.org").alias("u")).select("id", "u.*")
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN CAST(page_id + 7 AS VARCHAR) ELSE substr(md5(url), 1, 8) END AS case_id FROM pages")
+_NUMBERED = "concat(CASE page_id % 4 WHEN 0 THEN concat('Письмо № БС-4-', CAST(page_id % 40 AS STRING), '/', CAST(page_id AS STRING), '@ от ') WHEN 1 THEN concat('№', CAST(page_id AS STRING), ' и ') WHEN 2 THEN '№ , ' ELSE '' END, lpad(CAST(page_id % 100 AS STRING), 2, '0'), '-', lpad(CAST(page_id % 90 AS STRING), 2, '0'), '-07/', CASE WHEN page_id % 5 > 0 THEN CAST(page_id * 31 AS STRING) ELSE 'x' END)"
+
+
+@query(rf"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN CAST(page_id + 7 AS VARCHAR) ELSE substr(md5(url), 1, 8) END AS case_id,
+ nullif(regexp_extract({_NUMBERED}, '{tx.NUMBER_FORMS["letter"]}', 1), '') AS letter_number, nullif(regexp_extract({_NUMBERED}, '{tx.NUMBER_FORMS["dashed"]}', 1), '') AS dashed_number FROM pages""")
 def h8_extract_number(s, d):
     made = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://x/?case_id="), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("http://x/ms/"), (F.col("page_id") + 7).cast("string"))).otherwise(F.col("url"))
-    return table(s, d, "pages").select("page_id", lg.case_id(made).alias("case_id"))
+    line = F.expr(_NUMBERED)
+    return table(s, d, "pages").select("page_id", lg.case_id(made).alias("case_id"), tx.document_number(line, "letter").alias("letter_number"), tx.document_number(line, "dashed").alias("dashed_number"))
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN concat('KREMLIN_', CAST(id AS VARCHAR)) ELSE eo_number END AS eo_number FROM docs")
@@ -253,11 +258,15 @@ def h13_valid_reference_number(s, d):
     return table(s, d, "versions").select("article_number").distinct().withColumn("valid", lg.valid_reference_number(F.col("article_number")))
 
 
-@query("""SELECT eo, concat_ws(',', CASE WHEN eo % 3 = 0 THEN 'modification::старый:новый' END, CASE WHEN eo % 5 = 0 THEN concat('addition:', regexp_extract(full_text, 'дополнить статьей ([0-9]+)', 1), '::новый текст') END) AS changes FROM amendments""")
+#: Amendments with several changes of a kind, in words that follow the row.
+_VARIED = """concat(full_text, ' Пункт «', CAST(eo % 50 AS STRING), '» ЗАМЕНИТЬ «срок ', CAST(eo % 9 AS STRING), '»; слово "налог" заменить "сбор" и фразу «старая» заменить словом «новая».', chr(10),
+ CASE WHEN eo % 4 = 0 THEN concat('Дополнить статью ', CAST(eo % 30 + 1 AS STRING), ' частью второй:  новые права ', CAST(eo AS STRING), '; прочее. ') ELSE 'Дополнить статьей без номера: текст. ' END, 'Признать утратившим силу статьи ', CAST(eo % 77 AS STRING), ' и 5.')"""
+
+
+@query(f"SELECT eo, {changes_sql('line')} AS changes FROM (SELECT eo, {_VARIED} AS line FROM amendments) l")
 def h17_amendment_changes(s, d):
-    part = lambda c: F.coalesce(c, F.lit(""))
-    shown = F.transform(lg.amendment_changes(F.col("full_text")), lambda c: F.concat_ws(":", c["type"], part(c["article"]), part(c["old"]), part(c["new"])))
-    return table(s, d, "amendments").select("eo", F.array_join(shown, ",").alias("changes"))
+    lines = table(s, d, "amendments").select("eo", F.expr(_VARIED.replace("chr(10)", "char(10)")).alias("line"))
+    return lines.select("eo", shown_changes(amendments.change_details(F.col("line"))).alias("changes"))
 
 
 @query("SELECT eo, document_date AS effective FROM amendments")
@@ -420,10 +429,19 @@ def i9_correct_article_numbers(s, d):
     return found.select("code_id", "true_number", "raw_number", "article_number", "article_title", "suspicious")
 
 
-@query(f"SELECT y.id, y.article, y.code, sha256(d.full_text) AS text_sha256, d.case_number FROM ({_CITED}) y JOIN decisions d ON d.id = y.id")
+@query(f"""WITH y AS ({_CITED}) SELECT d.id AS decision_id, coalesce(d.case_number, '') AS case_number, CASE WHEN d.id % 4 = 0 THEN 'stored' ELSE 'new' END AS title, md5(CASE WHEN length(d.full_text) > 500 THEN concat(regexp_replace(substr(d.full_text, 1, 500), ' [^ ]*$', ''), '...') ELSE d.full_text END) AS summary_md5,
+ sha256(d.full_text) AS text_hash, y.code AS code_id, y.article AS article_number, CASE WHEN d.id % 8 = 0 AND y.code = 'UK_RF' THEN 'stored' ELSE y.kind END AS reference_type, y.position AS position_in_text FROM decisions d JOIN y ON y.id = d.id""")
 def i10_court_rows(s, d):
-    rows = spread_out(table(s, d, "decisions")).select("id", "case_number", F.sha2("full_text", 256).alias("text_sha256"), F.explode(cit.citations(F.col("full_text"))).alias("c"))
-    return rows.select("id", "c.article", "c.code", "text_sha256", "case_number")
+    # A quarter of the decisions are stored with an older text, and some of their references.
+    raw = spread_out(table(s, d, "decisions")).select("id", "case_number", "full_text", F.lit("new").alias("title"))
+    rows = courts.decision_rows(raw)
+    old = raw.filter("id % 4 = 0").select("id", "case_number", F.lit("Старый текст").alias("full_text"), F.lit("stored").alias("title"), F.lit("").alias("summary"), F.lit("").alias("text_hash"))
+    decisions = courts.merge_decisions(old, rows, ["full_text", "summary", "text_hash"])
+    references = courts.reference_rows(rows)
+    known = references.filter("decision_id % 8 = 0 and code_id = 'UK_RF'").withColumn("reference_type", F.lit("stored"))
+    merged = courts.merge_references(known, references)
+    found = decisions.select(F.col("id").alias("decision_id"), F.coalesce("case_number", F.lit("")).alias("case_number"), "title", F.md5("summary").alias("summary_md5"), "text_hash").join(merged, "decision_id")
+    return found.drop("reference_context")
 
 
 # Chunks and vectors

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
-from lexmill.operators import merge, search, token_index, versions
+from lexmill.operators import amendments, courts, merge, search, token_index, versions
 from lexmill.sources import pages
 from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
@@ -18,12 +18,17 @@ from lexmill.streaming.streams import PERIODS, stream_period_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_LATER: dict[str, Callable[[], str]] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a query under its name; SQL that needs what is defined further down is given as a function."""
+
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if callable(sql):
+            _LATER[f.__name__] = sql
+        elif sql:
             ORACLE_SQL[f.__name__] = with_tables(sql)
         return f
 
@@ -173,11 +178,12 @@ def c8_plenary_resolutions(s, d):
     return found.select("id", "case_number", "decision_date").orderBy(F.desc("decision_date"), "id").limit(5)
 
 
-@query("""SELECT eo, document_date, CASE WHEN lower(concat(title, ' ', full_text)) LIKE '%трудовой кодекс%' THEN 'TK_RF' WHEN lower(title) LIKE '%уголовный кодекс%' THEN 'UK_RF' ELSE 'NK_RF' END AS code FROM amendments
- WHERE (title LIKE '%Трудовой кодекс%' OR title LIKE '%Уголовный кодекс%' OR title LIKE '%Налоговый кодекс%') AND document_date >= DATE '1995-01-01'""")
+@query(lambda: f"""SELECT eo, document_date, code_id FROM (SELECT *, {_CODE} AS code_id FROM (SELECT eo, document_date, title, concat(full_text, ' ', title) AS full_text FROM amendments WHERE eo % 9 <> 0) y) x
+ WHERE document_date >= DATE '1995-01-01' AND ({' OR '.join(f"(code_id = '{code}' AND contains(full_text, '{name}'))" for code, name in amendments.CODE_TITLES)})""")
 def c9_select_amendments(s, d):
-    a = table(s, d, "amendments").filter(F.col("title").rlike("Трудовой кодекс|Уголовный кодекс|Налоговый кодекс") & (F.col("document_date") >= "1995-01-01"))
-    return a.select("eo", "document_date", tx.identify_code(F.col("title"), F.col("full_text")).alias("code"))
+    whole = F.when(F.col("eo") % 9 != 0, F.concat_ws(" ", "full_text", "title"))
+    docs = table(s, d, "amendments").withColumn("full_text", whole)
+    return amendments.select_amendments(docs, "full_text", "document_date", start="1995-01-01").select("eo", "document_date", "code_id")
 
 
 @query("SELECT id, publish_date FROM docs LEFT JOIN content ON id = document_id WHERE full_text IS NULL OR length(full_text) < 500 ORDER BY publish_date DESC, id LIMIT 100")
@@ -295,10 +301,18 @@ def e14_citation_counts(s, d):
     return found.groupBy("c.code", "c.article", "c.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT d.id, coalesce(string_agg(concat(code, ':', article), ',' ORDER BY code, article), '') AS refs FROM decisions d LEFT JOIN ({_CITED}) y ON y.id = d.id GROUP BY 1")
+@query(f"""WITH y AS ({_CITED}), n AS (SELECT n_nationkey, n_name FROM nation), c AS (SELECT n_nationkey AS court_id, n_name AS court_name FROM nation WHERE n_nationkey % 5 <> 0),
+ d AS (SELECT id, CASE WHEN id % 13 = 0 THEN 99 ELSE id % 25 END AS country_code, id % 25 AS court_id FROM decisions)
+ SELECT d.id, n_name AS country_name, court_name, coalesce(string_agg(concat(code, ':', article, ':', kind), ',' ORDER BY code, article), '') AS articles FROM d JOIN n ON n_nationkey = country_code LEFT JOIN c ON c.court_id = d.court_id LEFT JOIN y ON y.id = d.id GROUP BY 1, 2, 3""")
 def e10_decisions_with_articles(s, d):
-    refs = F.array_sort(F.transform(cit.citations(F.col("full_text")), lambda c: F.struct(c["code"].alias("code"), c["article"].alias("article"))))
-    return spread_out(table(s, d, "decisions")).select("id", F.array_join(F.transform(refs, lambda r: F.concat_ws(":", r["code"], r["article"])), ",").alias("refs"))
+    cases = spread_out(table(s, d, "decisions")).select("id", "full_text", F.when(F.col("id") % 13 == 0, 99).otherwise(F.col("id") % 25).alias("country_code"), (F.col("id") % 25).alias("court_id"))
+    nations = table(s, d, "nation")
+    countries = nations.select(F.col("n_nationkey").alias("country_code"), F.col("n_name").alias("country_name"))
+    sites = nations.filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("court_id"), F.col("n_name").alias("court_name"))
+    references = courts.reference_rows(courts.decision_rows(cases))
+    found = courts.decisions_with_articles(cases.drop("full_text"), references, countries, sites)
+    shown = F.array_join(F.transform("articles", lambda a: F.concat_ws(":", a["code_id"], a["article_number"], a["reference_type"])), ",")
+    return found.select("id", "country_name", "court_name", shown.alias("articles"))
 
 
 # Window functions
@@ -401,10 +415,27 @@ def h6_parse_api_date(s, d):
     return table(s, d, "amendments").select("eo", tx.parse_api_date(raw).alias("parsed"))
 
 
-@query("SELECT eo, DATE '2001-01-01' + CAST(eo % 28 AS INT) AS found FROM amendments")
+#: A line with a date in one of several forms, some of them wrong.
+_DATED = f"""concat(CASE eo % 5 WHEN 0 THEN 'Постановление от ' WHEN 1 THEN 'Письмо от ' WHEN 2 THEN '' WHEN 3 THEN 'Письмо  от  ' ELSE 'Опубликовано ' END, CAST(eo % 33 AS STRING), CASE WHEN eo % 7 < 4 THEN concat(' ', element_at(array({', '.join(repr(m) for m in tx.MONTHS)}), CAST(eo % 12 + 1 AS INT)), ' ') ELSE concat('.', lpad(CAST(eo % 14 AS STRING), 2, '0'), '.') END,
+ CAST(1990 + eo % 40 AS STRING), CASE eo % 3 WHEN 0 THEN ' года' WHEN 1 THEN ' го' ELSE '' END)"""
+_SQL_DATED = _DATED.replace("element_at(array(", "list_extract(list_value(")
+_SQL_MONTHS = "[" + ", ".join(repr(m) for m in tx.MONTHS) + "]"
+
+
+def _sql_day(form: str, month: str | None) -> str:
+    part = lambda i: f"regexp_extract(line, '{tx.DATE_FORMS[form]}', {i})"
+    number = part(2) if month is None else f"CAST(nullif(coalesce(list_position(list_transform({_SQL_MONTHS}, lambda m: {month.format(name=part(2))}), true), 0), 0) AS VARCHAR)"
+    return f"TRY_CAST(concat_ws('-', nullif(lpad({part(3)}, 4, '0'), '0000'), lpad({number}, 2, '0'), lpad({part(1)}, 2, '0')) AS DATE)"
+
+
+@query(f"""WITH l AS (SELECT eo, {_SQL_DATED} AS line FROM amendments), w AS (SELECT *, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS words, list_filter({_SQL_MONTHS}, lambda m: contains(lower(line), m)) AS named FROM l),
+ f AS (SELECT *, list_filter(regexp_split_to_array(replace(lower(line), named[1], ' '), '\\s+'), lambda x: x <> '') AS around FROM w)
+ SELECT eo, {_sql_day('title', 'contains(m, {name})')} AS in_title, coalesce({_sql_day('letter', 'm = lower({name})')}, {_sql_day('letter dotted', None)}) AS in_letter, {_sql_day('dotted', None)} AS dotted,
+ coalesce(CASE WHEN len(around) >= 2 AND regexp_full_match(around[1], '[0-9]{{1,2}}') AND regexp_full_match(around[-1], '[0-9]{{4}}') THEN TRY_CAST(concat_ws('-', around[-1], lpad(CAST(list_position({_SQL_MONTHS}, named[1]) AS VARCHAR), 2, '0'), lpad(around[1], 2, '0')) AS DATE) END, {_sql_day('dotted', None)}) AS any_form FROM f""")
 def h7_extract_date(s, d):
-    raw = F.concat(F.lit("Постановление от "), (F.col("eo") % 28 + 1).cast("string"), F.lit(" января 2001 года"))
-    return table(s, d, "amendments").select("eo", tx.title_date(raw).alias("found"))
+    lines = table(s, d, "amendments").select("eo", F.expr(_DATED).alias("line"))
+    line = F.col("line")
+    return lines.select("eo", tx.title_date(line).alias("in_title"), tx.letter_date(line).alias("in_letter"), tx.dotted_date(line).alias("dotted"), tx.any_date(line).alias("any_form"))
 
 
 @query("SELECT DISTINCT article_number, CAST(regexp_extract(article_number, '^([0-9]+)', 1) AS INTEGER) AS base, TRY_CAST(regexp_extract(article_number, '\\.([0-9]+)', 1) AS INTEGER) AS insertion, TRY_CAST(regexp_extract(article_number, '-([0-9]+)', 1) AS INTEGER) AS subdivision FROM versions")
@@ -518,11 +549,27 @@ def c3_search_documents(s, d):
 # Consolidation
 
 
-@query(f"SELECT eo, document_date, {_CODE} AS code, {_ACTION} AS action, {_ARTICLES} AS articles FROM amendments")
+def changes_sql(text: str) -> str:
+    """SQL of ``amendments.change_details`` as one string."""
+    every = lambda kind, i: f"regexp_extract_all({text}, '(?i){amendments.CHANGE_FORMS[kind]}', {i})"
+    lines = lambda kind, shown: f"list_transform(range(1, len({every(kind, 0)}) + 1), lambda i: {shown})"
+    return f"""array_to_string(list_concat(list_concat({lines('replacement', f"concat('replacement::', {every('replacement', 1)}[i], ':', {every('replacement', 2)}[i], ':', {every('replacement', 0)}[i])")},
+ {lines('addition', f"concat('addition:', {every('addition', 1)}[i], '::', trim({every('addition', 2)}[i]), ':', {every('addition', 0)}[i])")}), {lines('repeal', f"concat('repeal:', {every('repeal', 1)}[i], ':::', {every('repeal', 0)}[i])")}), chr(10))"""
+
+
+def shown_changes(changes: Column) -> Column:
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.array_join(F.transform(changes, lambda c: F.concat_ws(":", c["type"], part(c["article"]), part(c["old_text"]), part(c["new_text"]), c["context"])), "\n")
+
+
+@query(f"""WITH a AS (SELECT eo, title, CASE WHEN eo % 17 = 0 THEN '' WHEN eo % 23 = 0 THEN 'Текст без изменений' ELSE full_text END AS full_text, CASE WHEN eo % 6 > 0 THEN document_date END AS day FROM amendments),
+ p AS (SELECT eo, {_CODE} AS code_id, {_ACTION} AS action, {_ARTICLES} AS articles, {changes_sql('full_text')} AS changes, day AS effective, full_text FROM a)
+ SELECT eo, code_id, action, articles, changes, effective, CASE WHEN full_text = '' THEN 'no text' WHEN code_id = 'UNKNOWN' THEN 'unknown code' WHEN effective IS NULL THEN 'no date' WHEN articles = '' AND changes = '' THEN 'nothing changed' END AS error FROM p""")
 def i1_parse_amendments(s, d):
-    a = spread_out(table(s, d, "amendments"))
-    code, action = tx.identify_code(F.col("title"), F.col("full_text")), tx.amendment_action(F.col("title"), F.col("full_text"))
-    return a.select("eo", "document_date", code.alias("code"), action.alias("action"), _articles().alias("articles"))
+    whole = F.when(F.col("eo") % 17 == 0, "").when(F.col("eo") % 23 == 0, "Текст без изменений").otherwise(F.col("full_text"))
+    docs = spread_out(table(s, d, "amendments")).select("eo", "title", whole.alias("full_text"), F.when(F.col("eo") % 6 > 0, F.col("document_date")).alias("document_date"))
+    parsed = amendments.parse_amendments(docs)
+    return parsed.select("eo", "code_id", "action", F.array_join(F.array_sort("articles"), ",").alias("articles"), shown_changes(F.col("changes")).alias("changes"), "effective", "error")
 
 
 # Streaming
@@ -537,3 +584,5 @@ def k3_stream_block_counts(s, d):
 
 
 from lexmill.plans import legal  # noqa: E402, F401  its queries register themselves
+
+ORACLE_SQL.update({name: with_tables(sql()) for name, sql in _LATER.items()})
