@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,32 @@ def insert_first_wins(target: DataFrame, batch: DataFrame, keys: list[str], orde
     return target.unionByName(fresh)
 
 
-def upsert_columns(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
-    """On a match replace only ``update``; other columns keep their old values. Null keys never match.
+#: What makes a row of each kind the same one; fixed values.
+NATURAL_KEYS = {
+    "decision": ["country_code", "court_type", "case_number", "decision_date"],
+    "review": ["country_code", "court_type", "title", "publication_date"],
+    "position": ["decision_id", "position_text"],
+    "regional_code": ["country_code", "region_id", "code_id"],
+    "regional_article": ["country_code", "region_id", "code_id", "article_number", "version_date"],
+    "letter": ["country_code", "agency_id", "document_number", "document_date"],
+}
+
+
+def merge_by_natural_key(target: DataFrame, batch: DataFrame, kind: str, update: list[str] | None = None, order: str | None = None, set_const: Mapping[str, object] | None = None) -> DataFrame:
+    """``batch`` merged into ``target``, whose rows are known by the natural key of their kind.
+
+    On a match ``update`` is replaced, by default all columns that are no part of the key, and
+    ``set_const`` is set. A row with a null in its key is never the same as another, so it comes in
+    each time. Keys of the target must be unique; for those of the batch see :func:`upsert_columns`.
+    """
+    keys = NATURAL_KEYS[kind]
+    return upsert_columns(target, batch, keys, [c for c in target.columns if c not in keys] if update is None else update, order, set_const)
+
+
+def upsert_columns(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: str | None = None, set_const: Mapping[str, object] | None = None) -> DataFrame:
+    """On a match replace only ``update`` and set ``set_const``; other columns keep their old values. Null keys never match.
 
-    With ``order``, of several batch rows for a key the last one wins; without, keys of the batch must be unique.
+    Rows of the batch that match none come in as they are. With ``order``, of several batch rows for a key the last one wins; without, keys of the batch must be unique.
     """
     if order:
         known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda k: k)
@@ -36,7 +60,9 @@ def upsert_columns(target: DataFrame, batch: DataFrame, keys: list[str], update:
     old = target.withColumn("_old", F.lit(True))
     joined = old.join(new, keys, "full_outer")
     pick = lambda c: F.when(F.col("_old").isNull() | (F.lit(c in update) & F.col("_new").isNotNull()), F.col(f"_new.{c}")).otherwise(F.col(c))
-    return joined.select(*keys, *[pick(c).alias(c) for c in target.columns if c not in keys])
+    matched = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    fixed = {c: F.when(matched, F.lit(v).cast(target.schema[c].dataType)).otherwise(pick(c)) for c, v in (set_const or {}).items()}
+    return joined.select(*keys, *[fixed.get(c, pick(c)).alias(c) for c in target.columns if c not in keys])
 
 
 def purge_duplicates(rows: DataFrame, keys: list[str], id_col: str, null_as: str = "") -> DataFrame:

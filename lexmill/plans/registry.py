@@ -111,11 +111,11 @@ def b2_insert_first_wins(s, d):
 
 
 @query("""WITH t AS (SELECT id, block, title FROM docs WHERE id % 3 <> 0), b AS (SELECT id, 'new' AS block, upper(title) AS title FROM docs WHERE id % 2 = 0)
- SELECT coalesce(t.id, b.id) AS id, CASE WHEN t.id IS NULL THEN b.block ELSE t.block END AS block, CASE WHEN b.id IS NULL THEN t.title ELSE b.title END AS title FROM t FULL JOIN b ON t.id = b.id""")
+ SELECT coalesce(t.id, b.id) AS id, CASE WHEN t.id IS NULL THEN b.block ELSE t.block END AS block, CASE WHEN b.id IS NULL THEN t.title ELSE b.title END AS title, CASE WHEN t.id IS NULL THEN 'unknown' WHEN b.id IS NULL THEN 'old' ELSE 'valid' END AS validity FROM t FULL JOIN b ON t.id = b.id""")
 def b3_upsert_columns(s, d):
     docs = table(s, d, "docs").select("id", "block", "title")
-    batch = docs.filter("id % 2 = 0").select("id", F.lit("new").alias("block"), F.upper("title").alias("title"))
-    return merge.upsert_columns(docs.filter("id % 3 <> 0"), batch, ["id"], ["title"])
+    batch = docs.filter("id % 2 = 0").select("id", F.lit("new").alias("block"), F.upper("title").alias("title"), F.lit("unknown").alias("validity"))
+    return merge.upsert_columns(docs.filter("id % 3 <> 0").withColumn("validity", F.lit("old")), batch, ["id"], ["title"], set_const={"validity": "valid"})
 
 
 @query("SELECT agency, coalesce(number, '') AS number, letter_date, max(id * 1000 + turn) AS id FROM letters GROUP BY 1, 2, 3")
@@ -137,12 +137,17 @@ def b5_replace_group(s, d):
     return s.read.schema(stored.schema).parquet(folder).join(counts, "code_id", "left")
 
 
-@query("""WITH t AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 1), b AS (SELECT id * 1000 + turn AS id, number, letter_date FROM letters WHERE turn = 3 OR turn = 2)
- SELECT * FROM t UNION ALL SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.number = b.number AND t.letter_date = b.letter_date)""")
+@query("""WITH l AS (SELECT id * 1000 + turn AS id, 'RU' AS country_code, agency AS agency_id, number AS document_number, letter_date AS document_date, md5(text) AS text_hash, turn FROM letters),
+ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agency_id, document_number, document_date ORDER BY id DESC) AS rk FROM l WHERE turn = 1 OR turn = 4) x WHERE rk = 1 OR document_number IS NULL),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agency_id, document_number, document_date ORDER BY id DESC) AS rk FROM l WHERE turn <> 1 AND turn <> 4) x WHERE rk = 1 OR document_number IS NULL)
+ SELECT country_code, coalesce(t.agency_id, b.agency_id) AS agency_id, coalesce(t.document_number, b.document_number) AS document_number, coalesce(t.document_date, b.document_date) AS document_date, coalesce(t.id, b.id) AS id, coalesce(b.text_hash, t.text_hash) AS text_hash,
+ CASE WHEN t.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'stored' ELSE 'valid' END AS validity_status FROM (SELECT * EXCLUDE (country_code) FROM t) t FULL JOIN (SELECT * EXCLUDE (country_code) FROM b) b
+ ON t.agency_id = b.agency_id AND t.document_number = b.document_number AND t.document_date = b.document_date CROSS JOIN (SELECT 'RU' AS country_code) c""")
 def b6_merge_by_natural_key(s, d):
-    rows = table(s, d, "letters").select((F.col("id") * 1000 + F.col("turn")).alias("id"), "number", "letter_date", "turn")
-    target, batch = (rows.filter(c).drop("turn") for c in ("turn = 1", "turn = 3 or turn = 2"))
-    return target.unionByName(batch.join(target.select("number", "letter_date"), ["number", "letter_date"], "left_anti"))
+    columns = [F.lit("RU").alias("country_code"), F.col("agency").alias("agency_id"), F.col("number").alias("document_number"), F.col("letter_date").alias("document_date"), (F.col("id") * 1000 + F.col("turn")).alias("id"), F.md5("text").alias("text_hash")]
+    rows = lambda c, state: table(s, d, "letters").filter(c).select(*columns, F.lit(state).alias("validity_status"))
+    stored = merge.merge_by_natural_key(rows("false", ""), rows("turn = 1 or turn = 4", "stored"), "letter", order="id")
+    return merge.merge_by_natural_key(stored, rows("turn <> 1 and turn <> 4", "new"), "letter", ["text_hash"], "id", {"validity_status": "valid"})
 
 
 @query("SELECT id, publish_date FROM docs WHERE id % 7 = 0 AND id % 11 <> 0")

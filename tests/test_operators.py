@@ -145,3 +145,19 @@ def test_vector_search_skips_blocks_and_stays_exact(spark, monkeypatch):
         assert {(r.query, r.vec_id) for r in found} == want
         assert all(r.score >= (threshold or -1) for r in found)
     assert visited[0][0] < 0.5 * visited[0][1] and visited[3][0] < visited[0][0]
+
+
+def test_natural_keys_and_forced_values(spark):
+    day = dt.date(2024, 1, 1)
+    schema = "country_code string, agency_id int, document_number string, document_date date, title string, answer string, validity_status string"
+    stored = spark.createDataFrame([("RU", 1, "N1", day, "old", "a", "stale"), ("RU", 1, None, day, "old", "b", "stale"), ("RU", 2, "N1", day, "old", "c", "stale")], schema)
+    batch = spark.createDataFrame([("RU", 1, "N1", day, "new", "A", "x"), ("RU", 1, None, day, "new", "B", "x"), ("BY", 1, "N1", day, "new", "C", "x")], schema)
+    once = merge.merge_by_natural_key(stored, batch, "letter", ["answer"], set_const={"validity_status": "valid"})
+    show = lambda df: sorted((r.country_code, r.agency_id, r.document_number or "", r.title, r.answer, r.validity_status) for r in df.collect())
+    want = [("BY", 1, "N1", "new", "C", "x"), ("RU", 1, "", "new", "B", "x"), ("RU", 1, "", "old", "b", "stale"), ("RU", 1, "N1", "old", "A", "valid"), ("RU", 2, "N1", "old", "c", "stale")]
+    assert show(once) == want
+    again = merge.merge_by_natural_key(once, batch, "letter", ["answer"], set_const={"validity_status": "valid"})
+    assert len(show(again)) == 6 and again.filter("document_number is null").count() == 3  # a null key comes in again
+    whole = merge.merge_by_natural_key(stored, batch.unionByName(batch.withColumn("title", F.lit("zz"))), "letter", order="title")
+    assert [r[3] for r in show(whole) if r[:3] == ("RU", 1, "N1")] == ["zz"]
+    assert all(len(keys) == len(set(keys)) for keys in merge.NATURAL_KEYS.values())
