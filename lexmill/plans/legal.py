@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import citations as cit
-from lexmill.functions import content, html
+from lexmill.functions import content, html, rules
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
 from lexmill.operators import amendments, consolidation, courts, merge, numbering, paragraphs, search, snapshots, token_index, versions
@@ -330,6 +330,37 @@ def h33_letter_from_raw(s, d):
     return table(s, d, "letters").select("id", "turn", F.coalesce(given, F.lit("2026-01-01").cast("date")).alias("letter_date"), F.coalesce("number", F.lit("")).alias("number"), F.lit("letter").alias("document_type"))
 
 
+# Rules by country
+
+#: Rules for the languages of the test documents: (country, purpose, place, pattern, value).
+_RULES = (
+    ("EN", "code", 1, "licen[cs]e", "LICENCE"),
+    ("en", "code", 2, "(?:public|private) key|password", "SECRET"),
+    ("en", "code", 3, "the .* of", "PROSE"),
+    ("de", "code", 1, "lizenz", "LIZENZ"),
+    ("de", "code", 2, "heit(en)? ", "HEIT"),
+    ("fr", "code", 1, "tion", "TION"),
+    ("en", "action", 1, "\\+[0-9]{2}", "phone"),
+    ("en", "action", 2, "[a-z0-9]@[a-z0-9]", "mail"),
+    ("en", "action", 3, "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "address"),
+    ("es", "action", 1, "[a-z0-9]@[a-z0-9]", "mail"),
+    ("en", "standalone", 1, "^Click here", None),
+    ("de", "standalone", 1, "^(Impressum|Datenschutz)", None),
+)
+_BY_COUNTRY = {c: [r for r in _RULES if r[0].lower() == c] for c in ("en", "de", "fr", "es")}
+_SQL_CODE = " ".join(f"WHEN lang = '{c}' AND regexp_matches(low, '{r[3]}') THEN '{r[4]}'" for c, own in _BY_COUNTRY.items() for r in own if r[1] == "code")
+_SQL_FOUND = " + ".join(f"CASE WHEN lang = '{c}' AND regexp_matches(low, '{r[3]}') THEN 1 ELSE 0 END" for c, own in _BY_COUNTRY.items() for r in own if r[1] == "action")
+_SQL_KIND = " ".join(f"WHEN lang = '{c}' AND regexp_matches(low, '{r[3]}') THEN '{r[4]}'" for c, own in _BY_COUNTRY.items() for r in own if r[1] == "action")
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS low FROM documents), f AS (SELECT *, {_SQL_FOUND} AS found FROM d)
+ SELECT doc_id, CASE {_SQL_CODE} ELSE 'UNKNOWN' END AS code, CASE WHEN found > 1 THEN 'mixed' {_SQL_KIND} ELSE 'modification' END AS action FROM f""")
+def l1_rules_by_country(s, d):
+    table_of_rules = rules.read_rules(s.createDataFrame(_RULES, rules.RULES))
+    docs, none = table(s, d, "documents"), F.lit(None).cast("string")
+    return docs.select("doc_id", table_of_rules.code(none, F.col("text"), F.col("lang")).alias("code"), table_of_rules.action(none, F.col("text"), F.col("lang")).alias("action"))
+
+
 # Consolidation
 
 
