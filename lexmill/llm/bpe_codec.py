@@ -8,19 +8,23 @@ there is split as in the whole text. Decoding joins the tokens' raw bytes, with
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.bpe_text import SPLIT, load_ranks
+from lexmill.llm.bpe_text import PATTERN, SPLIT, load_ranks
 from lexmill.llm.common import text_or_empty
 
+#: Spellings of the split that :data:`SPLIT` stands for; texts are cut for no other pattern.
+KNOWN_SPLITS = (PATTERN, public_tokenizers.PATTERN)
 #: Bytes of ids and text in one batch that leaves a task.
 _BATCH_BYTES = 4_000_000
 
@@ -82,19 +86,21 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 65_536, decode: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ``ids`` (binary: little-endian unsigned 32-bit), and with ``decode`` also ``decoded`` (binary).
 
-    ``pattern`` is the split of the rank file and must be the one of :data:`bpe_text.SPLIT` for
-    texts over ``chunk_chars``. A null text encodes as an empty one (0 tokens, empty binary);
+    ``pattern`` is the split of the rank file. If it is one of :data:`KNOWN_SPLITS`, texts over
+    ``chunk_chars`` are cut at its safe boundaries; with any other pattern they are encoded whole. A null text encodes as an empty one (0 tokens, empty binary);
     special tokens' strings are ordinary text; rows map one to one, so repeated rows and empty
     tables need no rule; other columns of ``docs`` are not read. See :func:`ids_as_array`.
     """
     names = ["_id", "n_tokens", "ids", *(["decoded"] if decode else [])]
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in names[2:])])
 
+    longest = chunk_chars if pattern in KNOWN_SPLITS else sys.maxsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(ranks_path, pattern)
         for batch in batches:
             for part in _pieces(batch):
-                ids = [encode_text(codec, text, chunk_chars) for text in part.column(1).to_pylist()]
+                ids = [encode_text(codec, text, longest) for text in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decode:
                     columns.append(pa.array([codec.decode_bytes(x.tolist()) for x in ids], pa.binary()))
