@@ -213,18 +213,25 @@ def chunk_rows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame
     return docs.filter(F.length("text") > 0).select(F.col("doc_id").alias("document_id"), F.posexplode(cut("text")).alias("chunk_index", "chunk_text"))
 
 
-def embed(chunks: DataFrame, text_col: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
-    """``chunks`` with an embedding; each distinct text is encoded once, null as empty."""
+def embed(chunks: DataFrame, text_col: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 32, size: int | None = None, prompt: Column | None = None) -> DataFrame:
+    """``chunks`` with an embedding of single floats; each distinct (prompt, text) is encoded once, ``batch`` at a time.
+
+    ``encode`` gets the prompt, a column that may differ by row, and the text as one string. A blank
+    or null text gets zeros and is not encoded, if ``size`` tells how many; without it is encoded as it is.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = chunks.withColumn("_md5", F.md5(text))
+    whole = text if prompt is None else F.concat(F.coalesce(prompt, F.lit("")), text)
+    blank = F.lit(False) if size is None else F.btrim(text, F.lit(" \t\n\r\f\v")) == ""
+    keyed = chunks.withColumns({"_md5": F.when(~blank, F.md5(whole)), "_whole": whole})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             vectors = [v for i in range(0, len(part), batch) for v in encode(part["text"].iloc[i : i + batch].tolist())]
             yield pd.DataFrame({"_md5": part["_md5"], "embedding": vectors})
 
-    distinct = keyed.groupBy("_md5").agg(F.first(text).alias("text"))
-    return keyed.join(distinct.mapInPandas(run, "_md5 string, embedding array<float>"), "_md5").drop("_md5")
+    distinct = keyed.filter("_md5 is not null").groupBy("_md5").agg(F.first("_whole").alias("text"))
+    encoded = keyed.join(distinct.mapInPandas(run, "_md5 string, embedding array<float>"), "_md5", "left").drop("_md5", "_whole")
+    return encoded if size is None else encoded.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), size)))
 
 
 def assemble(lines: DataFrame, group: str, place: str, is_header: Column, text: str) -> DataFrame:

@@ -159,7 +159,7 @@ _SPARK_LINES = _LINES.replace("CAST((turn + conv_id % 2) / 2 AS INTEGER)", "(tur
 
 @query(f"""WITH RECURSIVE l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk, {_SQL_LINES} AS line FROM conversations),
  t AS (SELECT *, trim(coalesce(line, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w FROM l),
- n AS (SELECT conv_id, turn, rk, line, regexp_extract(w, '^([0-9]+)\.\s*(.+)$', 1) AS num, regexp_matches(w, '(?i){paragraphs.AMENDMENT_NOTE}') AS note, {content.content_reason_sql('line')} AS why FROM t),
+ n AS (SELECT conv_id, turn, rk, line, regexp_extract(w, '^([0-9]+)\\.\\s*(.+)$', 1) AS num, regexp_matches(w, '(?i){paragraphs.AMENDMENT_NOTE}') AS note, {content.content_reason_sql('line')} AS why FROM t),
  m AS (SELECT *, CASE WHEN num = '' OR note THEN NULL ELSE CAST(num AS BIGINT) END AS paragraph FROM n),
  s AS (SELECT conv_id, 0::BIGINT AS rk, 1::BIGINT AS expected, 1::BIGINT AS following FROM m GROUP BY 1 UNION ALL
  SELECT m.conv_id, m.rk, s.following, CASE WHEN m.paragraph = s.following THEN s.following + 1 ELSE s.following END FROM s JOIN m ON m.conv_id = s.conv_id AND m.rk = s.rk + 1),
@@ -505,12 +505,20 @@ def j2_chunk_ids(s, d):
 
 
 def _digest_vectors(texts: list[str]) -> list[list[float]]:
-    return [[b / 255.0 for b in hashlib.md5(t.encode()).digest()] if t.strip() else [0.0] * 16 for t in texts]
+    return [[b / 255.0 for b in hashlib.md5(t.encode()).digest()] for t in texts]
 
 
-@query()
+_ASKED = "concat(CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'query: ' ELSE 'passage: ' END, coalesce(text, ''))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 5 THEN '  ' ELSE text END AS text FROM conversations)
+ SELECT conv_id, turn, array_to_string(list_transform(range(0, 16), lambda i: CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE CAST(concat('0x', substr(md5({_ASKED}), 2 * i + 1, 2)) AS INTEGER) END), ',') AS vector FROM c""")
 def j3_embed(s, d):
-    return consolidation.embed(table(s, d, "conversations").select("conv_id", "turn", "text"), "text", _digest_vectors)
+    text = F.when(F.col("turn") % 7 == 5, "  ").otherwise(F.col("text"))
+    prompt = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "query: ").otherwise("passage: ")
+    chunks = table(s, d, "conversations").select("conv_id", "turn", text.alias("text"), prompt.alias("prompt"))
+    found = consolidation.embed(chunks, "text", _digest_vectors, size=16, prompt=F.col("prompt"))
+    return found.select("conv_id", "turn", F.array_join(F.transform("embedding", lambda x: F.round(x * 255).cast("int").cast("string")), ",").alias("vector"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),

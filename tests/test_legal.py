@@ -174,3 +174,21 @@ def test_known_numbers_come_as_a_table(spark):
     found = {(r.code_id, r.source): (r.article_number, r.raw_number, r.article_title) for r in nb.correct_article_numbers(spark.createDataFrame(rows, schema).repartition(3), ["place"], known=known).collect()}
     assert found == {("K", "kremlin"): ("105.1", "1051", "Статья 105.1. О сроках"), ("K", "gov"): ("105.1", "1051", None), ("L", "kremlin"): ("1051", "1051", None), (None, "gov"): ("23.1", "231", None)}
     assert nb.correct_article_numbers(spark.createDataFrame([], schema), ["place"], known=known).isEmpty()
+
+
+def test_each_text_is_encoded_once_and_blanks_never(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def encode(texts):
+        with open(seen, "a") as file:
+            file.writelines(t + "\n" for t in texts)
+        assert len(texts) <= 3
+        return [[float(len(t)), 0.1] for t in texts]
+
+    rows = [(i, t, p) for i, (t, p) in enumerate([("abc", "q: "), ("abc", "q: "), ("abc", ""), (" \t", "q: "), (None, None), ("", ""), ("defg", None)] + [(f"t{k}", "") for k in range(10)])]
+    df = spark.createDataFrame(rows, "i int, t string, p string").repartition(2)
+    found = {r.i: [round(x, 3) for x in r.embedding] for r in co.embed(df, "t", encode, batch=3, size=2, prompt=F.col("p")).collect()}
+    assert found == {i: [0.0, 0.0] if not (t or "").strip() else [float(len((p or "") + t)), 0.1] for i, t, p in rows}
+    told = open(seen).read().split("\n")[:-1]
+    assert sorted(told) == sorted({(p or "") + t for _, t, p in rows if (t or "").strip()})
+    assert co.embed(df.limit(0), "t", encode, size=2).isEmpty()
