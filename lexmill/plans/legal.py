@@ -12,8 +12,8 @@ from lexmill.functions import citations as cit
 from lexmill.functions import content, html, rules
 from lexmill.functions import legal as lg
 from lexmill.functions import text as tx
-from lexmill.operators import amendments, consolidation, courts, merge, numbering, paragraphs, search, snapshots, token_index, versions
-from lexmill.plans.registry import _CITED, changes_sql, query, search_sql, shown_changes
+from lexmill.operators import amendments, consolidation, courts, lookups, merge, numbering, paragraphs, search, snapshots, token_index, versions
+from lexmill.plans.registry import _CITED, SQL_LETTERS, any_like_sql, changes_sql, letters_in_full, query, search_sql, shown_changes
 from lexmill.sources.api import load_api_documents
 from lexmill.sources.standin import table
 from lexmill.sources.tables import fresh_folder, spread_out
@@ -68,13 +68,20 @@ def c4_search_articles(s, d):
     return token_index.search_index(s, folder, [token_index.Search(q, t, (("code_id", code),)) for q, t, code in _ARTICLE_SEARCHES], "eo", fallback=False)
 
 
-@query("""WITH agencies AS (SELECT DISTINCT agency, upper(agency) AS agency_name FROM letters) SELECT id, turn, agency_name, letter_date FROM letters JOIN agencies USING (agency)
- WHERE agency = 'user' AND text ILIKE '%de%' AND letter_date >= DATE '2021-01-05' ORDER BY letter_date DESC, id, turn LIMIT 10""")
+@query(f"""WITH l AS (SELECT id * 1000 + turn AS id, {SQL_LETTERS} FROM letters), g AS (SELECT DISTINCT agency_id, upper(agency_id) AS agency_name FROM l WHERE agency_id <> 'system'), j AS (SELECT * FROM l JOIN g USING (agency_id))
+ SELECT 'one' AS asked, id, agency_name, document_date FROM (SELECT * FROM j WHERE agency_id = 'user' AND interpretation_type = 'letter' AND document_date BETWEEN DATE '2021-01-05' AND DATE '2021-01-25' AND ({any_like_sql('de', 'title', 'question', 'answer')}) ORDER BY document_date DESC, id LIMIT 10) x
+ UNION ALL SELECT 'topic', id, agency_name, document_date FROM (SELECT * FROM j WHERE {any_like_sql('topic 2', 'topic')} ORDER BY document_date DESC, id LIMIT 25) y
+ UNION ALL SELECT 'number', id, agency_name, document_date FROM (SELECT * FROM j WHERE {any_like_sql('n-_', 'title', 'question', 'answer')} ORDER BY document_date DESC, id LIMIT 10) z""")
 def c6_search_interpretations(s, d):
-    letters = table(s, d, "letters")
-    agencies = letters.select("agency").distinct().withColumn("agency_name", F.upper("agency"))
-    found = letters.filter((F.col("agency") == "user") & F.col("text").ilike("%de%") & (F.col("letter_date") >= "2021-01-05")).join(agencies, "agency")
-    return found.select("id", "turn", "agency_name", "letter_date").orderBy(F.desc("letter_date"), "id", "turn").limit(10)
+    letters = letters_in_full(s, d)
+    agencies = letters.filter("agency_id <> 'system'").select("agency_id").distinct().withColumns({"agency_short": F.col("agency_id"), "agency_name": F.upper("agency_id")})
+    found = {
+        "one": lookups.search_interpretations(letters, agencies, "user", "letter", query="de", start="2021-01-05", end="2021-01-25"),
+        "topic": lookups.search_interpretations(letters, agencies, topic="topic 2", most=25),
+        "number": lookups.search_interpretations(letters, agencies, query="n-_"),
+    }
+    rows = [f.select(F.lit(name).alias("asked"), "id", "agency_name", "document_date") for name, f in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT id, block, substr(full_text, 1, 1000) AS content FROM docs JOIN content ON id = document_id WHERE block ILIKE '%RC1%' AND (title ILIKE '%le%' OR full_text ILIKE '%le%') ORDER BY id LIMIT 10")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cit
 from lexmill.functions import text as tx
-from lexmill.operators import amendments, courts, merge, search, token_index, versions
+from lexmill.operators import amendments, courts, lookups, merge, search, token_index, versions
 from lexmill.sources import pages
 from lexmill.sources.stores import build_manifest, build_points, replace_manifest
 from lexmill.sources.standin import table, with_tables
@@ -171,16 +171,54 @@ def c2_documents_in_range(s, d):
     return found.select("id", "publish_date").orderBy(F.desc("publish_date"), "id").limit(100)
 
 
-@query("SELECT id, court_type, case_number, decision_date FROM decisions WHERE court_type = 'supreme' AND lower(full_text) LIKE '%ст. 1%тк%' AND decision_date >= DATE '1994-01-01' ORDER BY decision_date DESC, id LIMIT 10")
-def c5_search_court_decisions(s, d):
-    found = table(s, d, "decisions").filter((F.col("court_type") == "supreme") & F.col("full_text").ilike("%ст. 1%тк%") & (F.col("decision_date") >= "1994-01-01"))
-    return found.select("id", "court_type", "case_number", "decision_date").orderBy(F.desc("decision_date"), "id").limit(10)
+def named(columns: dict[str, str], spark: bool) -> list[str]:
+    """Expressions with their names, in the words of either engine."""
+    words = {"text": "STRING", "array": "array"} if spark else {"text": "VARCHAR", "array": "list_value"}
+    return [f"{expression.format(**words)} AS {name}" for name, expression in columns.items()]
+
+
+#: What decisions have besides: a title, a summary and a list of issues.
+_CASES = {
+    "title": "concat('Дело о ', CASE id % 3 WHEN 0 THEN 'труде' WHEN 1 THEN 'налоге' ELSE 'праве' END, ' № ', CAST(id % 700 AS {text}))",
+    "summary": "CASE WHEN id % 5 > 0 THEN substr(full_text, 1, 60) END",
+    "legal_issues": "CASE WHEN id % 4 > 0 THEN {array}(concat('issue ', CAST(id % 11 AS {text})), 'Труд') END",
+}
+_SQL_CASES = ", ".join(named(_CASES, spark=False))
+
+
+def _cases(s, d):
+    return table(s, d, "decisions").selectExpr("*", *named(_CASES, spark=True))
+
+
+def any_like_sql(query: str, *columns: str) -> str:
+    """SQL of ``lookups.any_like``."""
+    return " OR ".join(f"coalesce({c} ILIKE '%{query}%', false)" for c in columns)
 
 
-@query("SELECT id, case_number, decision_date FROM decisions WHERE court_type = 'supreme' AND decision_type = 'plenary_resolution' AND case_number LIKE '%12%' ORDER BY decision_date DESC, id LIMIT 5")
+_CASE_TEXT = ("title", "summary", "array_to_string(legal_issues, ',')")
+
+
+@query(f"""WITH c AS (SELECT *, {_SQL_CASES} FROM decisions) SELECT 'words' AS asked, id, decision_date FROM (SELECT * FROM c WHERE court_type = 'supreme' AND decision_date BETWEEN DATE '1993-01-01' AND DATE '1997-06-30' AND ({any_like_sql('труд', *_CASE_TEXT)}) ORDER BY decision_date DESC, id LIMIT 10) x
+ UNION ALL SELECT 'issue', id, decision_date FROM (SELECT * FROM c WHERE decision_type = 'ruling' AND ({any_like_sql('issue _,', *_CASE_TEXT)}) ORDER BY decision_date DESC, id LIMIT 40) y
+ UNION ALL SELECT 'case', id, decision_date FROM c WHERE case_number = 'A-96'""")
+def c5_search_court_decisions(s, d):
+    cases = _cases(s, d)
+    found = {
+        "words": lookups.search_court_decisions(cases, "supreme", query="труд", start="1993-01-01", end="1997-06-30"),
+        "issue": lookups.search_court_decisions(cases, decision_type="ruling", query="issue _,", most=40),
+        "case": lookups.search_court_decisions(cases, case_number="A-96"),
+    }
+    rows = [f.select(F.lit(name).alias("asked"), "id", "decision_date") for name, f in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"""WITH c AS (SELECT *, {_SQL_CASES} FROM decisions WHERE court_type = 'supreme' AND decision_type = 'plenary_resolution') SELECT 'number' AS asked, id, title, decision_date FROM (SELECT * FROM c WHERE contains(case_number, '12') OR contains(title, '12') ORDER BY decision_date DESC, id LIMIT 5) x
+ UNION ALL SELECT 'day', id, title, decision_date FROM (SELECT * FROM c WHERE decision_date = (SELECT max(decision_date) FROM c) ORDER BY id LIMIT 5) y""")
 def c8_plenary_resolutions(s, d):
-    found = table(s, d, "decisions").filter((F.col("court_type") == "supreme") & (F.col("decision_type") == "plenary_resolution") & F.col("case_number").contains("12"))
-    return found.select("id", "case_number", "decision_date").orderBy(F.desc("decision_date"), "id").limit(5)
+    cases = _cases(s, d)
+    last = cases.filter("court_type = 'supreme' and decision_type = 'plenary_resolution'").agg(F.max("decision_date")).first()[0]
+    show = lambda name, found: found.select(F.lit(name).alias("asked"), "id", "title", "decision_date")
+    return show("number", lookups.plenary_resolutions(cases, "12")).unionByName(show("day", lookups.plenary_resolutions(cases, date=str(last))))
 
 
 @query(lambda: f"""SELECT eo, document_date, code_id FROM (SELECT *, {_CODE} AS code_id FROM (SELECT eo, document_date, title, concat(full_text, ' ', title) AS full_text FROM amendments WHERE eo % 9 <> 0) y) x
@@ -269,15 +307,39 @@ def e6_amendment_status_summary(s, d):
     return table(s, d, "amendment_log").groupBy("code_id").agg(*by, *[F.sum(F.coalesce(f"n_{x}", F.lit(0))).alias(x) for x in _SIZES])
 
 
-@query("SELECT court_type, decision_type, count(*) AS n, count(*) FILTER (WHERE is_active) AS n_active FROM decisions GROUP BY GROUPING SETS ((court_type, decision_type), (court_type), ())")
+@query("""WITH r AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'annual' WHEN 1 THEN 'thematic' END AS review_type FROM orders), p AS (SELECT o_orderstatus = 'F' AS is_valid FROM orders)
+ SELECT 'decisions' AS what, court_type AS key_1, decision_type AS key_2, count(*) AS n, count(*) FILTER (WHERE is_active) AS n_good FROM decisions GROUP BY 2, 3
+ UNION ALL SELECT 'decisions, all', NULL, NULL, count(*), count(*) FILTER (WHERE is_active) FROM decisions UNION ALL SELECT 'reviews', review_type, NULL, count(*), count(*) FROM r GROUP BY 2
+ UNION ALL SELECT 'reviews, all', NULL, NULL, count(*), count(*) FROM r UNION ALL SELECT 'positions, all', NULL, NULL, count(*), count(*) FILTER (WHERE is_valid) FROM p""")
 def e7_court_stats(s, d):
-    # A null type is a total over types.
-    return table(s, d, "decisions").rollup("court_type", "decision_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_active").alias("n_active"))
+    orders = table(s, d, "orders")
+    kind = F.when(F.col("o_custkey") % 3 == 0, "annual").when(F.col("o_custkey") % 3 == 1, "thematic")
+    return lookups.court_statistics(table(s, d, "decisions"), orders.select(kind.alias("review_type")), orders.select((F.col("o_orderstatus") == "F").alias("is_valid")))
+
+
+#: Letters with a type, a topic, a question, an answer and whether they hold.
+LETTERS = {
+    "agency_id": "agency",
+    "interpretation_type": "CASE WHEN turn % 2 = 0 THEN 'letter' ELSE 'clarification' END",
+    "topic": "CASE WHEN turn % 3 > 0 THEN concat('Topic ', CAST(id % 4 AS {text})) END",
+    "validity_status": "CASE WHEN id % 5 > 0 THEN 'valid' ELSE 'revoked' END",
+    "title": "concat('Letter ', coalesce(number, ''))",
+    "question": "substr(text, 1, 80)",
+    "answer": "text",
+    "document_date": "letter_date",
+}
+SQL_LETTERS = ", ".join(named(LETTERS, spark=False))
+
+
+def letters_in_full(s, d):
+    return table(s, d, "letters").selectExpr("id * 1000 + turn AS id", *named(LETTERS, spark=True))
 
 
-@query("SELECT agency, count(*) AS n, count(number) AS n_numbered, count(DISTINCT letter_date) AS n_dates FROM letters GROUP BY 1")
+@query(f"""WITH l AS (SELECT {SQL_LETTERS} FROM letters) SELECT 'letters' AS what, agency_id AS key_1, interpretation_type AS key_2, count(*) AS n, count(*) FILTER (WHERE validity_status = 'valid') AS n_good FROM l GROUP BY 2, 3
+ UNION ALL SELECT 'letters, all', NULL, NULL, count(*), count(*) FILTER (WHERE validity_status = 'valid') FROM l UNION ALL SELECT 'topics', topic, NULL, count(*), count(*) FILTER (WHERE validity_status = 'valid') FROM l WHERE topic IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'agencies', NULL, NULL, count(DISTINCT agency_id), count(DISTINCT agency_id) FROM l""")
 def e8_interpretation_stats(s, d):
-    return table(s, d, "letters").groupBy("agency").agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("n_numbered"), F.count_distinct("letter_date").alias("n_dates"))
+    return lookups.interpretation_statistics(letters_in_full(s, d))
 
 
 @query("""WITH c AS (SELECT code_id, count(DISTINCT article_number) AS n FROM versions GROUP BY 1) SELECT code_id, n, expected,
