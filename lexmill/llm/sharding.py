@@ -126,7 +126,8 @@ def shard_by_bytes(
     ``tolerance`` of a mean shard, or at the nearest single row when one row is larger than
     that. ``lanes`` tasks number the slots of a shard in parallel. Nulls are ordinary values,
     repeated rows count one by one, an empty table gives an empty result and columns of any
-    other name (also ``shard`` or ``slot``, which are replaced) pass through.
+    other name (also ``shard`` or ``slot``, which are replaced) pass through, but for names that
+    begin with ``_hs_``, which are the operator's own.
     """
     if shards < 1:
         raise ValueError("shards must be positive")

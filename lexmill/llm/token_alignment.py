@@ -37,12 +37,12 @@ _SAFE_SPACE = regex.compile(r"(?<=\S)\x20(?=\S)")
 #: The space of piece vocabularies.
 _MARK = "▁"
 #: Longest word that is remembered, in characters, and how many words are until the older half goes.
-_REMEMBERED, _WORDS_HELD = 64, 200_000
+_REMEMBERED, _WORDS_HELD = 64, 100_000
 #: Characters that are encoded at once, where a word ends.
 _CHUNK = 32_768
 #: Numbers between two that gallop one after the other.
 _STRIDE = 64
-_BATCH_BYTES = 2_000_000
+_BATCH_BYTES = 1_000_000
 #: Pairs that a task counts before it sends them on.
 _PAIRS_HELD = 1_000_000
 
