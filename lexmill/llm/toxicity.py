@@ -11,7 +11,7 @@ A misspelling counts only if it is none of the ordinary words of clean texts, an
 whose misspellings are no commoner in clean texts than in toxic ones. Each match gets a context
 score: inside paired quotation marks or beside a word of reporting it counts for less than a
 direct one; other matches within the window add to it. A logistic model over a few such features,
-none of which may speak against toxicity, gives the document's score.
+of which only quotations may speak against toxicity, gives the document's score.
 """
 
 from __future__ import annotations
@@ -136,7 +136,9 @@ class TermMachine:
         return min((x for x in (begun, self.ends[state]) if x), default=None)
 
 
-FEATURES = ("evidence", "misspelt evidence", "different terms", "per hundred words", "densest window")
+FEATURES = ("evidence", "misspelt evidence", "quoted evidence", "different terms", "per hundred words", "densest window")
+#: The one feature that may speak against toxicity.
+_FREE = FEATURES.index("quoted evidence")
 
 
 @dataclass
@@ -187,15 +189,17 @@ class ToxicityModel:
                 places[i] = m.start()
         spans = [m.span() for m in _QUOTATION.finditer(low)]
         begins = [start for start, _ in spans]
-        direct, misspelt, scores = 0.0, 0.0, []
+        direct, misspelt, quoted, scores = 0.0, 0.0, 0.0, []
         for i in hits:
             edits, term = known[words[i]]
             score = self.weights[term] * 0.5**edits
             span = bisect_right(begins, places[i]) - 1
             if span >= 0 and places[i] < spans[span][1]:
                 score *= QUOTED
+                quoted += score
             elif not REPORTING.isdisjoint(words[max(0, i - 3) : i] + words[i + 1 : i + 4]):
                 score *= REPORTED
+                quoted += score
             if edits:
                 misspelt += score
             else:
@@ -212,7 +216,7 @@ class ToxicityModel:
         for i, score in zip(hits, scores):
             edits, term = known[words[i]]
             different[term] = max(different.get(term, 0.0), score / self.weights[term])
-        return [math.log1p(direct), math.log1p(misspelt), math.log1p(sum(different.values())), min(10.0, 100 * (direct + misspelt) / len(words)), math.log1p(densest)]
+        return [math.log1p(direct), math.log1p(misspelt), math.log1p(quoted), math.log1p(sum(different.values())), min(10.0, 100 * (direct + misspelt) / len(words)), math.log1p(densest)]
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients + self.intercept, -30, 30)))
@@ -317,14 +321,11 @@ def _learn_spelling(texts: DataFrame, model: ToxicityModel) -> None:
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Newton's method with a ridge on all but the intercept; features whose weight would be negative are left out."""
+    """Newton's method with a ridge on all but the intercept; features whose weight would be negative, but for quotations, are left out."""
     used = np.arange(x.shape[1])
-    while len(used):
-        w, intercept = _newton(x[:, used], y, ridge)
-        if (w >= 0).all():
-            break
-        used = np.delete(used, w.argmin())
-    else:
+    w, intercept = _newton(x, y, ridge)
+    while (bound := np.where(used == _FREE, 0.0, w)).min() < 0:
+        used = np.delete(used, bound.argmin())
         w, intercept = _newton(x[:, used], y, ridge)
     weights = np.zeros(x.shape[1])
     weights[used] = w
