@@ -4,14 +4,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm.audio import align_recordings, fingerprint_audio
+from lexmill.llm.audio import _agree, _Recordings, align_recordings, fingerprint_audio
 from lexmill.llm.bpe_codec import encode_bpe, encoding
 from lexmill.llm.bpe_text import load_ranks
 from lexmill.llm.exact_dedup import exact_duplicates
@@ -162,3 +164,79 @@ def test_recordings_with_null_and_repeated_ids(spark, docs):
     found = align_recordings(prints, "doc_id").collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, t in _rows() if len(t or "") < 90_000)
     assert all(r.match_id is None for r in found if r.doc_id is None) and all(r.match_id < r.doc_id for r in found if r.match_id is not None)
+
+
+def _linked_recordings() -> list[tuple[int | None, list[int], bytes | None]]:
+    """(id, prints, samples' digest): scattered and repeated passages, copies, near copies, steady and short ones."""
+    rng = random.Random(6)
+    noise = lambda n, k=60: [rng.randrange(k) for _ in range(n)]
+    first, second, loop = [1000 + i for i in range(40)], [2000 + i for i in range(40)], [3000 + i for i in range(12)]
+    prints = [first, second, first[5:30] + second[8:20], loop * 5, [4000, *loop[4:12], 4001], loop[3:] + first[30:]]
+    prints += [noise(rng.choice([1, 2, 3, 4, 6, 20, 60])) for _ in range(60)] + [noise(rng.randint(1, 30), 2) for _ in range(20)]
+    prints += [[7] * n for n in (1, 3, 9, 300, 301)] + [[7] * 200 + first[:5] + [7] * 90, [7] * 150 + first[:5], [7] * 50 + [8] * 50 + [9] * 50 + [5] * 50, [8] * 60 + [9] * 50 + [5] * 70 + [7] * 9]
+    near = noise(50)
+    for _ in range(12):
+        prints.append([p if rng.random() > 0.3 else rng.randrange(60) for p in near])
+    rows = [(3 * i + 1, p, f"d{i}".encode()) for i, p in enumerate(prints)]
+    rows += [(i - 1, p, d) for i, p, d in rng.sample(rows, 8)]  # exact copies
+    rows += [(i + 1, p, d + b"+") for i, p, d in rng.sample(rows[: len(prints)], 12)]  # equal prints of other samples
+    rows += [(None, first, b"d0"), (5000, [], None), (5001, [], b"s"), (5002, [], b"s")]
+    rng.shuffle(rows)
+    return rows
+
+
+def _aligned_by_brute_force(rows: list) -> dict:
+    """Per id: match_id, offset, votes, bit_error_rate, class_id, n_links."""
+    classes = {}
+    for i, p, d in rows:
+        if i is not None and d is not None:
+            classes[d] = (min(i, classes.get(d, (i,))[0]), p)
+    best, links = {}, Counter()
+    for (x, a), (y, b) in combinations(sorted((c for c in classes.values() if c[1]), reverse=True), 2):
+        few = len(set(a)) < 4, len(set(b)) < 4
+        for offset in sorted(range(1 - len(b), len(a)), key=lambda o: (abs(o), o)):
+            over = list(zip(a[max(0, offset) :], b[max(0, -offset) :]))
+            same = [u for u, v in over if u == v]
+            if len(same) == min(len(a), len(b)) if any(few) else len(set(same)) >= 4:
+                rate = sum((u ^ v).bit_count() for u, v in over) / (32 * len(over))
+                if (x, y) not in best or len(same) > best[x, y][0]:
+                    best[x, y] = len(same), offset, rate, few[0] or not few[1]
+        for side in (x, y):
+            links[side] += (x, y) in best
+    out = {}
+    for i, p, d in rows:
+        name = classes[d][0] if i is not None and d is not None else i
+        found = [(-votes, y, offset, rate) for (x, y), (votes, offset, rate, fits) in best.items() if x == i and fits]
+        if name != i:
+            found = [(-len(p), name, 0, 0.0)]
+        votes, match, offset, rate = min(found, default=(None,) * 4)
+        out[i] = (match, offset, None if votes is None else -votes, rate, name, None if i is None else links[name])
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_all_links_of_recordings_against_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr("lexmill.llm.audio._SMALL_BLOCK", 100)
+    monkeypatch.setattr("lexmill.llm.audio._FEW_BLOCKS", blocks)
+    rows = _linked_recordings()
+    df = spark.createDataFrame([(i, len(p), p, None if d is None else bytearray(d)) for i, p, d in rows], "doc_id long, n_frames long, prints array<int>, digest binary")
+    found = {r.doc_id: (r.match_id, r.offset, r.votes, r.bit_error_rate, r.class_id, r.n_links) for r in align_recordings(df, "doc_id").collect()}
+    want = _aligned_by_brute_force(rows)
+    assert found == want
+    assert sum(w[0] is not None for w in want.values()) > 40 and sum((w[5] or 0) > 1 for w in want.values()) > 40
+
+
+@pytest.mark.parametrize(("votes", "many"), [(1 << 18, 1 << 22), (64, 1 << 22), (64, 2000), (64, 100)])
+def test_offsets_of_recordings_however_they_are_counted(monkeypatch, votes, many):
+    monkeypatch.setattr("lexmill.llm.audio._VOTES", votes)
+    monkeypatch.setattr("lexmill.llm.audio._MANY", many)
+    prints = [p for _, p, d in _linked_recordings() if p]
+    both = _Recordings.of(np.concatenate(prints).astype(np.uint32), np.array([len(p) for p in prints]))
+    found = [row for part in _agree(both, both, 4) for row in zip(*(x.tolist() for x in part))]
+    want = {}
+    for (i, a), (j, b) in product(enumerate(prints), repeat=2):
+        for offset in {x - y for x, y in product(range(len(a)), range(len(b))) if a[x] == b[y]}:
+            same = [u for u, v in zip(a[max(0, offset) :], b[max(0, -offset) :]) if u == v]
+            if len(same) >= 4:
+                want[i, j, offset] = len(same), len(set(same))
+    assert len(found) == len(want) and {row[:3]: row[3:] for row in found} == want
