@@ -10,13 +10,17 @@ once per pair.
 A list of eight members at most gives the pairs that pass the filters. A longer list is not
 expanded into pairs. The class that shares most of its prefix is its centre, and every other member
 is compared with that: a class of thousands of near copies costs thousands of comparisons and is one
-component then. For members that are still in different components the list is split further:
+component then. Members that are still in different components are compared with one another: those
+of a centre that a task can hold by their sketches, all with all. A larger group is split further:
 each member is written as its *difference* from the centre, the shingles that only one of the two
 has. The difference of two differences is the difference of the two sets, so two members are similar
 if and only if their differences have enough in common, and the same prefix filter applies to them:
 they must share one of the rarest shingles of their differences. What all members share with the
-centre is in no difference and so in no list any more. The members of a small group are compared by
-their differences in one task; those of a large one make new lists, which go through the same again.
+centre is in no difference and so in no list any more. The new lists go through the same again.
+
+A *sketch* has about a bit for each shingle of its set: whether an odd number of shingles falls there.
+Each shingle that only one of two sets has turns one bit, so two sets differ in at least as many
+shingles as their sketches do in bits, and pairs whose sketches differ too much need no texts.
 """
 
 from __future__ import annotations
@@ -41,12 +45,16 @@ _BUCKETS, _ROW = 1 << 20, 1 << 14
 _MEMBER = ("node", "n", "d", "pos", "component")
 #: Rounds by centres at most, and the size of lists that need none: their members meet where the list is made.
 _ROUNDS, _SMALL_LIST = 2, 8
-#: Members of a centre, and shingles in their prefixes, that a task compares at once; larger groups are split by lists.
-_GROUP, _GROUP_SHINGLES = 1024, 500_000
+#: Members of a centre, and bytes of their sketches, that a task compares with one another; larger groups are split by lists.
+_GROUP, _GROUP_BYTES = 8192, 16_000_000
+#: 64-bit words of sketches that are compared at once.
+_WORDS = 1_000_000
 #: Lists in buckets of more documents than this (and 16 times the mean) are not read by one window.
 _HEAVY = 20_000
 #: Pairs of two longs that are broadcast to the texts rather than joined by a shuffle.
 _BROADCAST_PAIRS = 100_000
+#: Classes whose ids are broadcast to find their texts; for more all texts go through a shuffle.
+_BROADCAST_CLASSES = 1_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -65,6 +73,19 @@ def _class_of(shingles: np.ndarray, renamed: dict[tuple[int, int], int]) -> int:
     return renamed.get((node, check), node) if renamed else node
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """The parities of a set over the next power of two of buckets, 64 at least."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch that its set has over ``words`` times 64 buckets."""
+    bits = np.frombuffer(sketch, np.uint64)
+    return bits if len(bits) == words else np.bitwise_xor.reduce(bits.reshape(-1, words))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
@@ -78,12 +99,13 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 def _scan_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
-        [T.StructField("_id", id_type), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+        [T.StructField("_id", id_type), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("sketch", T.BinaryType())]
+        + [T.StructField("row", T.IntegerType()), T.StructField("counts", T.BinaryType())]
     )
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its set's size and fingerprint, and per task the counts of all its shingles."""
+    """Per document its set's size, fingerprint and sketch, and per task the counts of all its shingles."""
     schema = _scan_schema(docs.schema["_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +117,17 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        arrow = [to_arrow_type(schema["_id"].dataType), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        arrow = [to_arrow_type(schema["_id"].dataType), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for id_, text in _texts(batches):
             shingles = shingle_set(text, width)
             np.add.at(counts, _bucket(shingles), 1)
-            rows.append((id_, len(shingles), *(_fingerprint(shingles) if len(shingles) else (None, None)), None, None))
+            rows.append((id_, len(shingles), *((*_fingerprint(shingles), _sketch(shingles)) if len(shingles) else (None, None, None)), None, None))
             if len(rows) >= 5000:
                 yield flush()
         for row in range(_BUCKETS // _ROW):
             part = counts[row * _ROW : (row + 1) * _ROW]
             if part.any():
-                rows.append((None, None, None, None, row, zlib.compress(part.tobytes(), 1)))
+                rows.append((None, None, None, None, None, row, zlib.compress(part.tobytes(), 1)))
         if rows:
             yield flush()
 
@@ -249,8 +271,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return _beside(pairs, texts).mapInArrow(run, schema).dropDuplicates(["a", "b"])
 
 
+def _sieve(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that can be similar by their sizes and sketches."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            good = []
+            for most, one, other in zip((100 - percent) * both // (100 + percent), batch.column(4), batch.column(5)):
+                one, other = one.as_py(), other.as_py()
+                words = min(len(one), len(other)) // 8
+                good.append(np.bitwise_count(_folded(one, words) ^ _folded(other, words)).sum() <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return known.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def _recode(pairs: DataFrame, texts: DataFrame, width: int, percent: int, rarity) -> DataFrame:
-    """(a, b, shared, total, n, d, prefix) of centres a and members b: exact counts, and b written as its difference from a.
+    """(a, b, n, d, prefix) of centres a and members b: b written as its difference from a.
 
     n is the size of b's set, d that of the difference. Its order is by how many differences from
     the same centre a shingle is likely to be in: of b's own shingles the number of documents that
@@ -258,21 +298,21 @@ def _recode(pairs: DataFrame, texts: DataFrame, width: int, percent: int, rarity
     many as a similar member's difference can miss and one more.
     """
     schema = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("a", "b", "shared", "total")] + [T.StructField(n, T.IntegerType()) for n in ("n", "d")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+        [T.StructField(n, T.LongType()) for n in ("a", "b")] + [T.StructField(n, T.IntegerType()) for n in ("n", "d")] + [T.StructField("prefix", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _set_pairs(batches, width):
             rows = []
             for (one, other), size in zip(sets, batch.column(4).to_pylist()):
-                common, n = _common(one, other), len(other)
+                n = len(other)
                 most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
                 apart = [np.setdiff1d(other, one, assume_unique=True), np.setdiff1d(one, other, assume_unique=True)]
                 own, lacked = (2.0 ** (rarity.value[_bucket(x)] / 4.0) for x in apart)
                 order = np.lexsort((np.concatenate(apart), np.concatenate([own, np.maximum(size - lacked, size / 8)])))
                 first = np.concatenate(apart)[order[: most + 1]]
-                rows.append((common, len(one) + n - common, n, len(apart[0]) + len(apart[1]), _signed(first)))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                rows.append((n, len(apart[0]) + len(apart[1]), _signed(first)))
+            types = (pa.int32(), pa.int32(), pa.list_(pa.int64()))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
@@ -338,27 +378,36 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
         return documents, empty_links, spark.createDataFrame([], "node long, component long"), names
     named = lists.select("node").unionByName(close_by.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     owners = documents.join(named, "node").groupBy("node").agg(F.min("_id").alias("_id"))
-    texts = shared_table(_texts_of(source, owners, width, renamed))
+    texts = shared_table(_texts_of(source, shared_table(owners), width, renamed))
+    sketches = _with_names(scanned.filter("node is not null").select("node", "check", "n", "sketch"), names).join(named, "node")
+    sketches = shared_table(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return shared_table(_verify(shared_table(_sieve(pairs, sketches, percent)), texts, width, percent))
+
     # First every class with one partner only, that of most of its lists; this joins most copies.
     star = _star(lists)
     first = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).unionByName(close_by)
     first = first.groupBy("b").agg(F.max(F.struct("lists", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
-    checked = shared_table(_verify(shared_table(first), texts, width, percent))
+    checked = verified(first)
     components = _components(checked, percent)
     lists, more = _mixed(_with_component(lists.drop("component"), components)), []
     for _ in range(_ROUNDS):
         if lists.isEmpty():
             break
         pairs = shared_table(_star(lists).select("a", "b").distinct())
-        sized = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")), "a").select("a", "b", "size")
-        coded = shared_table(_recode(sized, texts, width, percent, rarity))
-        fresh = coded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "total")
-        checked = shared_table(checked.unionByName(fresh).dropDuplicates(["a", "b"]))
+        asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        checked = shared_table(checked.unionByName(verified(asked.join(checked.select("a", "b"), ["a", "b"], "left_anti"))))
         components = _components(checked, percent)
-        members = _with_component(coded.select("a", F.col("b").alias("node"), "n", "d", "prefix"), components)
-        few, many = _by_size(members)
-        small, lists = _met(_split(many, percent), percent)
-        more += [small.select("a", "b"), shared_table(_pairs_of_groups(few, percent))]
+        members = _with_component(pairs.select("a", F.col("b").alias("node")), components).join(sketches, "node")
+        few, many = _by_size(shared_table(members))
+        more.append(shared_table(_pairs_of_groups(few, percent)))
+        if many.isEmpty():
+            lists = lists.filter("false")  # each list was that of a small group
+            break
+        coded = shared_table(_recode(many.select("a", F.col("node").alias("b"), "size"), texts, width, percent, rarity))
+        small, lists = _met(_split(_with_component(coded.select("a", F.col("b").alias("node"), "n", "d", "prefix"), components), percent), percent)
+        more.append(small.select("a", "b"))
         lists = _mixed(lists)
     rest = _member_pairs(lists, percent)  # what the rounds leave of long lists
     for pairs in (close_by.select("a", "b"), *more):
@@ -366,7 +415,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     ends = [components.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab"]
     apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
     rest = rest.distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    fresh = shared_table(_verify(shared_table(rest), texts, width, percent))
+    fresh = verified(rest)
     similar = checked.unionByName(fresh).filter(F.col("shared") * 100 >= percent * F.col("total"))
     if not fresh.filter(F.col("shared") * 100 >= percent * F.col("total")).isEmpty():
         components = _components(similar, percent)
@@ -374,50 +423,51 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
 
 
 def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the centres' members in several components: those of small groups, which a task can hold, and the others."""
-    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("prefix")).alias("shingles"), F.min("component").alias("l"), F.max("component").alias("h"))
-    small = (F.col("rows") <= _GROUP) & (F.col("shingles") <= _GROUP_SHINGLES)
-    sized = shared_table(sizes.filter("l <> h").select("a", small.alias("small")))
-    return members.join(sized.filter("small").select("a"), "a"), members.join(sized.filter("not small").select("a"), "a")
+    """Of the centres' members in several components: those of small groups, which a task can hold, and the others, each with its group's size."""
+    sizes = members.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("sketch")).alias("bytes"), F.min("component").alias("l"), F.max("component").alias("h"))
+    small = (F.col("size") <= _GROUP) & (F.col("bytes") <= _GROUP_BYTES)
+    sized = shared_table(sizes.filter("l <> h").select("a", "size", small.alias("small")))
+    return members.join(sized.filter("small").select("a"), "a"), members.join(sized.filter("not small").select("a", "size"), "a")
 
 
 def _pairs_of_groups(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of each centre's members the pairs in different components whose prefixes have enough in common."""
+    """(a, b): of each centre's members the pairs in different components that can be similar by their sketches."""
 
     def pairs(group: list[tuple]) -> np.ndarray:
-        node, component, n, d = (np.array(c, np.int64) for c in list(zip(*group))[:4])
-        lengths = np.array([len(row[4]) for row in group])
-        _, number, times = np.unique(np.concatenate([row[4] for row in group]), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(group)), lengths)[times[number] > 1]
-        number = (np.cumsum(times > 1) - 1)[number[times[number] > 1]]
-        common = np.zeros((len(group), len(group)), np.float32)
-        for first in range(0, int((times > 1).sum()), 2048):
-            here = (number >= first) & (number < first + 2048)
-            has = np.zeros((len(group), 2048), np.float32)
-            has[owner[here], number[here] - first] = 1
-            common += has @ has.T
-        h = (100 - percent) * (n[:, None] + n) // (100 + percent)
-        need = -((h - d[:, None] - d) // 2)
-        behind = np.maximum((d - lengths)[:, None], d - lengths)  # what the prefixes leave out of one of them
-        fits = (common >= np.maximum(1, need - behind)) & (component[:, None] < component) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-        x, y = np.nonzero(fits)
-        return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+        group.sort(key=lambda row: row[2])
+        node, component, n = (np.array(c, np.int64) for c in list(zip(*group))[:3])
+        words = np.array([len(row[3]) // 8 for row in group])  # grows with n
+        found = [np.zeros((2, 0), np.int64)]
+        for w in np.unique(words):
+            start, end = np.searchsorted(words, w), np.searchsorted(words, w, "right")
+            last = np.searchsorted(n, 100 * n[end - 1] // percent, "right")
+            sketch = np.stack([_folded(row[3], w) for row in group[start:last]])
+            while start < end:
+                step = int(min(end - start, max(1, _WORDS // sketch.size)))
+                stop = int(np.searchsorted(n, 100 * n[start + step - 1] // percent, "right"))
+                base = last - len(sketch)
+                apart = np.bitwise_count(sketch[start - base : start - base + step, None] ^ sketch[None, start - base : stop - base]).sum(2)
+                x, y = np.arange(start, start + step)[:, None], np.arange(start, stop)
+                fits = (apart <= (100 - percent) * (n[x] + n[y]) // (100 + percent)) & (100 * n[x] >= percent * n[y]) & (x < y) & (component[x] != component[y])
+                x, y = (np.nonzero(fits)[i] + start for i in (0, 1))
+                found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+                start += step
+        return np.concatenate(found, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         centre = None
         for batch in batches:
-            plain = [batch.column(i).to_pylist() for i in range(5)]
-            for i, a in enumerate(plain[0]):
+            for a, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != centre and group:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(group)], names=["a", "b"])
                     group = []
                 centre = a
-                group.append((*(c[i] for c in plain[1:]), batch.column(5)[i].values.to_numpy()))
+                group.append(row)
         if group:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(group)], names=["a", "b"])
 
-    together = members.select("a", "node", "component", "n", "d", "prefix").repartition("a").sortWithinPartitions("a")
+    together = members.select("a", "node", "component", "n", "sketch").repartition("a").sortWithinPartitions("a")
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -442,7 +492,7 @@ def _with_names(documents: DataFrame, names: dict[tuple[int, int], int]) -> Data
     node = F.col("node")
     for (first, check), name in names.items():
         node = F.when((F.col("node") == first) & (F.col("check") == check), F.lit(name)).otherwise(node)
-    return documents.select("_id", "n", node.alias("node"))
+    return documents.withColumn("node", node).drop("check")
 
 
 def _met_first(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -535,7 +585,10 @@ def _texts_of(source: DataFrame, owners: DataFrame, width: int, renamed) -> Data
 
     # Ids are compared by hash, so that null ids meet too; the set decides in the end.
     key = F.xxhash64("_id").alias("_key")
-    return owners.select(key, "node").join(source.select(key, "text"), "_key").select("node", "text").mapInArrow(run, schema)
+    keyed = owners.select(key, "node")
+    if owners.count() <= _BROADCAST_CLASSES:
+        keyed = F.broadcast(keyed)
+    return source.select(key, "text").join(keyed, "_key").select("node", "text").mapInArrow(run, schema)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
