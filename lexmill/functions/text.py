@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The spaces of Unicode's category Zs.
+SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Months in the genitive, January first; fixed values.
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 #: Phrases that tell a code, in the order in which they are tried; fixed values.
@@ -166,5 +168,6 @@ def summary(text: Column, most: int = 500, least: int = 50) -> Column:
 
 
 def clean_lines(text: Column, least: int = 1) -> Column:
-    """Trimmed lines of at least ``least`` characters."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda line: F.length(line) >= least), "\n")
+    """Lines of at least ``least`` characters, trimmed of spaces (Unicode's Zs; tabs stay)."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)))  # a plain F.trim would take the line's place for what to trim
+    return F.array_join(F.filter(lines, lambda line: F.length(line) >= least), "\n")
