@@ -53,7 +53,7 @@ _WORDS = 1_000_000
 _HEAVY = 20_000
 #: Pairs of two longs that are broadcast to the texts rather than joined by a shuffle.
 _BROADCAST_PAIRS = 100_000
-#: Classes whose ids are broadcast to find their texts; for more all texts go through a shuffle.
+#: Ids that are broadcast to find their texts or to drop them; for more all texts go through a shuffle.
 _BROADCAST_CLASSES = 1_000_000
 
 
@@ -635,7 +635,8 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     by_id = judged.groupBy("_nj_key").agg(F.count(F.lit(1)).alias("rows"), F.min("stays").alias("stays"))
     several = shared_table(by_id.filter("rows > 1").select("_nj_key"))
     keyed = docs.withColumn("_nj_key", F.xxhash64(F.col(id_col)))
-    kept = keyed.join(by_id.filter("rows > 1 or not stays").select("_nj_key"), "_nj_key", "left_anti")
+    gone = shared_table(by_id.filter("rows > 1 or not stays").select("_nj_key"))
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= _BROADCAST_CLASSES else gone, "_nj_key", "left_anti")
     if not several.isEmpty():
         schema = T.StructType([*keyed.schema.fields, T.StructField("_nj_node", T.LongType())])
 

@@ -57,3 +57,16 @@ def test_shuffle_files_of_a_written_table_go_with_its_write(spark):
         time.sleep(0.2)
     assert not files() - before
     assert table.count() == 5000
+
+
+def test_dropping_near_copies_needs_no_shuffle_of_the_texts(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[i : i + 100])) for i in range(0, 200, 40)] + [(1000 + i, " ".join([*words[i : i + 99], "other"])) for i in range(0, 200, 40)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 200, 40))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
