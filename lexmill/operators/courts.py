@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cit
@@ -23,8 +23,9 @@ def decision_rows(raw: DataFrame, id_col: str = "id", text: str = "full_text") -
 
 def reference_rows(decisions: DataFrame, id_col: str = "id") -> DataFrame:
     """(decision_id, code_id, article_number, reference_context, reference_type, position_in_text), each with its own decision."""
-    one = F.explode("references").alias("r")
-    return decisions.select(F.col(id_col).alias("decision_id"), one).select(
+    # Before an explode Spark filters by the array's size, and would look for all citations once more for that.
+    one = F.explode_outer("references").alias("r")
+    return decisions.select(F.col(id_col).alias("decision_id"), one).filter("r is not null").select(
         "decision_id", F.col("r.code").alias("code_id"), F.col("r.article").alias("article_number"), F.col("r.context").alias("reference_context"), F.col("r.kind").alias("reference_type"), F.col("r.position").alias("position_in_text")
     )
 
@@ -57,6 +58,10 @@ def decisions_with_articles(decisions: DataFrame, references: DataFrame, countri
     Spark sends to the tasks if they are small.
     """
     one = F.struct("code_id", "article_number", "reference_type")
-    cited = references.groupBy(F.col("decision_id").alias(id_col)).agg(F.array_sort(F.collect_list(one)).alias("_articles"))
+    # Sorted and then gathered decision by decision: collect_list in a groupBy holds a task's decisions in memory.
+    by_decision = Window.partitionBy("decision_id").orderBy("code_id", "article_number", "reference_type")
+    whole = by_decision.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = references.select("decision_id", F.array_sort(F.collect_list(one).over(whole)).alias("_articles"), F.row_number().over(by_decision).alias("_place"))
+    cited = gathered.filter("_place = 1").select(F.col("decision_id").alias(id_col), "_articles")
     joined = decisions.join(countries, "country_code").join(courts, "court_id", "left").join(cited, id_col, "left")
     return joined.withColumn("articles", F.coalesce("_articles", F.array().cast(cited.schema["_articles"].dataType))).drop("_articles")
